@@ -80,8 +80,14 @@ def mark_system(system: Column) -> Column:
     return F.when(_is_string(system), as_block).when(blocks.isNotNull(), mark_blocks(blocks))
 
 
+def by_key(mapping: Column) -> Column:
+    """The map with its entries in key order, so that its JSON text is canonical."""
+    order = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+    return F.map_from_entries(F.array_sort(F.map_entries(mapping), order))
+
+
 def sorted_json(mapping: Column) -> Column:
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(mapping))))
+    return F.to_json(by_key(mapping))
 
 
 def scrub_headers(headers: Column, provider: Column, upstream_key: Column | None = None,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed_values import PRICES, TIER_MODELS
 from ..operators.cache import cache_replay, request_hash
 from ..operators.routing import price_request, route_model
-from ..sources.archive import log_row
+from ..sources.archive import log_row, materialise
 from .govern import govern
 
 
@@ -22,7 +22,6 @@ def replay(requests: DataFrame, prompts: DataFrame, tokens: DataFrame, stored: D
     """
     governed = govern(requests, prompts, tokens, stored, config, required, window_ms).filter("outcome = 'ok'")
     message = F.array(F.struct(F.lit("user").alias("role"), F.col("relay_text").alias("content")))
-    # Past this point the text is needed for its hash and its rule tier only, so it is dropped before the shuffles.
     routed = route_model(governed, "relay_text", mode=mode, tiers=tiers)
     keyed = (routed
              .withColumn("request_hash", request_hash(F.col("provider_resolved"), F.col("model"), message))
@@ -30,6 +29,8 @@ def replay(requests: DataFrame, prompts: DataFrame, tokens: DataFrame, stored: D
              .select("request_id", "created_at", "label", F.col("provider_resolved").alias("provider"), "model",
                      "tier", "method", "routed_model", "input_tokens", "output_tokens", "request_hash", "can_fill",
                      "policy_name", "system_prepend", "system_append", F.size("events").alias("n_events")))
+    # The texts are done with: what the cache replay reads several times is this narrow table, not the scan of texts.
+    keyed = materialise(keyed)
     served = cache_replay(keyed, ttl, can_fill="can_fill", payload=("input_tokens", "output_tokens"))
     hit = F.col("hit") == 1
     answered = served.select(

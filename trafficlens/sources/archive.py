@@ -20,6 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/trafficlens-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """The same rows, read back from a table in the shared folder.
+
+    For a narrow result of costly work that several branches read: the work then runs once, and a lost executor
+    re-reads files instead of repeating it.
+    """
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def normalise_requests(df: DataFrame, body_col: str = "body") -> DataFrame:
     """Typed columns of a raw body column; keys the schema does not name survive in ``raw``."""
     parsed = df.withColumn("_body", B.parse_body(F.col(body_col)))

@@ -6,6 +6,7 @@ Every view covers its whole base table. ``with_views`` inlines the ones a statem
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,7 +76,7 @@ SELECT DISTINCT 'user_' || CAST(user_id AS STRING) AS label, 'tok_' || md5(CAST(
   1704067200 + user_id * 60 AS created_at,
   'User.' || CAST(user_id AS STRING) || '+x@Example.COM' AS email,
   CASE user_id % 5 WHEN 0 THEN 'banking' WHEN 1 THEN 'healthcare' WHEN 2 THEN 'marketing'
-    WHEN 3 THEN 'developer' END AS policy_name
+    WHEN 3 THEN 'developer' ELSE 'cust_' || CAST(user_id AS STRING) END AS policy_name
 FROM events""",
     # Changes to tokens: one per customer, some for known labels, some for new ones.
     "token_changes": """
@@ -86,6 +87,7 @@ SELECT 'user_' || CAST(c_custkey AS STRING) AS label, 'new_' || md5(CAST(c_custk
   CASE c_custkey % 7 WHEN 3 THEN 'banking' END AS policy_name, CASE WHEN c_custkey % 3 = 1 THEN 1 ELSE 0 END AS has_policy_name,
   1706616000 + c_custkey AS changed_at
 FROM customer""",
+    # Presets and one policy per customer, some stored, some in the configuration file, some in both.
     "policies": """
 SELECT * FROM (VALUES
   ('banking',    'db',     'credit_card,ssn,iban,api_key,email,phone,passport', 'block',  CAST(0.5 AS DOUBLE),  'anthropic', CAST(365 AS BIGINT), 'Follow the policy.'),
@@ -93,7 +95,17 @@ SELECT * FROM (VALUES
   ('banking',    'config', 'api_key',                                           'log',    CAST(0.9 AS DOUBLE),  CAST(NULL AS STRING), CAST(30 AS BIGINT), CAST(NULL AS STRING)),
   ('marketing',  'config', 'api_key',                                           'log',    CAST(0.9 AS DOUBLE),  CAST(NULL AS STRING), CAST(30 AS BIGINT), CAST(NULL AS STRING)),
   ('developer',  'config', '',                                                  'log',    CAST(0.95 AS DOUBLE), CAST(NULL AS STRING), CAST(90 AS BIGINT), CAST(NULL AS STRING))
-) AS t(name, source, detect_csv, dlp_action, block_threshold, allowed_providers_csv, retention_days, system_prepend)""",
+) AS t(name, source, detect_csv, dlp_action, block_threshold, allowed_providers_csv, retention_days, system_prepend)
+UNION ALL
+SELECT 'cust_' || CAST(c_custkey AS STRING), 'db', 'ssn,iban,email',
+  CASE c_custkey % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'redact' ELSE 'log' END, CAST(0.75 AS DOUBLE),
+  CASE WHEN c_custkey % 4 = 0 THEN 'anthropic,openai' END, CAST(c_custkey % 40 AS BIGINT),
+  CASE WHEN c_custkey % 2 = 0 THEN 'Be brief.' END
+FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')
+UNION ALL
+SELECT 'cust_' || CAST(c_custkey AS STRING), 'config', 'phone,passport', 'log', CAST(0.7 AS DOUBLE),
+  CAST(NULL AS STRING), CAST(20 AS BIGINT), CAST(NULL AS STRING)
+FROM customer WHERE c_mktsegment IN ('HOUSEHOLD', 'FURNITURE')""",
     "request_keys": """
 SELECT request_id, created_at, provider, model, prompt_id, @SHA@ AS request_hash FROM requests""",
     # What purchases and sign-ups left in the cache: several versions per hash, some that never expire.
@@ -102,6 +114,17 @@ SELECT k.request_id AS id, k.request_hash, k.provider, k.model, k.created_at,
   CASE WHEN k.request_id % 3 = 0 THEN NULL ELSE k.created_at + 86400 END AS expires_at
 FROM (SELECT request_id, created_at, provider, model, prompt_id, @SHA@ AS request_hash, event_type FROM requests) k
 WHERE k.event_type IN ('purchase', 'signup')""",
+    # Turns with personal data planted in every role.
+    "turns_pii": """
+SELECT conv_id, turn, role, text || CASE (conv_id + turn) % 4 WHEN 0 THEN ' Mail jo@example.org.'
+  WHEN 1 THEN ' SSN 123-45-6789' WHEN 2 THEN ' call 743-555-3824 now' ELSE '' END AS text
+FROM conversations""",
+    # Provider hints as a gateway sees them: header value and Authorization header.
+    "provider_hints": """
+SELECT request_id, CASE event_type WHEN 'view' THEN CAST(NULL AS STRING) WHEN 'click' THEN 'nonsense'
+    WHEN 'error' THEN 'custom' ELSE provider END AS header,
+  CASE request_id % 3 WHEN 0 THEN 'sk-ant-k' WHEN 1 THEN 'gsk_k' ELSE 'Bearer sk-ant-k' END AS auth_header
+FROM requests""",
     "memory_store": """
 SELECT 'sess_' || CAST(conv_id AS STRING) AS session_id, turn, role, text AS content,
   1704067200 + conv_id * 3600 + CAST(floor(turn / 2) AS BIGINT) * 60 AS created_at
@@ -199,14 +222,22 @@ def with_views(sql: str, dialect: str = "duckdb", bases: dict[str, str] | None =
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(ctes) + "\n" + _render(sql, dialect)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One view (or stock table) over the parquet files of ``sf_dir``."""
+def view(spark: SparkSession, sf_dir: str, name: str, stream: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One view (or stock table) over the parquet files of ``sf_dir``; ``stream`` puts streams in place of tables."""
+    stream = stream or {}
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return stream[name] if name in stream else spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = f"SELECT * FROM {name}"
     text = sql + " " + " ".join(VIEWS[n] for n in _needed(sql))
-    bases = {t: f"SELECT * FROM parquet.`{sf_dir}/{t}.parquet`" for t in TABLES
-             if re.search(rf"\bFROM\s+{t}\b", text, re.I)}
+    used = [t for t in TABLES if re.search(rf"\bFROM\s+{t}\b", text, re.I)]
+    bases = {}
+    for t in used:
+        if t in stream:
+            temp = f"stream_{t}_{uuid.uuid4().hex}"
+            stream[t].createOrReplaceTempView(temp)
+            bases[t] = f"SELECT * FROM {temp}"
+        else:
+            bases[t] = f"SELECT * FROM parquet.`{sf_dir}/{t}.parquet`"
     return spark.sql(with_views(sql, "spark", bases))
 
 
