@@ -12,24 +12,41 @@ from .regex import java_pattern, literal_replacement, usable
 
 CustomPattern = tuple[str, str]  # (name, case-sensitive regex)
 
-# Cheap byte searches that must succeed before the costly pattern can match.
-_NEEDS = {"email": ["@"], "api_key": ["sk-", GATEWAY_TOKEN_PREFIX, "ghp_", "xoxb-"]}
+# Tests that must succeed before the costly pattern can match: literals searched for in the lower-cased text, or a
+# pattern without boundaries. Redaction labels hold no digits and none of these literals, so the tests may run on the
+# text before any redaction.
+_LITERALS = {"email": ["@"], "api_key": ["sk-", GATEWAY_TOKEN_PREFIX, "ghp_", "xoxb-"]}
+_SKETCHES = {
+    "credit_card": "[0-9]{13}",
+    "ssn": "[0-9]{3}[-. ]?[0-9]{2}[-. ]?[0-9]{4}",
+    "iban": "[0-9]{7}",
+    "phone": r"[0-9]{3}\)?[-. ]?[0-9]{3}[-. ]?[0-9]{4}",
+    "passport": "[0-9]{6}",
+}
+_NAMES = "array<string>"
 
 
 def pattern_of(name: str) -> str:
     return DLP_PATTERNS[name].replace("GATEWAY_PREFIX", GATEWAY_TOKEN_PREFIX)
 
 
+def _possible(text: Column, name: str) -> Column:
+    if name in _SKETCHES:
+        return text.rlike(_SKETCHES[name])
+    lowered, out = F.lower(text), F.lit(False)
+    for literal in _LITERALS[name]:
+        out = out | F.contains(lowered, F.lit(literal))
+    return out
+
+
 def _found(text: Column, name: str) -> Column:
-    hit = text.rlike(java_pattern(pattern_of(name), ignore_case=True))
-    needs = _NEEDS.get(name)
-    if not needs:
-        return hit
-    lowered = F.lower(text)
-    cheap = F.lit(False)
-    for literal in needs:
-        cheap = cheap | F.contains(lowered, F.lit(literal))
-    return cheap & hit
+    return _possible(text, name) & text.rlike(java_pattern(pattern_of(name), ignore_case=True))
+
+
+def _listed(conditions: list[tuple[Column, str]]) -> Column:
+    """Names whose condition holds, in order. ``concat`` compiles; filtering an array would not."""
+    none = F.array().cast(_NAMES)
+    return F.concat(none, *[F.when(cond, F.array(F.lit(name))).otherwise(none) for cond, name in conditions])
 
 
 def usable_custom(spark: SparkSession, custom: Sequence[CustomPattern]) -> list[CustomPattern]:
@@ -38,30 +55,25 @@ def usable_custom(spark: SparkSession, custom: Sequence[CustomPattern]) -> list[
 
 def violations(text: Column, detect: Sequence[str], custom: Sequence[CustomPattern] = ()) -> Column:
     """Names found in the text: built-ins in ``detect`` order (unknown names ignored), then custom ones."""
-    checks = [F.when(_found(text, n), F.lit(n)) for n in detect if n in DLP_PATTERNS]
-    checks += [F.when(text.rlike(java_pattern(rx)), F.lit(n)) for n, rx in custom]
-    if not checks:
-        return F.array().cast("array<string>")
-    return F.array_compact(F.array(*checks))
+    return _listed([(_found(text, n), n) for n in detect if n in DLP_PATTERNS]
+                   + [(text.rlike(java_pattern(rx)), n) for n, rx in custom])
 
 
-def violations_by(text: Column, detect: Column) -> Column:
-    """As :func:`violations`, with a list of types per row. A type outside the row's list is never evaluated."""
-    hits = F.array_compact(F.array(*[
-        F.when(F.array_contains(detect, n) & _found(text, n), F.lit(n)) for n in DLP_TYPES]))
-    return F.coalesce(F.filter(detect, lambda d: F.array_contains(hits, d)), F.array().cast("array<string>"))
+def found_types(text: Column) -> Column:
+    """All built-in types found in the text. What a policy makes of them is :func:`violations_of`."""
+    return violations(text, DLP_TYPES)
 
 
-def _masked(text: Column, name: str) -> Column:
-    replaced = F.regexp_replace(text, java_pattern(pattern_of(name), ignore_case=True), DLP_LABELS[name])
-    return F.when(F.contains(text, F.lit("@")), replaced).otherwise(text) if name == "email" else replaced
+def violations_of(found: Column, detect: Column) -> Column:
+    """Violations under a policy's own ``detect`` list, in its order."""
+    return F.coalesce(F.filter(detect, lambda d: F.array_contains(found, d)), F.array().cast(_NAMES))
 
 
 def redact(text: Column, detect: Sequence[str], custom: Sequence[CustomPattern] = ()) -> Column:
-    """Replace every match, one type after the other in ``detect`` order."""
-    for name in detect:
-        if name in DLP_PATTERNS:
-            text = F.regexp_replace(text, java_pattern(pattern_of(name), ignore_case=True), DLP_LABELS[name])
+    """Replace every match, one type after the other in ``detect`` order. Most texts take no replacement at all."""
+    names = [n for n in detect if n in DLP_PATTERNS]
+    if names:
+        text = redact_by(text, _listed([(_possible(text, n), n) for n in names]))
     for name, rx in custom:
         label = literal_replacement(f"[{name.upper()}-REDACTED]")
         text = F.regexp_replace(text, java_pattern(rx), label)
@@ -73,6 +85,7 @@ def redact_by(text: Column, detect: Column) -> Column:
     def step(acc: Column, name: Column) -> Column:
         out = None
         for n in DLP_TYPES:
-            out = (F.when if out is None else out.when)(name == n, _masked(acc, n))
+            masked = F.regexp_replace(acc, java_pattern(pattern_of(n), ignore_case=True), DLP_LABELS[n])
+            out = F.when(name == n, masked) if out is None else out.when(name == n, masked)
         return out.otherwise(acc)
     return F.coalesce(F.aggregate(detect, text, step), text)

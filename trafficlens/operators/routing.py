@@ -29,16 +29,15 @@ def route_rules(df: DataFrame, text_col: str, rules: Rules = ROUTING_RULES) -> D
     return df.withColumn("tier", rule_tier(F.col(text_col), rules))
 
 
-def route(header: Column, text: Column, model: Column, mode: str = "rules", tiers: Mapping[str, str] = TIER_MODELS,
-          rules: Rules = ROUTING_RULES, classified: Column | None = None) -> Column:
-    """Struct (tier, method, model): valid header, keyword rule, classifier (mode ``auto``), default.
+def route(header: Column, rule: Column, model: Column, mode: str = "rules", tiers: Mapping[str, str] = TIER_MODELS,
+          classified: Column | None = None) -> Column:
+    """Struct (tier, method, model): valid header, keyword rule (see :func:`rule_tier`), classifier, default.
 
     Mode ``off`` switches routing off only for requests without a tier header; an invalid one still runs the rules.
     """
     tier_model = lambda t: F.coalesce(*[F.when(t == k, F.lit(v)) for k, v in tiers.items()])
     made = lambda t, method, m: F.struct(t.alias("tier"), F.lit(method).alias("method"), m.alias("model"))
     default = made(F.lit("standard"), "default", F.coalesce(model, F.lit(tiers["standard"])))
-    rule = rule_tier(text, rules)
     out = F.when(F.lit(mode == "off") & (header.isNull() | (header == "")), default)
     out = out.when(header.isin(TIERS), made(header, "header", tier_model(header)))
     out = out.when(rule.isNotNull(), made(rule, "rule", tier_model(rule)))
@@ -49,11 +48,12 @@ def route(header: Column, text: Column, model: Column, mode: str = "rules", tier
 
 
 def route_model(df: DataFrame, text_col: str, header_col: str = "tier_header", model_col: str = "model",
-                **options) -> DataFrame:
+                rules: Rules = ROUTING_RULES, **options) -> DataFrame:
     """Add ``tier``, ``method`` and ``routed_model``."""
-    routed = df.withColumn("_r", route(F.col(header_col), F.col(text_col), F.col(model_col), **options))
+    ruled = df.withColumn("_rule", rule_tier(F.col(text_col), rules))
+    routed = ruled.withColumn("_r", route(F.col(header_col), F.col("_rule"), F.col(model_col), **options))
     return (routed.withColumn("tier", F.col("_r.tier")).withColumn("method", F.col("_r.method"))
-            .withColumn("routed_model", F.col("_r.model")).drop("_r"))
+            .withColumn("routed_model", F.col("_r.model")).drop("_r", "_rule"))
 
 
 def price_join(df: DataFrame, model_col: str = "model", prices=PRICES) -> DataFrame:

@@ -30,72 +30,81 @@ def admit(requests: DataFrame, tokens: DataFrame, required: bool = False, window
             .drop("_denied"))
 
 
-def inspect(text: Column, provider: Column) -> dict[str, Column]:
-    """Policy verdict columns for rows that carry ``detect``, ``dlp_action``, ``guard_enabled``, ``block_threshold``,
-    ``allowed_providers`` and ``has_policy``. Used by the batch and the stream alike."""
-    has = F.col("has_policy")
-    none = F.array().cast("array<string>")
-    return {
-        "violations": F.when(has, dlp.violations_by(text, F.col("detect"))).otherwise(none),
-        # A blocked text is not scored any further.
-        "_hits": F.when(has & F.col("guard_enabled")
-                        & ~((F.size("violations") > 0) & (F.col("dlp_action") == "block")), guard.hits(text)),
-        "score": guard.score(F.col("_hits")),
-        "labels": guard.labels(F.col("_hits")),
-        "provider_resolved": provider_resolve(provider),
-    }
+def text_verdicts(df: DataFrame, text_col: str) -> DataFrame:
+    """Add what the patterns say about a text, whatever the policy: ``found_types``, ``score``, ``labels``."""
+    return (df.withColumn("found_types", dlp.found_types(F.col(text_col)))
+            .withColumn("_hits", guard.hits(F.col(text_col)))
+            .withColumn("score", guard.score(F.col("_hits"))).withColumn("labels", guard.labels(F.col("_hits")))
+            .drop("_hits"))
 
 
 _EVENT = "array<struct<seq: bigint, action: string, detail: string>>"
 
 
-def apply_policy(rows: DataFrame, text_col: str = "prompt", provider_col: str = "provider") -> DataFrame:
-    """Verdicts of the policy joined to each row: ``outcome``, ``events`` (0–3 per request) and ``relay_text``."""
-    out = rows.withColumn("has_policy", F.col("source").isNotNull())
-    for name, column in inspect(F.col(text_col), F.col(provider_col)).items():
-        out = out.withColumn(name, column)
-    ok = F.col("outcome") == "ok"
-    found = ok & (F.size("violations") > 0)
+def apply_policy(rows: DataFrame, provider_col: str = "provider") -> DataFrame:
+    """Outcome of each row's policy, given the text verdicts: ``outcome``, ``events`` (0-3), ``redact_with``.
+
+    ``redact_with`` is the list of types to redact before relaying, null when the text passes as it is. Only small
+    columns are involved; the text itself is not needed here.
+    """
+    judged = (rows.withColumn("has_policy", F.col("source").isNotNull())
+              .withColumn("violations", dlp.violations_of(F.col("found_types"), F.col("detect")))
+              .withColumn("provider_resolved", provider_resolve(F.col(provider_col))))
+    active = (F.col("outcome") == "ok") & F.col("has_policy")
+    found = active & (F.size("violations") > 0)
     dlp_stop = found & (F.col("dlp_action") == "block")
-    guard_on = ok & F.col("_hits").isNotNull()
-    guard_stop = guard_on & guard.blocked(F.col("score"), F.col("block_threshold"))
-    provider_stop = ok & F.col("has_policy") & ~provider_allowed(F.col("provider_resolved"),
-                                                                 F.col("allowed_providers"))
+    guard_stop = active & F.col("guard_enabled") & guard.blocked(F.col("score"), F.col("block_threshold"))
+    provider_stop = active & ~provider_allowed(F.col("provider_resolved"), F.col("allowed_providers"))
 
     def event(cond: Column, action: Column, detail: Column) -> Column:
         return F.when(cond, F.struct(action.alias("action"), detail.alias("detail")))
 
     dlp_name = F.concat(F.lit("dlp_"), F.when(F.col("dlp_action") == "block", "blocked")
                         .when(F.col("dlp_action") == "redact", "redacted").otherwise("logged"))
+    # The first check that stops a request is the last to raise an event.
     raised = F.array_compact(F.array(
         event(found, dlp_name, F.to_json(F.struct("violations"))),
-        event(guard_stop, F.lit("injection_blocked"),
+        event(guard_stop & ~dlp_stop, F.lit("injection_blocked"),
               F.to_json(F.struct("score", F.col("labels").alias("matches")))),
         event(provider_stop & ~dlp_stop & ~guard_stop, F.lit("provider_blocked"),
               F.to_json(F.struct(F.col("provider_resolved").alias("provider"))))))
-    return (out
-            .withColumn("events", F.transform(raised, lambda e, i: F.struct(
-                (i + 1).cast("bigint").alias("seq"), e["action"].alias("action"), e["detail"].alias("detail")))
-                .cast(_EVENT))
-            .withColumn("relay_text", F.when(found & (F.col("dlp_action") == "redact"),
-                                             dlp.redact_by(F.col(text_col), F.col("detect")))
-                        .otherwise(F.col(text_col)))
-            .withColumn("outcome", F.when(dlp_stop, "dlp_blocked").when(guard_stop, "injection_blocked")
-                        .when(provider_stop, "provider_blocked").otherwise(F.col("outcome")))
-            .drop("_hits", "violations", "score", "labels", "has_policy"))
+    numbered = F.transform(raised, lambda e, i: F.struct(
+        (i + 1).cast("bigint").alias("seq"), e["action"].alias("action"), e["detail"].alias("detail")))
+    outcome = (F.when(dlp_stop, "dlp_blocked").when(guard_stop, "injection_blocked")
+               .when(provider_stop, "provider_blocked").otherwise(F.col("outcome")))
+    keep = [c for c in rows.columns if c not in ("outcome", "found_types", "score", "labels")]
+    return judged.select(
+        *keep, "provider_resolved", outcome.alias("outcome"), numbered.cast(_EVENT).alias("events"),
+        F.when(found & (F.col("dlp_action") == "redact"), F.col("detect")).alias("redact_with"))
 
 
 def govern(requests: DataFrame, prompts: DataFrame, tokens: DataFrame, stored: DataFrame, config: DataFrame,
            required: bool = False, window_ms: int = 60_000) -> DataFrame:
-    """Every request with its ``outcome``, ``events`` and, when ok, the text to relay."""
-    admitted = admit(requests, tokens, required, window_ms)
-    named = policy_resolve(admitted, stored, config)
-    # Texts of rejected requests are never looked at: they are not even joined.
-    passed = named.filter("outcome = 'ok'").join(prompts.select("prompt_id", "prompt"), "prompt_id", "left")
-    refused = named.filter("outcome <> 'ok'").withColumn("events", F.array().cast(_EVENT)) \
-        .withColumn("relay_text", F.lit(None).cast("string")) \
-        .withColumn("provider_resolved", provider_resolve(F.col("provider")))
-    return apply_policy(passed).drop("prompt").unionByName(refused)
+    """Every request with its ``outcome``, ``events`` and ``redact_with``.
+
+    Patterns run once per stored text, not once per request: a popular prompt is scanned a single time, and only its
+    small verdict meets the requests.
+    """
+    admitted = policy_resolve(admit(requests, tokens, required, window_ms), stored, config)
+    verdicts = text_verdicts(prompts.select("prompt_id", "prompt"), "prompt").drop("prompt")
+    return apply_policy(admitted.join(verdicts, "prompt_id", "left"))
+
+
+def relay_texts(governed: DataFrame, prompts: DataFrame) -> DataFrame:
+    """``prompt_id, redact_key, relay_text`` for every distinct text that leaves governance.
+
+    Join it back on both keys (see :func:`redact_key`).
+    """
+    wanted = governed.filter("outcome = 'ok'").select(
+        F.col("prompt_id").alias("_pid"), redact_key().alias("redact_key"), "redact_with").distinct()
+    texts = wanted.join(prompts.select("prompt_id", "prompt"), F.col("_pid") == F.col("prompt_id"), "left")
+    return texts.select(F.col("_pid").alias("prompt_id"), "redact_key", F.when(
+        F.col("redact_with").isNotNull(), dlp.redact_by(F.col("prompt"), F.col("redact_with")))
+        .otherwise(F.col("prompt")).alias("relay_text"))
+
+
+def redact_key() -> Column:
+    return F.coalesce(F.array_join("redact_with", ","), F.lit(""))
 
 
 def audit_events(governed: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import PRICES, TIER_MODELS
-from ..operators.cache import cache_replay, request_hash
-from ..operators.routing import price_request, route_model
+from ..operators.cache import cache_replay
+from ..operators.routing import price_request, route, rule_tier
 from ..sources.archive import log_row, materialise
-from .govern import govern
+from .govern import govern, redact_key, relay_texts
 
 
 def replay(requests: DataFrame, prompts: DataFrame, tokens: DataFrame, stored: DataFrame, config: DataFrame,
@@ -20,18 +20,26 @@ def replay(requests: DataFrame, prompts: DataFrame, tokens: DataFrame, stored: D
     The cache key is taken from the text after redaction and before routing. Streamed requests may be served from the
     cache but never fill it. Tokens of a hit are those of the response it is served.
     """
-    governed = govern(requests, prompts, tokens, stored, config, required, window_ms).filter("outcome = 'ok'")
+    governed = govern(requests, prompts, tokens, stored, config, required, window_ms)
     message = F.array(F.struct(F.lit("user").alias("role"), F.col("relay_text").alias("content")))
-    routed = route_model(governed, "relay_text", mode=mode, tiers=tiers)
+    # Redaction, digest and rule tier are worked out once per distinct relayed text.
+    texts = relay_texts(governed, prompts).select(
+        F.col("prompt_id").alias("_pid"), F.col("redact_key").alias("_key"),
+        F.sha2(F.to_json(message), 256).alias("digest"), rule_tier(F.col("relay_text")).alias("rule"))
+    asked = governed.filter("outcome = 'ok'").withColumn("redact_key", redact_key())
+    asked = asked.join(texts, (F.col("prompt_id") == F.col("_pid")) & (F.col("redact_key") == F.col("_key")))
+    routed = asked.withColumn("_r", route(F.col("tier_header"), F.col("rule"), F.col("model"), mode, tiers))
     keyed = (routed
-             .withColumn("request_hash", request_hash(F.col("provider_resolved"), F.col("model"), message))
+             # Same digest, provider and model: same cache key.
+             .withColumn("cache_key", F.concat_ws("|", F.col("provider_resolved"), F.col("model"), F.col("digest")))
              .withColumn("can_fill", F.lit(1) - F.col("is_stream"))
              .select("request_id", "created_at", "label", F.col("provider_resolved").alias("provider"), "model",
-                     "tier", "method", "routed_model", "input_tokens", "output_tokens", "request_hash", "can_fill",
+                     F.col("_r.tier").alias("tier"), F.col("_r.method").alias("method"),
+                     F.col("_r.model").alias("routed_model"), "input_tokens", "output_tokens", "cache_key", "can_fill",
                      "policy_name", "system_prepend", "system_append", F.size("events").alias("n_events")))
     # The texts are done with: what the cache replay reads several times is this narrow table, not the scan of texts.
     keyed = materialise(keyed)
-    served = cache_replay(keyed, ttl, can_fill="can_fill", payload=("input_tokens", "output_tokens"))
+    served = cache_replay(keyed, ttl, key="cache_key", can_fill="can_fill", payload=("input_tokens", "output_tokens"))
     hit = F.col("hit") == 1
     answered = served.select(
         "request_id", "created_at", F.col("label").alias("user_label"), "provider", "policy_name", "system_prepend",

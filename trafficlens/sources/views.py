@@ -222,6 +222,18 @@ def with_views(sql: str, dialect: str = "duckdb", bases: dict[str, str] | None =
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(ctes) + "\n" + _render(sql, dialect)
 
 
+def _spread(spark: SparkSession, path: str) -> str:
+    """Hint for a table of texts that has fewer scan tasks than there are cores: work per row is heavy there.
+
+    Tables of any size have more splits than cores and are left alone.
+    """
+    if not path.endswith("documents.parquet"):
+        return ""
+    cores = spark.sparkContext.defaultParallelism
+    splits = spark.read.parquet(path).select("doc_id").rdd.getNumPartitions()
+    return f"/*+ REPARTITION({cores}) */" if splits < cores else ""
+
+
 def view(spark: SparkSession, sf_dir: str, name: str, stream: dict[str, DataFrame] | None = None) -> DataFrame:
     """One view (or stock table) over the parquet files of ``sf_dir``; ``stream`` puts streams in place of tables."""
     stream = stream or {}
@@ -237,7 +249,7 @@ def view(spark: SparkSession, sf_dir: str, name: str, stream: dict[str, DataFram
             stream[t].createOrReplaceTempView(temp)
             bases[t] = f"SELECT * FROM {temp}"
         else:
-            bases[t] = f"SELECT * FROM parquet.`{sf_dir}/{t}.parquet`"
+            bases[t] = f"SELECT {_spread(spark, f'{sf_dir}/{t}.parquet')} * FROM parquet.`{sf_dir}/{t}.parquet`"
     return spark.sql(with_views(sql, "spark", bases))
 
 

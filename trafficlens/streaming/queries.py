@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.usage import sse_usage
 from ..operators.identity import auth_resolve
 from ..operators.policy import policy_resolve
-from ..plans.govern import apply_policy
+from ..plans.govern import apply_policy, text_verdicts
 from ..sources.archive import shared_dir
 from .stateful import assemble_transcripts
 
@@ -21,8 +21,8 @@ def stream_govern(requests: DataFrame, tokens: DataFrame, stored: DataFrame, con
 
     Tokens and policies are static tables, so no state is kept.
     """
-    known = auth_resolve(requests, tokens, required)
-    return apply_policy(policy_resolve(known, stored, config), text_col)
+    known = policy_resolve(auth_resolve(requests, tokens, required), stored, config)
+    return apply_policy(text_verdicts(known, text_col))
 
 
 def stream_stats(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
