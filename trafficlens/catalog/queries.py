@@ -364,8 +364,9 @@ def route_rules(v):
 
 @query
 def route_model(v):
-    asked = v.requests.join(v.prompts, "prompt_id")
-    return routing.route_model(asked, "prompt").select("request_id", "tier", "method", "routed_model")
+    ruled = routing.route_rules(v.prompts, "prompt").select("prompt_id", F.col("tier").alias("rule"))
+    return routing.route_model(v.requests.join(ruled, "prompt_id")).select(
+        "request_id", "tier", "method", "routed_model")
 
 
 @query
@@ -588,8 +589,7 @@ def js_round(v):
 
 @query
 def sse_usage_query(v):
-    tokens_in, tokens_out = sse_usage(F.col("raw"), F.col("provider"))
-    return v.sse.select("request_id", tokens_in.alias("input_tokens"), tokens_out.alias("output_tokens"))
+    return sse_usage(v.sse).select("request_id", "input_tokens", "output_tokens")
 
 
 QUERIES["sse_usage"] = QUERIES.pop("sse_usage_query")

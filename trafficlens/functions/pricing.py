@@ -18,31 +18,33 @@ def nano_per_token(usd_per_million: float) -> int:
     return round(usd_per_million * 1000)
 
 
-def price_of(model: Column, side: str, prices: Sequence[PriceRule] = PRICES) -> Column:
-    """Nano-USD per token of the first matching price rule; ``side`` is ``input`` or ``output``.
+def price_rule(model: Column, prices: Sequence[PriceRule] = PRICES) -> Column:
+    """1-based number of the first matching price rule.
 
     One CASE over a short string: no join, no shuffle, and literal patterns are plain substring tests.
     """
-    at = {"input": 1, "output": 2}[side]
     lowered = F.lower(F.coalesce(model, F.lit("")))
     out = None
-    for rule in prices:
-        pattern = rule[0].lower() if re.fullmatch(r"[\w-]+", rule[0]) else rule[0]
+    for number, (pattern, _, _) in enumerate(prices, 1):
         if re.fullmatch(r"[\w-]+", pattern):
-            cond = F.contains(lowered, F.lit(pattern))
+            cond = F.contains(lowered, F.lit(pattern.lower()))
         elif pattern == ".*":
             cond = F.lit(True)
         else:
             cond = lowered.rlike("(?i)" + pattern)
-        value = F.lit(nano_per_token(rule[at])).cast("bigint")
-        out = F.when(cond, value) if out is None else out.when(cond, value)
+        out = F.when(cond, F.lit(number)) if out is None else out.when(cond, F.lit(number))
     return out
 
 
-def cost_nano(model: Column, input_tokens: Column, output_tokens: Column,
+def price_at(rule: Column, side: str, prices: Sequence[PriceRule] = PRICES) -> Column:
+    """Nano-USD per token under a rule number; ``side`` is ``input`` or ``output``."""
+    at = {"input": 1, "output": 2}[side]
+    return F.get(F.array(*[F.lit(nano_per_token(p[at])).cast("bigint") for p in prices]), rule - 1)
+
+
+def cost_nano(rule: Column, input_tokens: Column, output_tokens: Column,
               prices: Sequence[PriceRule] = PRICES) -> Column:
-    return (input_tokens * price_of(model, "input", prices)
-            + output_tokens * price_of(model, "output", prices))
+    return input_tokens * price_at(rule, "input", prices) + output_tokens * price_at(rule, "output", prices)
 
 
 def usd(nano: Column) -> Column:

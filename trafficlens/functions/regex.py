@@ -14,6 +14,8 @@ ASCII_WORD = "[A-Za-z0-9_]"
 ASCII_B = f"(?:(?<={ASCII_WORD})(?!{ASCII_WORD})|(?<!{ASCII_WORD})(?={ASCII_WORD}))"
 ASCII_NOT_B = f"(?:(?<={ASCII_WORD})(?={ASCII_WORD})|(?<!{ASCII_WORD})(?!{ASCII_WORD}))"
 WS = r"[\s\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+SPACES = ("\t\n\v\f\r \u00a0\ufeff\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+          "\u2028\u2029\u202f\u205f\u3000")
 NOT_WS = r"[^\s\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 _TOKEN = re.compile(r"\\.|\[|\]|[^\\\[\]]+", re.S)

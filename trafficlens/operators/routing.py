@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import PRICES, ROUTING_RULES, TIER_MODELS, TIERS
-from ..functions.pricing import cost_nano, price_of, usd
+from ..functions.pricing import cost_nano, price_at, price_rule, usd
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 
@@ -47,19 +47,23 @@ def route(header: Column, rule: Column, model: Column, mode: str = "rules", tier
     return out.otherwise(default)
 
 
-def route_model(df: DataFrame, text_col: str, header_col: str = "tier_header", model_col: str = "model",
-                rules: Rules = ROUTING_RULES, **options) -> DataFrame:
-    """Add ``tier``, ``method`` and ``routed_model``."""
-    ruled = df.withColumn("_rule", rule_tier(F.col(text_col), rules))
-    routed = ruled.withColumn("_r", route(F.col(header_col), F.col("_rule"), F.col(model_col), **options))
+def route_model(df: DataFrame, rule_col: str = "rule", header_col: str = "tier_header", model_col: str = "model",
+                **options) -> DataFrame:
+    """Add ``tier``, ``method`` and ``routed_model`` to requests that carry the rule tier of their text.
+
+    The rule tier is a property of the text: work it out on the table of texts (``route_rules``) and join it.
+    """
+    routed = df.withColumn("_r", route(F.col(header_col), F.col(rule_col), F.col(model_col), **options))
     return (routed.withColumn("tier", F.col("_r.tier")).withColumn("method", F.col("_r.method"))
-            .withColumn("routed_model", F.col("_r.model")).drop("_r", "_rule"))
+            .withColumn("routed_model", F.col("_r.model")).drop("_r"))
 
 
 def price_join(df: DataFrame, model_col: str = "model", prices=PRICES) -> DataFrame:
     """Add ``price_in`` and ``price_out``, USD per million tokens of the first matching price rule."""
-    per_million = lambda side: price_of(F.col(model_col), side, prices).cast("double") / F.lit(1000.0)
-    return df.withColumn("price_in", per_million("input")).withColumn("price_out", per_million("output"))
+    ruled = df.withColumn("_rule", price_rule(F.col(model_col), prices))
+    per_million = lambda side: price_at(F.col("_rule"), side, prices).cast("double") / F.lit(1000.0)
+    return (ruled.withColumn("price_in", per_million("input")).withColumn("price_out", per_million("output"))
+            .drop("_rule"))
 
 
 def price_request(log: DataFrame, prices=PRICES) -> DataFrame:
@@ -67,9 +71,15 @@ def price_request(log: DataFrame, prices=PRICES) -> DataFrame:
 
     A cache hit costs nothing and saves the full price; otherwise a cheaper routed model saves the difference.
     """
-    full = cost_nano(F.col("original_model"), F.col("input_tokens"), F.col("output_tokens"), prices)
-    paid = cost_nano(F.col("routed_model"), F.col("input_tokens"), F.col("output_tokens"), prices)
-    hit = F.col("from_cache") == 1
-    priced = (log.withColumn("cost_nano", F.when(hit, F.lit(0).cast("bigint")).otherwise(paid))
-              .withColumn("saved_nano", F.when(hit, full).otherwise(F.greatest(full - paid, F.lit(0).cast("bigint")))))
-    return (priced.withColumn("cost_usd", usd(F.col("cost_nano"))).withColumn("saved_usd", usd(F.col("saved_nano"))))
+    # Rules and costs are columns of their own, so that each is worked out once per row.
+    costed = (log.withColumn("_full_rule", price_rule(F.col("original_model"), prices))
+              .withColumn("_paid_rule", F.when(F.col("routed_model") == F.col("original_model"), F.col("_full_rule"))
+                          .otherwise(price_rule(F.col("routed_model"), prices)))
+              .withColumn("_full", cost_nano(F.col("_full_rule"), F.col("input_tokens"), F.col("output_tokens"), prices))
+              .withColumn("_paid", cost_nano(F.col("_paid_rule"), F.col("input_tokens"), F.col("output_tokens"), prices)))
+    hit, zero = F.col("from_cache") == 1, F.lit(0).cast("bigint")
+    priced = (costed.withColumn("cost_nano", F.when(hit, zero).otherwise(F.col("_paid")))
+              .withColumn("saved_nano", F.when(hit, F.col("_full"))
+                          .otherwise(F.greatest(F.col("_full") - F.col("_paid"), zero))))
+    return (priced.withColumn("cost_usd", usd(F.col("cost_nano"))).withColumn("saved_usd", usd(F.col("saved_nano")))
+            .drop("_full_rule", "_paid_rule", "_full", "_paid"))

@@ -20,7 +20,8 @@ def replay(requests: DataFrame, prompts: DataFrame, tokens: DataFrame, stored: D
     The cache key is taken from the text after redaction and before routing. Streamed requests may be served from the
     cache but never fill it. Tokens of a hit are those of the response it is served.
     """
-    governed = govern(requests, prompts, tokens, stored, config, required, window_ms)
+    # Two narrow tables are written on the way, because several branches read each: the verdicts and the cache keys.
+    governed = materialise(govern(requests, prompts, tokens, stored, config, required, window_ms))
     message = F.array(F.struct(F.lit("user").alias("role"), F.col("relay_text").alias("content")))
     # Redaction, digest and rule tier are worked out once per distinct relayed text.
     texts = relay_texts(governed, prompts).select(
@@ -37,7 +38,6 @@ def replay(requests: DataFrame, prompts: DataFrame, tokens: DataFrame, stored: D
                      F.col("_r.tier").alias("tier"), F.col("_r.method").alias("method"),
                      F.col("_r.model").alias("routed_model"), "input_tokens", "output_tokens", "cache_key", "can_fill",
                      "policy_name", "system_prepend", "system_append", F.size("events").alias("n_events")))
-    # The texts are done with: what the cache replay reads several times is this narrow table, not the scan of texts.
     keyed = materialise(keyed)
     served = cache_replay(keyed, ttl, key="cache_key", can_fill="can_fill", payload=("input_tokens", "output_tokens"))
     hit = F.col("hit") == 1

@@ -38,9 +38,7 @@ def stream_stats(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 def stream_usage(chunks: DataFrame) -> DataFrame:
     """Token usage per streamed response, from its chunks."""
-    whole = assemble_transcripts(chunks)
-    tokens_in, tokens_out = sse_usage(F.col("raw"), F.col("provider"))
-    return whole.select("request_id", tokens_in.alias("input_tokens"), tokens_out.alias("output_tokens"))
+    return sse_usage(assemble_transcripts(chunks)).select("request_id", "input_tokens", "output_tokens")
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
