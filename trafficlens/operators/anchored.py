@@ -139,7 +139,9 @@ def anchored_windows(events: DataFrame, key: str, ts: str, row_id: str, width: i
         return (points.groupBy("key").agg(F.min("t").alias("start"), F.min_by("rid", F.struct("t", "rid"))
                                           .alias("first_id")))
     span = span or SPAN_FACTOR * (width + 1)
+    # With the filter both readers of the groups plan alike, so the two shuffles are made once and reused.
     groups = (points.withColumn("chunk", F.floor(F.col("t") / F.lit(span)).cast("bigint"))
+              .filter(F.col("key").isNotNull() & F.col("chunk").isNotNull())
               .groupBy("key", "chunk", "t").agg(F.min("rid").alias("rid"))
               .groupBy("key", "chunk").agg(F.array_sort(F.collect_list(F.struct("t", "rid"))).alias("p"))
               .select("key", "chunk", F.col("p.t").alias("ts"), F.col("p.rid").alias("firsts")))

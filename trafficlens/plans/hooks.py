@@ -18,15 +18,20 @@ DEFAULT_PRIORITY = 50
 def run_steps(requests: DataFrame, steps: Iterable[tuple[int | None, Step]]) -> DataFrame:
     """Apply steps in priority order (lower first, default 50, equal ones in the order given).
 
-    A step may answer a request by setting its ``short_circuit`` column; later steps do not see that row again.
+    A step adds or changes columns with ``withColumn``; it keeps every row. It may answer a request by setting its
+    ``short_circuit`` column: what later steps make of that row is undone. All steps together are one pass.
     """
     ordered = sorted(steps, key=lambda s: DEFAULT_PRIORITY if s[0] is None else s[0])
     current = requests
     if "short_circuit" not in current.columns:
         current = current.withColumn("short_circuit", F.lit(None).cast("string"))
     for _, step in ordered:
-        done = current.filter(F.col("short_circuit").isNotNull())
-        current = step(current.filter(F.col("short_circuit").isNull())).unionByName(done, allowMissingColumns=True)
+        old = current.columns
+        after = step(current.withColumn("_was", F.struct(*old)))
+        answered = F.col("_was.short_circuit").isNotNull()
+        current = after.select(*[
+            F.when(answered, F.col("_was")[c] if c in old else F.lit(None)).otherwise(F.col(c)).alias(c)
+            for c in after.columns if c != "_was"])
     return current
 
 
