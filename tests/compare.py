@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -63,6 +64,8 @@ if __name__ == "__main__":
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "12g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("TEST_TIME_ZONE"):
+        spark.conf.set("spark.sql.session.timeZone", os.environ["TEST_TIME_ZONE"])
     sf = sys.argv[1]
     con = connect(sf)
     names = sys.argv[2:] or list(entry.queries())

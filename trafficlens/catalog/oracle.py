@@ -296,10 +296,12 @@ def governed(limited: bool) -> dict[str, str]:
                             "FROM gated g LEFT JOIN lim_verdict v ON v.request_id = g.request_id")
     else:
         ctes["admitted"] = "SELECT *, 'ok' AS admission FROM ident"
-    ctes["judged"] = f"""SELECT a.*, e.name AS pol, e.dlp_action, e.block_threshold, e.allowed, e.detect, e.system_prepend,
-        p.prompt, CASE WHEN e.name IS NULL THEN [] ELSE {dlp_list('p.prompt', DLP_TYPES, 'e.detect')} END AS v,
-        {guard_max('p.prompt')} AS score, {guard_labels('p.prompt')} AS l
-      FROM admitted a LEFT JOIN effective e ON e.name = a.policy_name LEFT JOIN prompts p ON p.prompt_id = a.prompt_id"""
+    ctes["verdicts"] = f"""SELECT prompt_id, prompt, {dlp_list('prompt', DLP_TYPES)} AS types, {guard_max('prompt')} AS score,
+        {guard_labels('prompt')} AS l FROM prompts"""
+    ctes["judged"] = """SELECT a.*, e.name AS pol, e.dlp_action, e.block_threshold, e.allowed, e.detect, e.system_prepend,
+        p.prompt, p.score, p.l,
+        CASE WHEN e.name IS NULL THEN [] ELSE list_filter(e.detect, lambda d: list_contains(p.types, d)) END AS v
+      FROM admitted a LEFT JOIN effective e ON e.name = a.policy_name LEFT JOIN verdicts p ON p.prompt_id = a.prompt_id"""
     ctes["stops"] = """SELECT *, admission = 'ok' AND pol IS NOT NULL AND len(v) > 0 AS found,
         admission = 'ok' AND pol IS NOT NULL AND len(v) > 0 AND dlp_action = 'block' AS s_dlp,
         admission = 'ok' AND pol IS NOT NULL AND score >= block_threshold AS s_guard,

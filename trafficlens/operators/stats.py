@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,8 @@ def _within(log: DataFrame, low: int, high: int) -> DataFrame:
     kept = log.filter(F.col("created_at").between(low, high))
     if "dt" in log.columns:
         # Date folders that cannot hold such rows are not even listed.
-        day = lambda s: F.lit(s).cast("bigint")
-        kept = kept.filter(F.col("dt").between(F.date_format(F.timestamp_seconds(day(low)), "yyyy-MM-dd"),
-                                               F.date_format(F.timestamp_seconds(day(high)), "yyyy-MM-dd")))
+        day = lambda seconds: str(date(1970, 1, 1) + timedelta(days=seconds // 86_400))
+        kept = kept.filter(F.col("dt").between(day(low), day(high)))
     return kept
 
 

@@ -50,7 +50,9 @@ def read_requests(spark: SparkSession, path: str, streaming: bool = False) -> Da
 
 
 def dated(df: DataFrame, ts: str = "created_at") -> DataFrame:
-    return df.withColumn("dt", F.date_format(F.timestamp_seconds(F.col(ts)), "yyyy-MM-dd"))
+    """Add the UTC day as ``dt``, whatever the session time zone."""
+    days = F.floor(F.col(ts) / F.lit(86_400)).cast("int")
+    return df.withColumn("dt", F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string"))
 
 
 def _append(df: DataFrame, path: str) -> None:

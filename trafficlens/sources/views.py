@@ -15,7 +15,9 @@ TABLES = ["customer", "conversations", "documents", "embeddings", "events", "pag
 
 _DIALECT = {
     "spark": {
-        "@EPOCH@": "timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)",
+        # Wall-clock parts, so that the session time zone plays no role.
+        "@EPOCH@": "(CAST(datediff(CAST(ts AS DATE), DATE '1970-01-01') AS BIGINT) * 86400"
+                   " + hour(ts) * 3600 + minute(ts) * 60 + second(ts))",
         "@SHA@": "sha2(provider || '|' || model || '|' || CAST(prompt_id AS STRING), 256)",
     },
     "duckdb": {
