@@ -15,7 +15,10 @@ Rules = Sequence[tuple[str, Sequence[str]]]
 
 def rule_tier(text: Column, rules: Rules = ROUTING_RULES) -> Column:
     """Tier of the first rule one of whose keywords occurs in the text; null when none does."""
-    lowered = F.lower(text)
+    return rule_tier_of_lowered(F.lower(text), rules)
+
+
+def rule_tier_of_lowered(lowered: Column, rules: Rules = ROUTING_RULES) -> Column:
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for tier, keywords in rules:
         hit = F.lit(False)
@@ -25,8 +28,10 @@ def rule_tier(text: Column, rules: Rules = ROUTING_RULES) -> Column:
     return out
 
 
-def route_rules(df: DataFrame, text_col: str, rules: Rules = ROUTING_RULES) -> DataFrame:
-    return df.withColumn("tier", rule_tier(F.col(text_col), rules))
+def route_rules(df: DataFrame, text_col: str, rules: Rules = ROUTING_RULES, out_col: str = "tier") -> DataFrame:
+    """Add the rule tier of a text. The lower-case text is a column of its own, so that it is made once per row."""
+    return (df.withColumn("_lowered", F.lower(F.col(text_col)))
+            .withColumn(out_col, rule_tier_of_lowered(F.col("_lowered"), rules)).drop("_lowered"))
 
 
 def route(header: Column, rule: Column, model: Column, mode: str = "rules", tiers: Mapping[str, str] = TIER_MODELS,

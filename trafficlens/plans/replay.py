@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import PRICES, TIER_MODELS
 from ..operators.cache import cache_replay
-from ..operators.routing import price_request, route, rule_tier
+from ..operators.routing import price_request, route, route_rules
 from ..sources.archive import log_row, materialise
 from .govern import govern, redact_key, relay_texts
 
@@ -24,9 +24,9 @@ def replay(requests: DataFrame, prompts: DataFrame, tokens: DataFrame, stored: D
     governed = materialise(govern(requests, prompts, tokens, stored, config, required, window_ms))
     message = F.array(F.struct(F.lit("user").alias("role"), F.col("relay_text").alias("content")))
     # Redaction, digest and rule tier are worked out once per distinct relayed text.
-    texts = relay_texts(governed, prompts).select(
+    texts = route_rules(relay_texts(governed, prompts), "relay_text", out_col="rule").select(
         F.col("prompt_id").alias("_pid"), F.col("redact_key").alias("_key"),
-        F.sha2(F.to_json(message), 256).alias("digest"), rule_tier(F.col("relay_text")).alias("rule"))
+        F.sha2(F.to_json(message), 256).alias("digest"), "rule")
     asked = governed.filter("outcome = 'ok'").withColumn("redact_key", redact_key())
     asked = asked.join(texts, (F.col("prompt_id") == F.col("_pid")) & (F.col("redact_key") == F.col("_key")))
     routed = asked.withColumn("_r", route(F.col("tier_header"), F.col("rule"), F.col("model"), mode, tiers))

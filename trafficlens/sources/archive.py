@@ -38,7 +38,7 @@ def normalise_requests(df: DataFrame, body_col: str = "body") -> DataFrame:
     return parsed.select(
         *[c for c in df.columns if c != body_col],
         body["model"].alias("model"), F.coalesce(body["stream"], F.lit(False)).alias("stream"),
-        F.coalesce(F.size(body["messages"]), F.lit(0)).cast("bigint").alias("n_messages"),
+        F.when(body["messages"].isNotNull(), F.size(body["messages"])).otherwise(0).cast("bigint").alias("n_messages"),
         B.request_text(body).alias("request_text"), B.last_user_text(body["messages"]).alias("last_user"),
         F.col(body_col).alias("raw"))
 
