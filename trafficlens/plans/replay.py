@@ -22,13 +22,13 @@ def replay(requests: DataFrame, prompts: DataFrame, tokens: DataFrame, stored: D
     """
     # Two narrow tables are written on the way, because several branches read each: the verdicts and the cache keys.
     governed = materialise(govern(requests, prompts, tokens, stored, config, required, window_ms))
-    message = F.array(F.struct(F.lit("user").alias("role"), F.col("relay_text").alias("content")))
-    # Redaction, digest and rule tier are worked out once per distinct relayed text.
-    texts = route_rules(relay_texts(governed, prompts), "relay_text", out_col="rule").select(
-        F.col("prompt_id").alias("_pid"), F.col("redact_key").alias("_key"),
-        F.sha2(F.to_json(message), 256).alias("digest"), "rule")
+    # Redaction, digest and rule tier are worked out once per distinct relayed text. Untouched texts are read where they
+    # are stored; only those that some policy redacts are joined to their redaction lists first.
+    redacted = relay_texts(governed.filter("redact_with IS NOT NULL"), prompts)
+    untouched = prompts.select("prompt_id", F.lit("").alias("redact_key"), F.col("prompt").alias("relay_text"))
+    texts = _text_keys(untouched).unionByName(_text_keys(redacted))
     asked = governed.filter("outcome = 'ok'").withColumn("redact_key", redact_key())
-    asked = asked.join(texts, (F.col("prompt_id") == F.col("_pid")) & (F.col("redact_key") == F.col("_key")))
+    asked = asked.join(texts, (F.col("prompt_id") == F.col("_pid")) & (F.col("redact_key") == F.col("_key")), "left")
     routed = asked.withColumn("_r", route(F.col("tier_header"), F.col("rule"), F.col("model"), mode, tiers))
     keyed = (routed
              # Same digest, provider and model: same cache key.
@@ -52,6 +52,14 @@ def replay(requests: DataFrame, prompts: DataFrame, tokens: DataFrame, stored: D
     return price_request(answered, prices)
 
 
+def _text_keys(texts: DataFrame) -> DataFrame:
+    """What the replay needs of a relayed text: ``_pid, _key, digest, rule``."""
+    message = F.array(F.struct(F.lit("user").alias("role"), F.col("relay_text").alias("content")))
+    return route_rules(texts, "relay_text", out_col="rule").select(
+        F.col("prompt_id").alias("_pid"), F.col("redact_key").alias("_key"),
+        F.sha2(F.to_json(message), 256).alias("digest"), "rule")
+
+
 def answered_log(replayed: DataFrame) -> DataFrame:
     """The replay in the layout of the stored request log."""
     return log_row(replayed)
