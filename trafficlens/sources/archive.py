@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,17 @@ from . import schemas
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's checkpoint folder, or a temporary one when none is set."""
+    """A new folder that every executor can reach, below the cluster's checkpoint folder.
+
+    Only a local session may do without that setting: its driver and executors are one process, and a temporary
+    folder serves. Elsewhere a missing setting is an error, as each executor would write to its own disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="trafficlens-")
-    return f"{base}/trafficlens-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/trafficlens-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
