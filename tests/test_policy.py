@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from trafficlens.functions import body as B
@@ -148,6 +149,8 @@ def test_prices(spark):
                                 "id int, original_model string, routed_model string, input_tokens bigint, output_tokens bigint, from_cache int")
     got = {r.id: (r.cost_usd, r.saved_usd) for r in routing.price_request(log).collect()}
     assert got == {1: (0.000156, 0.015594), 2: (0.01575, 0.0), 3: (0.0, 0.01575)}
+    with pytest.raises(ValueError):
+        routing.price_request(log, [(".*", 0.0375, 1.0)])
 
 
 def test_body_texts(spark):

@@ -53,7 +53,24 @@ def test_transcripts_across_batches(spark, tmp_path):
     rows = [(1, "anthropic", i, c, int(i == 3), 1_700_000_000 + i) for i, c in enumerate(lines)]
     rows = [rows[0], rows[3], rows[1], rows[2]]  # the end marker overtakes
     src = feed(spark, str(tmp_path / "in"), rows, "request_id bigint, provider string, seq bigint, chunk string, is_last bigint, created_at bigint", 2)
-    assert [tuple(r) for r in streams.run_available(streams.stream_usage(src), "t").collect()] == [(1, 7, 3)]
+    assert [tuple(r) for r in streams.run_available(streams.stream_usage(src), "t").collect()] == [(1, 7, 3, 1)]
+
+
+def test_stalled_response_is_a_row(spark, tmp_path):
+    t = 1_700_000_000
+    rows = [(1, "anthropic", 0, 'data: {"usage":{"input_tokens":4,"output_tokens":2}}\n', 0, t),
+            (2, "openai", 0, 'data: {"usage":{"prompt_tokens":5}}\n', 1, t + 10_800),
+            (3, "openai", 0, "data: [DONE]\n", 1, t + 10_900)]
+    src = feed(spark, str(tmp_path / "in"), rows, "request_id bigint, provider string, seq bigint, chunk string, is_last bigint, created_at bigint", 3)
+    got = sorted(tuple(r) for r in streams.run_available(streams.stream_usage(src), "t").collect())
+    assert got == [(1, 4, 2, 0), (2, 5, 0, 1), (3, 0, 0, 1)]
+
+
+def test_unlimited_traffic_keeps_no_state(spark, tmp_path):
+    rows = [(i, "u" if i % 2 else None, 0 if i % 2 else None, 1_700_000_000) for i in range(6)]
+    src = feed(spark, str(tmp_path / "in"), rows, "request_id bigint, label string, rpm_limit bigint, created_at bigint", 2)
+    got = {r.request_id: r.allowed for r in streams.run_available(stateful.stream_rate_limit(src), "t").collect()}
+    assert got == {i: 1 for i in range(6)}
 
 
 def test_daily_counters(spark, tmp_path):

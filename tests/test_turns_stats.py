@@ -45,6 +45,23 @@ def test_compression_limits(spark):
     assert same.filter("conv_id = 1").count() == 5 and same.count() == df.count()
 
 
+def test_flaky_summariser_runs_once_per_head(spark):
+    rows = [(c, i, "user", f"m{c}-{i} " + "x" * 60) for c in range(30) for i in range(9)]
+    df = spark.createDataFrame(rows, TURN)
+    calls = spark.sparkContext.accumulator(0)
+
+    def flaky(heads):
+        if any('"m7-' in h for h in heads):
+            raise RuntimeError("bad text")
+        calls.add(len(heads))
+        return ["short"] * len(heads)
+    out = turns.compress_apply(df, 50, 2, lambda head: hooks.summarise(head, flaky))
+    sizes = {r.conv_id: r["count"] for r in out.groupBy("conv_id").count().collect()}
+    assert sizes == {c: 9 if c == 7 else 6 for c in range(30)}
+    assert out.filter("conv_id = 7 AND text LIKE '[Previous%'").count() == 0
+    assert calls.value == 29
+
+
 LOG = ("request_id bigint, created_at bigint, user_label string, original_model string, routed_model string, routing_method string, "
        "routing_tier string, input_tokens bigint, output_tokens bigint, from_cache bigint, duration_ms bigint, cost_nano bigint, saved_nano bigint")
 AS_OF = 1_706_616_000
@@ -94,7 +111,7 @@ def test_switches_and_limits(spark):
     assert [tuple(r) for r in stats.routing_switches(df, AS_OF, "monthly").collect()] == [("a", "b", 31), ("a", "c", 16)]
     assert [tuple(r) for r in stats.routing_switches(df, AS_OF, "daily_avg").collect()] == [("a", "b", 1), ("a", "c", 1)]
     assert [tuple(r) for r in stats.top_models(df, AS_OF, "monthly", 2).collect()] == [("b", 31), ("c", 16)]
-    events = spark.range(300).select(F.col("id"), F.lit(1).alias("created_at"), F.lit("u").alias("user_label"), F.lit("x").alias("action"))
+    events = spark.range(300).select(F.col("id"), F.lit(1).alias("created_at"), F.lit("u").alias("user_label"), F.lit("x").alias("action"), F.lit("p").alias("policy_name"), F.lit("{}").alias("detail"))
     assert stats.recent_events(events, 500).count() == 200 and stats.recent_events(events).first().id == 299
     with pytest.raises(ValueError):
         stats.recent_events(events, -1)
@@ -124,6 +141,24 @@ def test_failing_classifier_is_standard(spark):
     assert hooks.classify(df, "t", broken).first().classified == "standard"
 
 
+def test_one_bad_text_costs_one_text(spark):
+    df = spark.createDataFrame([(i, "bad" if i == 3 else "text") for i in range(8)], "i int, t string").coalesce(1)
+
+    def fails(texts):
+        if "bad" in list(texts):
+            raise RuntimeError("bad")
+        return ["complex"] * len(texts)
+    got = {r.i: r.classified for r in hooks.classify(df, "t", fails).collect()}
+    assert got == {i: "standard" if i == 3 else "complex" for i in range(8)}
+
+    def vectors(texts):
+        if "bad" in texts:
+            raise RuntimeError("bad")
+        return [[3.0, 4.0]] * len(texts)
+    got = {r.i: r.embedding for r in hooks.embed(df, "t", vectors).collect()}
+    assert got[3] is None and [round(x, 6) for x in got[0]] == [0.6, 0.8]
+
+
 def test_written_log_prunes_days(spark, tmp_path):
     df = log(spark, row(AS_OF, "u", 5, 6), row(AS_OF - 3 * 86_400, "u", 5, 6)).withColumn("provider", F.lit("p")) \
         .withColumn("cost_usd", F.lit(0.0)).withColumn("saved_usd", F.lit(0.0))

@@ -165,8 +165,8 @@ add("cache_upsert", """
 SELECT id, request_hash, provider, model, created_at, expires_at FROM (
   SELECT *, row_number() OVER (PARTITION BY request_hash ORDER BY created_at DESC, id DESC) AS n FROM (
     SELECT id, request_hash, provider, model, created_at, expires_at FROM cache_entries
-    UNION ALL SELECT k.request_id, k.request_hash, k.provider, k.model, k.created_at, k.created_at + 86400
-    FROM request_keys k JOIN requests r ON r.request_id = k.request_id WHERE r.event_type IN ('click', 'error')))
+    UNION ALL SELECT k.request_id, k.request_hash, k.provider, k.model, k.created_at + 60, k.created_at + 60 + 86400
+    FROM request_keys k))
 WHERE n = 1""")
 add("dim_upsert", """
 SELECT coalesce(t.label, c.label) AS label, CASE WHEN c.label IS NOT NULL THEN c.token ELSE t.token END AS token,
@@ -509,7 +509,7 @@ SELECT t.label, {MASK} AS token_masked, t.rpm_limit, t.policy_name, CAST(t.revok
   coalesce(u.reqs, 0) AS requests, coalesce(u.cost, 0.0::DOUBLE) AS cost_usd, coalesce(u.saved, 0.0::DOUBLE) AS saved_usd
 FROM tokens t LEFT JOIN users u ON u.user_label = t.label""", USERS)
 add("recent_events", """
-SELECT id, created_at, user_label, action FROM policy_log ORDER BY created_at DESC, id DESC LIMIT 50""")
+SELECT id, created_at, user_label, policy_name, action, detail FROM policy_log ORDER BY created_at DESC, id DESC LIMIT 50""")
 add("log_tier_from_model", """
 SELECT request_id, CASE WHEN contains(routed_model, 'haiku') THEN 'simple' WHEN contains(routed_model, 'sonnet')
   THEN 'standard' ELSE 'complex' END AS tier FROM request_log""")
@@ -531,8 +531,8 @@ JOIN per ON created_at BETWEEN lo AND hi GROUP BY ALL""", PERIOD)
 add("js_round", """
 SELECT event_id, CAST(floor(value * 100e0 + 0.5e0) AS DOUBLE) / 100e0 AS rounded,
   CAST(floor(value * 0.1e0 + 0.5e0) AS BIGINT) AS whole FROM events""")
-for _name in ("sse_usage", "stream_usage"):
-    add(_name, "SELECT request_id, input_tokens, output_tokens FROM requests")
+add("sse_usage", "SELECT request_id, input_tokens, output_tokens FROM requests")
+add("stream_usage", "SELECT request_id, input_tokens, output_tokens, CAST(1 AS BIGINT) AS complete FROM requests")
 add("parse_usage", """
 SELECT request_id, CASE WHEN request_id % 3 = 2 THEN 0 ELSE input_tokens END AS input_tokens,
   CASE WHEN request_id % 3 = 2 THEN 0 ELSE output_tokens END AS output_tokens FROM requests""")

@@ -82,9 +82,8 @@ def write_policy_log(v):
 
 @query
 def cache_upsert(v):
-    fresh = v.requests.filter(F.col("event_type").isin("click", "error")).select("request_id")
-    written = (v.request_keys.join(fresh, "request_id")
-               .select(F.col("request_id").alias("id"), "request_hash", "provider", "model", "created_at"))
+    written = v.request_keys.select(F.col("request_id").alias("id"), "request_hash", "provider", "model",
+                                    (F.col("created_at") + 60).alias("created_at"))
     return cache.cache_upsert(v.cache_entries, written, 86_400)
 
 

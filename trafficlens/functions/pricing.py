@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,7 +16,11 @@ PriceRule = tuple[str, float, float]  # (case-insensitive pattern, USD per 1M in
 
 
 def nano_per_token(usd_per_million: float) -> int:
-    return round(usd_per_million * 1000)
+    """Exact nano-USD per token; a price with a finer part than that is refused rather than rounded."""
+    nano = Decimal(str(usd_per_million)) * 1000
+    if nano != nano.to_integral_value():
+        raise ValueError(f"{usd_per_million} USD per million tokens is no whole number of nano-USD per token")
+    return int(nano)
 
 
 def price_rule(model: Column, prices: Sequence[PriceRule] = PRICES) -> Column:

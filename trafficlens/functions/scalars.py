@@ -65,7 +65,7 @@ def strip_bearer(header: Column) -> Column:
 
 def bearer_value(header: Column) -> Column:
     """The identity token of an Authorization header: exact ``Bearer `` prefix only."""
-    return F.when(header.startswith("Bearer "), F.substring(header, 8, 1 << 30)).otherwise(header)
+    return F.when(header.startswith("Bearer "), F.substr(header, F.lit(8))).otherwise(header)
 
 
 def truncate_prompt(text: Column, size: int = 500) -> Column:

@@ -20,7 +20,7 @@ def parse_usage(body: Column) -> tuple[Column, Column]:
 def sse_events(raw: Column) -> Column:
     """Parsed ``data:`` events of one transcript, in order; blank, ``[DONE]`` and malformed ones are dropped."""
     data = F.filter(F.split(raw, "\n"), lambda line: line.startswith("data:"))
-    data = F.transform(data, lambda line: F.btrim(F.substring(line, 6, 1 << 30), F.lit(SPACES)))
+    data = F.transform(data, lambda line: F.btrim(F.substr(line, F.lit(6)), F.lit(SPACES)))
     data = F.filter(data, lambda text: (text != "") & (text != "[DONE]"))
     schema = f"message struct<{_USAGE}>, {_USAGE}"
     return F.filter(F.transform(data, lambda text: F.from_json(text, schema)), lambda e: e.isNotNull())

@@ -152,7 +152,7 @@ def recent_events(policy_log: DataFrame, limit: int | None = None) -> DataFrame:
     if n < 0:
         raise ValueError("limit must not be negative")
     return (policy_log.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
-            .select("id", "created_at", "user_label", "action"))
+            .select("id", "created_at", "user_label", "policy_name", "action", "detail"))
 
 
 def purge_logs(log: DataFrame, as_of: int, days: int) -> DataFrame:

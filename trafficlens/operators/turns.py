@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import SUMMARY_ACK, SUMMARY_HEADER
 from ..functions.scalars import estimate_tokens, message_json, utf16_length
+from ..sources.archive import materialise
 
 
 def extract_text(turns: DataFrame) -> DataFrame:
@@ -95,28 +96,29 @@ def compress_apply(turns: DataFrame, trigger: int = 6000, retain: int = 4,
                    summariser: Callable[[DataFrame], DataFrame] = extractive_summary) -> DataFrame:
     """``conv_id, pos, role, text`` after replacing the head of long conversations by its summary.
 
-    A conversation for which the summariser returns nothing stays as it is.
+    A conversation for which the summariser returns nothing stays as it is. The summaries are written to the shared
+    folder when this is called.
     """
     keep = 2 * retain
-    plan = compress_plan(turns, trigger, retain).select(
-        F.col("conv_id").alias("_conv"), "compressed", "n_head")
-    chosen = plan.filter("compressed = 1").select("_conv", "n_head")
-    # Turns kept of a compressed conversation; a group limit again, so long heads are dropped early.
-    last = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    tail = turns.withColumn("_back", last).filter(F.col("_back") <= keep)
-    tail = tail.join(chosen, F.col("conv_id") == F.col("_conv"), "left_semi")
-    cut = tail.groupBy("conv_id").agg(F.min("turn").alias("_cut")).withColumnRenamed("conv_id", "_conv")
-    head = (turns.join(cut, F.col("conv_id") == F.col("_conv")).filter(F.col("turn") < F.col("_cut"))
-            .select("conv_id", "turn", "role", "text"))
-    summaries = summariser(head).filter(F.col("summary").isNotNull())
-    done = summaries.select(F.col("conv_id").alias("_conv"))
-    fixed = summaries.select("conv_id", F.explode(F.array(
-        F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("user").alias("role"),
-                 F.concat(F.lit(SUMMARY_HEADER), F.col("summary")).alias("text")),
-        F.struct(F.lit(1).cast("bigint").alias("pos"), F.lit("assistant").alias("role"),
-                 F.lit(SUMMARY_ACK).alias("text")))).alias("m")).select("conv_id", "m.*")
-    kept = (tail.join(done, F.col("conv_id") == F.col("_conv"), "left_semi")
-            .select("conv_id", (F.lit(keep + 2) - F.col("_back")).cast("bigint").alias("pos"), "role", "text"))
-    same = (turns.join(done, F.col("conv_id") == F.col("_conv"), "left_anti")
-            .select("conv_id", F.col("turn").alias("pos"), "role", "text"))
-    return fixed.unionByName(kept).unionByName(same)
+    whole, newest = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    size = F.sum(utf16_length(message_json(F.col("role"), F.col("text")))).over(whole)
+    placed = (turns.select("conv_id", "turn", "role", "text")
+              .withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_len", size)
+              .withColumn("_back", F.row_number().over(newest)))
+    long = (estimate_tokens(F.col("_len") + F.col("_n") + 1) >= trigger) & (F.col("_n") > keep)
+    head = placed.filter(long & (F.col("_back") > keep)).select("conv_id", "turn", "role", "text")
+    # The model runs once: a second run might answer otherwise, and rows are decided by its answer.
+    summaries = materialise(summariser(head).filter(F.col("summary").isNotNull()).select(
+        F.col("conv_id").alias("_conv"), F.col("summary").alias("_summary")))
+    joined = placed.join(summaries, F.col("conv_id") == F.col("_conv"), "left")
+
+    def message(pos, role, text):
+        return F.struct(pos.cast("bigint").alias("pos"), role.alias("role"), text.alias("text"))
+
+    summary = F.array(message(F.lit(0), F.lit("user"), F.concat(F.lit(SUMMARY_HEADER), F.col("_summary"))),
+                      message(F.lit(1), F.lit("assistant"), F.lit(SUMMARY_ACK)))
+    messages = (F.when(F.col("_summary").isNull(), F.array(message(F.col("turn"), F.col("role"), F.col("text"))))
+                .when(F.col("_back") <= keep,
+                      F.array(message(F.lit(keep + 2) - F.col("_back"), F.col("role"), F.col("text"))))
+                .when(F.col("_back") == F.col("_n"), summary))  # the oldest turn of the head makes room for it
+    return joined.select("conv_id", F.explode(messages).alias("m")).select("conv_id", "m.*")

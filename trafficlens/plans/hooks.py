@@ -35,10 +35,30 @@ def run_steps(requests: DataFrame, steps: Iterable[tuple[int | None, Step]]) ->
     return current
 
 
+def one_by_one(model: Callable[[list], list], texts: list) -> list:
+    """Answers of a model to a batch of texts. If the batch fails, each text is asked alone, and one that fails is None.
+    """
+    def ask(part):
+        out = list(model(part))
+        if len(out) != len(part):
+            raise ValueError("the model gave another number of answers than texts")
+        return out
+    try:
+        return ask(texts)
+    except Exception:
+        answers = []
+        for text in texts:
+            try:
+                answers += ask([text])
+            except Exception:
+                answers.append(None)
+        return answers
+
+
 def classify(df: DataFrame, text_col: str, model: Callable | None = None) -> DataFrame:
     """Add ``classified``: simple | standard | complex. ``model`` maps a pandas Series of excerpts to labels.
 
-    Any other answer, and any failure of the model, counts as standard.
+    Any other answer counts as standard, and so does a text on which the model fails.
     """
     excerpt = truncate_prompt(F.col(text_col), 500)
     if model is None:
@@ -47,10 +67,8 @@ def classify(df: DataFrame, text_col: str, model: Callable | None = None) -> Dat
     @F.pandas_udf("string")
     def answer(texts):
         import pandas as pd
-        try:
-            out = pd.Series(model(texts), index=texts.index).astype("string").str.strip().str.lower()
-        except Exception:
-            return pd.Series("standard", index=texts.index)
+        found = one_by_one(lambda part: list(model(pd.Series(part, dtype=object))), texts.tolist())
+        out = pd.Series(found, index=texts.index).astype("string").str.strip().str.lower()
         return out.where(out.isin(["simple", "complex"]), "standard").fillna("standard")
 
     return df.withColumn("classified", answer(excerpt))
@@ -63,20 +81,19 @@ def length_classifier(excerpt: Column) -> Column:
 
 
 def embed(df: DataFrame, text_col: str, model: Callable, out_col: str = "embedding") -> DataFrame:
-    """Add a normalised vector per text. ``model`` maps a list of texts to a 2-d array; a failure gives null."""
+    """Add a normalised vector per text. ``model`` maps a list of texts to a 2-d array; a text on which it fails gets null."""
     columns = [f for f in df.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + f", `{out_col}` array<float>"
 
     def run(batches):
         import numpy as np
         for pdf in batches:
-            try:
-                v = np.asarray(model(pdf[text_col].tolist()), dtype="float64")
-                norm = np.linalg.norm(v, axis=1, keepdims=True)
-                v = v / np.where(norm == 0, 1.0, norm)
-                pdf[out_col] = list(v.astype("float32"))
-            except Exception:
-                pdf[out_col] = None
+            vectors = one_by_one(lambda texts: list(np.asarray(model(texts), dtype="float64")), pdf[text_col].tolist())
+            scaled = []
+            for v in vectors:
+                norm = 0.0 if v is None else np.linalg.norm(v)
+                scaled.append(None if v is None else (v / norm if norm else v).astype("float32"))
+            pdf[out_col] = scaled
             yield pdf
 
     return df.mapInPandas(run, schema)
@@ -96,8 +113,8 @@ def letter_embedder(texts: list[str]):
 def summarise(head: DataFrame, model: Callable) -> DataFrame:
     """Summaries of conversation heads by a user model, for ``compress_apply``.
 
-    ``model`` maps a list of head texts (JSON arrays of messages) to summaries; a failure leaves the conversation as
-    it is. A head is one request's messages, so the grouped text is bounded by the size of a request.
+    ``model`` maps a list of head texts (JSON arrays of messages) to summaries; a head on which it fails leaves
+    its conversation as it is. A head is one request's messages, so the grouped text is bounded by the size of a request.
     """
     texts = head.groupBy("conv_id").agg(F.to_json(F.transform(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))),
@@ -105,10 +122,7 @@ def summarise(head: DataFrame, model: Callable) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            try:
-                pdf["summary"] = list(model(pdf["head"].tolist()))
-            except Exception:
-                pdf["summary"] = None
+            pdf["summary"] = one_by_one(lambda heads: list(model(heads)), pdf["head"].tolist())
             yield pdf[["conv_id", "summary"]]
 
     return texts.mapInPandas(run, "conv_id bigint, summary string")

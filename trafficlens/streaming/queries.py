@@ -37,8 +37,8 @@ def stream_stats(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def stream_usage(chunks: DataFrame) -> DataFrame:
-    """Token usage per streamed response, from its chunks."""
-    return sse_usage(assemble_transcripts(chunks)).select("request_id", "input_tokens", "output_tokens")
+    """Token usage per streamed response, from its chunks; ``complete`` is 0 for one that stalled."""
+    return sse_usage(assemble_transcripts(chunks)).select("request_id", "input_tokens", "output_tokens", "complete")
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:

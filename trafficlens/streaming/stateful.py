@@ -37,9 +37,6 @@ def stream_rate_limit(requests: DataFrame, window_ms: int = 60_000, delay: str =
         allowed = []
         for seconds, limit in zip(rows["created_at"].tolist(), rows["rpm_limit"].tolist()):
             now = seconds * 1000
-            if limit <= 0:
-                allowed.append(1)
-                continue
             if start is None or now - start > window_ms:
                 start, count = now, 0
             count += 1
@@ -50,9 +47,12 @@ def stream_rate_limit(requests: DataFrame, window_ms: int = 60_000, delay: str =
         yield pd.DataFrame({"request_id": rows["request_id"], "label": key[0], "allowed": allowed})
 
     timed = _with_time(requests.select("request_id", "label", "rpm_limit", "created_at"), "created_at", delay)
-    return timed.groupBy("label").applyInPandasWithState(
+    limited = timed.filter("rpm_limit > 0").groupBy("label").applyInPandasWithState(
         step, "request_id bigint, label string, allowed bigint", "start bigint, cnt bigint", "append",
         GroupStateTimeout.EventTimeTimeout)
+    # Traffic without a limit needs no state, and no key gathers it in one task.
+    free = requests.filter("rpm_limit IS NULL OR rpm_limit <= 0")
+    return limited.unionByName(free.select("request_id", "label", F.lit(1).cast("bigint").alias("allowed")))
 
 
 def stream_cache(requests: DataFrame, ttl: int, delay: str = "1 hour") -> DataFrame:
@@ -118,14 +118,19 @@ def stream_memory(turns: DataFrame, top_k: int = 5, ttl_seconds: int = 7200, del
 def assemble_transcripts(chunks: DataFrame, idle_seconds: int = 3600, delay: str = "1 hour") -> DataFrame:
     """Whole transcripts from a stream of ``request_id, provider, seq, chunk, is_last, created_at``.
 
-    One row per response, when its last chunk has arrived; a response that stalls is given up.
+    One row per response: when its last chunk has arrived, with ``complete`` 1, or with what has arrived and
+    ``complete`` 0 when it has stalled for ``idle_seconds``.
     """
     def step(key, batches, state):
         import json
 
         import pandas as pd
         if state.hasTimedOut:
+            parts, provider = json.loads(state.get[0]), state.get[1]
             state.remove()
+            parts.pop("end", None)
+            yield pd.DataFrame({"request_id": [key[0]], "provider": [provider],
+                                "raw": ["".join(parts[k] for k in sorted(parts, key=int))], "complete": [0]})
             return
         parts = dict(json.loads(state.get[0])) if state.exists else {}
         rows = _sorted(batches, ["seq"])
@@ -136,15 +141,15 @@ def assemble_transcripts(chunks: DataFrame, idle_seconds: int = 3600, delay: str
             if state.exists:
                 state.remove()
             yield pd.DataFrame({"request_id": [key[0]], "provider": [rows["provider"].iloc[0]],
-                                "raw": ["".join(parts[str(i)] for i in range(end + 1))]})
+                                "raw": ["".join(parts[str(i)] for i in range(end + 1))], "complete": [1]})
             return
         if end is not None:
             parts["end"] = end
-        state.update((json.dumps(parts),))
+        state.update((json.dumps(parts), rows["provider"].iloc[0]))
         _keep_until(state, (int(rows["created_at"].max()) + idle_seconds) * 1000)
 
     timed = _with_time(chunks.select("request_id", "provider", "seq", "chunk", "is_last", "created_at"),
                        "created_at", delay)
     return timed.groupBy("request_id").applyInPandasWithState(
-        step, "request_id bigint, provider string, raw string", "parts string", "append",
+        step, "request_id bigint, provider string, raw string, complete bigint", "parts string, provider string", "append",
         GroupStateTimeout.EventTimeTimeout)
