@@ -5,7 +5,7 @@ number of buckets. A text is the mean of its feature embeddings. As the softmax
 mean, a trained model is a table of class scores per bucket, and a text's score is a sum over its words.
 
 Training takes a bounded sample (``PER_LANGUAGE`` labelled documents of each language, by order of a hash of the id)
-cut into passages of differing lengths, so that short texts are scored as carefully as long ones. A part of the sample
+(texts of up to 64 kB) cut into passages of differing lengths, so that short texts are scored as carefully as long ones. A part of the sample
 is held back to fit the temperature of the scores and the rejection threshold: the largest that rejects at most
 ``MISS`` of the held-back passages. Buckets that training never saw count as zero evidence, so foreign text drifts
 towards equal scores and is rejected.
@@ -134,12 +134,18 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """The bounded training sample: so many texts of each language, by order of a hash of the id."""
+    """The bounded training sample: so many texts of each language, by order of a hash of the id.
+
+    The ids are chosen on narrow rows; no text is shuffled.
+    """
     rows = docs.select(docs[f"`{id_col}`"].alias("i"), docs[f"`{text_col}`"].alias("t"), docs[f"`{lang_col}`"].alias("l"))
-    rows = rows.where("t IS NOT NULL AND l IS NOT NULL AND length(t) <= 65536 AND crc32(CAST(i AS STRING)) % 5 != 0")
-    picked = rows.withColumn("h", F.xxhash64("i")).withColumn(
+    rows = rows.where("t IS NOT NULL AND l IS NOT NULL AND octet_length(t) <= 65536 "
+                      "AND crc32(CAST(i AS STRING)) % 5 != 0")
+    ranked = rows.select("i", "l", F.xxhash64("i").alias("h")).withColumn(
         "r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i")))
-    return picked.where(F.col("r") <= per_language).select("t", "l")
+    picked = ranked.where(F.col("r") <= per_language).select("i", "l").distinct()
+    # no more rows than per_language times the number of languages
+    return rows.join(F.broadcast(picked), ["i", "l"]).select("t", "l").distinct()
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
