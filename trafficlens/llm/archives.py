@@ -209,6 +209,11 @@ def pages_to_arc(pages: DataFrame, folder: str, version: int = 2, date: str = "2
     return materialise(rows.mapInArrow(run, "path string, records bigint"))
 
 
+def _one_each(files: DataFrame) -> DataFrame:
+    """The paths, each in a task of its own: small rows that stand for large files must not be put together."""
+    return files.select("path").repartition(max(1, files.count()))
+
+
 def arc_index(files: DataFrame) -> DataFrame:
     """(path, offset, page_id, bytes, digest) of every record but the version blocks."""
     schema = "path string, offset bigint, page_id bigint, bytes bigint, digest string"
@@ -231,7 +236,7 @@ def arc_index(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
                                                  ["path", "offset", "page_id", "bytes", "digest"])
 
-    return files.select("path").repartition("path").mapInArrow(run, schema)
+    return _one_each(files).mapInArrow(run, schema)
 
 
 def revisits(index: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
@@ -251,7 +256,7 @@ def arc_to_warc(files: DataFrame, folder: str, least: int = REVISIT_BYTES) -> Da
     # every record comes along in file order, a revisit with what it refers to, so that a task holds one at a time
     plan = index.join(revisits(index, least), ["path", "offset"], "left").select(
         "path", "offset", "digest", "to_path", "to_offset", "to_page")
-    plan = plan.repartition("path").sortWithinPartitions("path", "offset")
+    plan = plan.repartition(max(1, files.count()), "path").sortWithinPartitions("path", "offset")
 
     def run(batches):
         import pyarrow as pa
@@ -323,7 +328,7 @@ def read_warc(files: DataFrame, with_payload: bool = False) -> DataFrame:
                             out = []
                     yield pa.RecordBatch.from_pylist(out, schema=shape)
 
-    return files.select("path").repartition("path").mapInArrow(run, schema)
+    return _one_each(files).mapInArrow(run, schema)
 
 
 def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
