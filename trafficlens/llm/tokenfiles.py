@@ -37,6 +37,7 @@ END_ID = 0
 READ_TOKENS = 1 << 20  # ids that one reading task row covers
 _HEAD, _HEAD_SIZE = "<IBBHI", 12
 _TAIL, _TAIL_SIZE = "<QIII4s", 24
+READ_TASKS = 10_000
 MANIFEST = "path string, part int, documents bigint, tokens bigint, bytes bigint"
 
 
@@ -281,7 +282,9 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     spans = (manifest.withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
              .withColumn("span", F.explode(F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / READ_TOKENS))))
              .select("path", "first", "span"))
-    spans = spans.repartition("path", "span")
+    # small rows that stand for much reading: a number of tasks of its own, not one that follows their size
+    tasks = manifest.agg(F.sum(F.floor((F.col("tokens") - 1) / READ_TOKENS) + 1)).first()[0] or 1
+    spans = spans.repartition(min(int(tasks), READ_TASKS))
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" * with_ids)
 
     def run(batches):
