@@ -115,3 +115,72 @@ def test_cache_upsert_and_expiry_edge(spark):
     asked = spark.createDataFrame([(9, "a", 50)], "request_id bigint, request_hash string, created_at bigint")
     assert cache_hits(asked, kept).count() == 0
     assert purge_cache(kept, 50).count() == 1 and purge_cache(kept, 51).count() == 0
+
+
+@pytest.mark.parametrize("width", [3_000_000, 40_000])
+def test_one_hot_key_passes_in_batches(spark, width):
+    """Half of a million distinct times on one key, also with a window longer than the log; batches stay small."""
+    from pyspark.accumulators import AccumulatorParam
+    from trafficlens.operators import anchored
+
+    class Largest(AccumulatorParam):
+        def zero(self, value):
+            return 0
+
+        def addInPlace(self, a, b):
+            return max(a, b)
+
+    largest = spark.sparkContext.accumulator(0, Largest())
+
+    def watched(make):
+        def outer(*args):
+            step = make(*args)
+
+            def run(batches):
+                def seen():
+                    for batch in batches:
+                        largest.add(batch.num_rows)
+                        yield batch
+                yield from step(seen())
+            return run
+        return outer
+
+    df = spark.range(1_000_000).select(
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 997)).alias("k"),
+        F.col("id").alias("t"), F.col("id").alias("i"))
+    kept = {name: getattr(anchored, name) for name in ("_summaries", "_thread_state", "_openers")}
+    try:
+        for name, make in kept.items():
+            setattr(anchored, name, watched(make))
+        starts = [r.start for r in anchored.anchored_windows(df, "k", "t", "i", width).filter("key = 'hot'")
+                  .orderBy("start").collect()]
+    finally:
+        for name, make in kept.items():
+            setattr(anchored, name, make)
+    expected, t = [], 0
+    while t < 1_000_000:
+        expected.append(t)
+        t += width + 2 - width % 2
+    assert starts == expected
+    assert 0 < largest.value <= int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+
+
+@pytest.mark.parametrize("batch", [1, 2, 7])
+def test_windows_across_tiny_batches(spark, batch):
+    """Every carried state is exercised: batches of a few rows against a plain loop."""
+    rng = random.Random(batch)
+    rows = skewed_times(rng, 1500, 3000)
+    df = spark.createDataFrame(rows, "k string, t bigint, i bigint")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        for width, span in ((40, 90), (7, 64), (1, 5), (300, 310)):
+            expected, state = set(), {}
+            for k, t, i in sorted(rows, key=lambda r: (r[1], r[2])):
+                if k not in state or t - state[k] > width:
+                    state[k] = t
+                    expected.add((k, t, i))
+            got = [tuple(r) for r in anchored_windows(df, "k", "t", "i", width, span=span).collect()]
+            assert len(got) == len(expected) and set(got) == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -5,12 +5,14 @@ expresses: where a window starts depends on where the one before it started. A p
 that holds a third of all traffic into one task. Instead time is cut into chunks, and
 
 1. events are reduced to distinct (key, time) points before anything else is shuffled;
-2. each (key, chunk) works out, in parallel, where its last window would start for every state it may be entered in
-   (at most one entry per time unit of the window width, usually a handful);
+2. each (key, chunk), read backwards, works out in parallel where its last window would start for every state it may
+   be entered in;
 3. a light scan per key threads the real state through those chunk summaries, one row of state in memory;
 4. each (key, chunk), again in parallel, lists the windows it opens.
 
-What one task holds is bounded by the length of a chunk in time units, never by the number of requests.
+Points are sorted by Spark and pass through Python in Arrow batches; no row ever holds a list of them. Between batches
+steps 3 and 4 carry one number, and step 2 the points of one window: 16 bytes for each distinct time in it, however many
+requests or windows a key has.
 """
 
 from __future__ import annotations
@@ -24,106 +26,150 @@ from pyspark.sql import functions as F
 SPAN_FACTOR = 16
 
 
-def _flatten(pdf):
-    """Points of a batch of (key, chunk) groups on one axis, far enough apart that groups never touch."""
+def _int64(column):
     import numpy as np
-    sizes = np.fromiter((len(a) for a in pdf["ts"]), dtype=np.int64, count=len(pdf))
-    t = np.concatenate([np.asarray(a, dtype=np.int64) for a in pdf["ts"]]) if len(pdf) else np.empty(0, np.int64)
-    group = np.repeat(np.arange(len(pdf)), sizes)
-    return t, group, sizes
+    return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
 
 
-def _next_openers(t, group, offset, width, span):
-    """For every point, the index of the point that opens the following window (or -1 outside the chunk)."""
+def _groups(batch, before):
+    """Group number of each row of a batch sorted by (key, chunk), its chunks, and whether the batch goes on with the
+    group ``before`` of the last one."""
     import numpy as np
-    axis = group * (span + width + 2) + offset
-    nxt = np.searchsorted(axis, axis + width, side="right")
-    inside = nxt < len(t)
-    inside[inside] = group[nxt[inside]] == group[inside]
-    return axis, np.where(inside, nxt, -1)
+    import pyarrow.compute as pc
+    key, chunk = batch.column("key"), _int64(batch.column("chunk"))
+    new = (pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+           | (chunk[1:] != chunk[:-1]))
+    return np.r_[0, np.cumsum(new)], chunk, before == (key[0].as_py(), chunk[0])
 
 
 def _summaries(width: int, span: int):
+    """From points sorted by key and chunk with the latest first: (key, chunk, upto, last_start).
+
+    A chunk entered while a window runs until before ``upto`` has its last window start at ``last_start``. Rows beyond
+    those needed, at the edges of batches, say the same as the others and do no harm.
+    """
+    stride = span + width + 2
+
     def run(batches):
         import numpy as np
-        import pandas as pd
-        for pdf in batches:
-            t, group, _ = _flatten(pdf)
-            if not len(t):
+        import pyarrow as pa
+        before, held, held_last = None, np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            offset = t - pdf["chunk"].to_numpy(np.int64)[group] * span
-            _, nxt = _next_openers(t, group, offset, width, span)
-            last = np.where(nxt >= 0, nxt, np.arange(len(t)))
-            while True:
-                further = last[last]
-                if np.array_equal(further, last):
-                    break
+            group, chunk, goes_on = _groups(batch, before)
+            if not goes_on:
+                held, held_last = held[:0], held_last[:0]
+            # Ascending on one axis, groups too far apart to touch; the points held come last, in the last group.
+            group, chunk = (group[-1] - group)[::-1], chunk[::-1]
+            t = np.r_[_int64(batch.column("t"))[::-1], held]
+            offset = t - np.r_[chunk, np.full(len(held), chunk[-1])] * span
+            axis = np.r_[group, np.full(len(held), group[-1])] * stride + offset
+            nxt = np.searchsorted(axis, axis + width, side="right")
+            inside = (nxt < len(t)) & (np.arange(len(t)) < n)
+            inside[inside] = axis[nxt[inside]] // stride == axis[inside] // stride
+            last = np.where(inside, nxt, np.arange(len(t)))
+            while not np.array_equal(further := last[last], last):
                 last = further
-            # A window from an earlier chunk runs out before offset = width, so the opener is a point below that
-            # or the first one after it.
-            first_of_group = np.r_[True, group[1:] != group[:-1]]
-            entry = (offset < width) | first_of_group | np.r_[False, offset[:-1] < width]
-            idx = np.flatnonzero(entry)
-            changes = np.r_[(group[idx][1:] != group[idx][:-1]) | (last[idx][1:] != last[idx][:-1]), True]
-            keep = idx[changes]
-            yield pd.DataFrame({"key": pdf["key"].to_numpy()[group[keep]],
-                                "chunk": pdf["chunk"].to_numpy(np.int64)[group[keep]],
-                                "upto": t[keep], "last_start": t[last[keep]]})
+            last = np.r_[t[:n], held_last][last]
+            # A window from an earlier chunk runs out before offset = width, so the opener is a point below that or the
+            # first one after it.
+            first = np.r_[True, group[1:] != group[:-1]]
+            entry = np.flatnonzero((offset[:n] < width) | first | np.r_[False, offset[:n - 1] < width])
+            keep = entry[np.r_[(group[entry][1:] != group[entry][:-1]) | (last[entry][1:] != last[entry][:-1]), True]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(pa.array(n - 1 - keep)), pa.array(chunk[keep]), pa.array(t[keep]),
+                 pa.array(last[keep])], ["key", "chunk", "upto", "last_start"])
+            # The next batch goes on below the first group; only what lies up to one window above can matter to it.
+            end = np.searchsorted(group, 0, side="right")
+            if group[-1] == 0:
+                end = len(t)
+            end = min(end, np.searchsorted(t[:end], t[0] + width, side="left") + 1)
+            before, held, held_last = (batch.column("key")[n - 1].as_py(), chunk[0]), t[:end].copy(), last[:end].copy()
     return run
 
 
 def _thread_state(width: int):
+    """From summaries sorted by key, chunk and ``upto``: the start of the window that each chunk is entered in."""
     def run(batches):
-        import pandas as pd
-        key = chunk = start = None
-        resolved = False
-        for pdf in batches:
-            keys, chunks, entries = [], [], []
-            for k, c, upto, last_start in zip(pdf["key"].tolist(), pdf["chunk"].tolist(), pdf["upto"].tolist(),
-                                              pdf["last_start"].tolist()):
-                if k != key:
-                    key, chunk, start = k, None, None
-                if c != chunk:
-                    chunk, resolved = c, False
-                    keys.append(k)
-                    chunks.append(c)
-                    entries.append(start)
-                if not resolved and (start is None or upto > start + width):
-                    start, resolved = last_start, True
-            yield pd.DataFrame({"key": keys, "chunk": chunks, "entry": pd.array(entries, dtype="Int64")})
+        from bisect import bisect_right
+        import numpy as np
+        import pyarrow as pa
+        before, start, resolved = (None, None), None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group, _, _ = _groups(batch, None)
+            upto, last_start = batch.column("upto").to_pylist(), batch.column("last_start").to_pylist()
+            edges = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist(), batch.num_rows]
+            firsts = batch.take(pa.array(edges[:-1]))
+            keys, chunks = firsts.column("key").to_pylist(), firsts.column("chunk").to_pylist()
+            rows, entries = [], []
+            for g, here in enumerate(zip(keys, chunks)):
+                if here != before:
+                    if here[0] != before[0]:
+                        start = None
+                    before, resolved = here, False
+                    if start is not None:
+                        rows.append(g)
+                        entries.append(start)
+                if not resolved:
+                    lo, hi = edges[g], edges[g + 1]
+                    at = lo if start is None else bisect_right(upto, start + width, lo, hi)
+                    if at < hi:
+                        start, resolved = last_start[at], True
+            chosen = firsts.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [chosen.column("key"), chosen.column("chunk"), pa.array(entries, pa.int64())],
+                ["key", "chunk", "entry"])
     return run
 
 
 def _openers(width: int, span: int):
+    """From points sorted by key, chunk and time, each chunk led by its entry (``t`` null): the windows opened."""
+    stride = span + width + 2
+
     def run(batches):
         import numpy as np
-        import pandas as pd
-        for pdf in batches:
-            t, group, sizes = _flatten(pdf)
-            if not len(t):
+        import pyarrow as pa
+        before, reach = None, -1
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            chunk = pdf["chunk"].to_numpy(np.int64)
-            offset = t - chunk[group] * span
-            axis, nxt = _next_openers(t, group, offset, width, span)
-            begin = np.cumsum(sizes) - sizes
-            has_entry = pdf["entry"].notna().to_numpy()
-            at = begin.copy()
-            if has_entry.any():
-                g = np.flatnonzero(has_entry)
-                entry = pdf["entry"].to_numpy(dtype="float64", na_value=np.nan)[g]
-                # Positions before the chunk are clipped: the first point is then the opener.
-                reach = np.maximum(entry.astype(np.int64) + width - chunk[g] * span, -1)
-                at[g] = np.searchsorted(axis, g * (span + width + 2) + reach, side="right")
-            frontier = at[at < begin + sizes]
+            group, chunk, goes_on = _groups(batch, before)
+            rid = _int64(batch.column("rid"))
+            is_entry = batch.column("t").is_null().to_numpy(zero_copy_only=False)
+            t = _int64(batch.column("t").fill_null(0))
+            offset = np.where(is_entry, -2, t - chunk * span)
+            axis = (group + 1) * stride + offset
+            # How far, within the chunk, the window runs in which each group is entered; -1 is not at all.
+            reaches = np.full(group[-1] + 1, -1, np.int64)
+            if goes_on:
+                reaches[0] = reach
+            e = np.flatnonzero(is_entry)
+            reaches[group[e]] = np.maximum(rid[e] + width - chunk[e] * span, -1)
+            numbers = np.arange(len(reaches))
+            frontier = np.searchsorted(axis, (numbers + 1) * stride + reaches, side="right")
+            nxt = np.searchsorted(axis, axis + width, side="right")
             opened = []
-            while len(frontier):
+            owner = numbers
+            while True:
+                ok = frontier < n
+                frontier, owner = frontier[ok], owner[ok]
+                ok = group[frontier] == owner
+                frontier, owner = frontier[ok], owner[ok]
+                if not len(frontier):
+                    break
                 opened.append(frontier)
+                reaches[owner] = offset[frontier] + width
                 frontier = nxt[frontier]
-                frontier = frontier[frontier >= 0]
             rows = np.concatenate(opened) if opened else np.empty(0, np.int64)
-            firsts = np.concatenate([np.asarray(a) for a in pdf["firsts"]])
-            yield pd.DataFrame({"key": pdf["key"].to_numpy()[group[rows]], "start": t[rows],
-                                "first_id": firsts[rows]})
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(pa.array(rows)), pa.array(t[rows]), pa.array(rid[rows])],
+                ["key", "start", "first_id"])
+            before, reach = (batch.column("key")[n - 1].as_py(), chunk[-1]), reaches[-1]
     return run
 
 
@@ -139,19 +185,18 @@ def anchored_windows(events: DataFrame, key: str, ts: str, row_id: str, width: i
         return (points.groupBy("key").agg(F.min("t").alias("start"), F.min_by("rid", F.struct("t", "rid"))
                                           .alias("first_id")))
     span = span or SPAN_FACTOR * (width + 1)
-    # With the filter both readers of the groups plan alike, so the two shuffles are made once and reused.
-    groups = (points.withColumn("chunk", F.floor(F.col("t") / F.lit(span)).cast("bigint"))
+    # Both readers take all columns of the points, so that they plan alike and the shuffle is made once and reused.
+    points = (points.withColumn("chunk", F.floor(F.col("t") / F.lit(span)).cast("bigint"))
               .filter(F.col("key").isNotNull() & F.col("chunk").isNotNull())
-              .groupBy("key", "chunk", "t").agg(F.min("rid").alias("rid"))
-              .groupBy("key", "chunk").agg(F.array_sort(F.collect_list(F.struct("t", "rid"))).alias("p"))
-              .select("key", "chunk", F.col("p.t").alias("ts"), F.col("p.rid").alias("firsts")))
-    summaries = groups.select("key", "chunk", "ts").mapInPandas(
-        _summaries(width, span), "key string, chunk bigint, upto bigint, last_start bigint")
+              .groupBy("key", "chunk", "t").agg(F.min("rid").alias("rid")))
+    summaries = (points.repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.desc("t"))
+                 .mapInArrow(_summaries(width, span), "key string, chunk bigint, upto bigint, last_start bigint"))
     entries = (summaries.repartition("key").sortWithinPartitions("key", "chunk", "upto")
-               .mapInPandas(_thread_state(width), "key string, chunk bigint, entry bigint"))
-    return (groups.join(entries, ["key", "chunk"])
-            .select("key", "chunk", "ts", "firsts", "entry")
-            .mapInPandas(_openers(width, span), "key string, start bigint, first_id bigint"))
+               .mapInArrow(_thread_state(width), "key string, chunk bigint, entry bigint"))
+    led = points.unionByName(entries.select("key", "chunk", F.lit(None).cast("bigint").alias("t"),
+                                            F.col("entry").alias("rid")))
+    return (led.repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.asc_nulls_first("t"))
+            .mapInArrow(_openers(width, span), "key string, start bigint, first_id bigint"))
 
 
 def assign_windows(rows: DataFrame, windows: DataFrame, key: str, ts: str, row_id: str, width: int | None,

@@ -13,13 +13,22 @@ def rate_limit(requests: DataFrame, window_ms: int = 60_000, label: str = "label
     """Add ``allowed`` (1/0) to every row.
 
     A window is anchored at its first request and runs out once more than ``window_ms`` have passed. Denied requests
-    count too. Limit 0 means unlimited; such rows skip the limiter altogether.
+    count too. Limit 0 means unlimited; such rows, and rows without a label or time, skip the limiter altogether.
+
+    Requests are counted per label and time before anything is shuffled, and those counts are summed along each window.
+    A row is compared with the sum at its own time; only equal times are ranked, so a busy label spreads over its times.
     """
-    limited = requests.filter(F.col(limit) > 0)
-    free = requests.filter(~(F.col(limit) > 0) | F.col(limit).isNull()).withColumn("allowed", F.lit(1).cast("bigint"))
-    windows = anchored_windows(limited, label, ts_ms, row_id, window_ms)
-    placed = assign_windows(limited, windows, label, ts_ms, row_id, window_ms)
-    # One window holds what one label sends in window_ms, so ranking inside it stays small.
-    rank = F.row_number().over(Window.partitionBy(label, F.col("win.start")).orderBy(ts_ms, row_id))
-    ranked = (placed.withColumn("allowed", (rank <= F.col(limit)).cast("bigint")).drop("win"))
+    counts = (F.col(limit) > 0) & F.col(label).isNotNull() & F.col(ts_ms).isNotNull()
+    limited = requests.filter(counts)
+    free = requests.filter(~F.coalesce(counts, F.lit(False))).withColumn("allowed", F.lit(1).cast("bigint"))
+    points = (limited.groupBy(F.col(label).alias("_label"), F.col(ts_ms).alias("_ts"))
+              .agg(F.min(row_id).alias("_first"), F.count(F.lit(1)).alias("_n")))
+    windows = anchored_windows(points, "_label", "_ts", "_first", window_ms)
+    placed = assign_windows(points, windows, "_label", "_ts", "_first", window_ms)
+    earlier = (Window.partitionBy("_label", F.col("win.start")).orderBy("_ts")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    summed = placed.select("_label", "_ts", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    joined = limited.join(summed, (limited[label] == summed["_label"]) & (limited[ts_ms] == summed["_ts"]))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_label", "_ts").orderBy(row_id))
+    ranked = joined.withColumn("allowed", (rank <= F.col(limit)).cast("bigint")).drop("_label", "_ts", "_before")
     return ranked.unionByName(free)
