@@ -27,6 +27,18 @@ def test_memory(spark):
     assert turns.session_purge(memory, 101).count() == 0
 
 
+def test_memory_as_of_the_request(spark):
+    rows = [("a", i, "user", f"m{i}", 100 + i) for i in range(6)] + [("a", 5, "user", "m5b", 105), ("b", 0, "user", "x", 90_000)]
+    memory = spark.createDataFrame(rows, MEMORY)
+    asked = [(1, "a", 100), (2, "a", 101), (3, "a", 104), (4, "a", 200_000), (5, "b", 90_000), (6, "b", 90_001),
+             (7, None, 200_000), (8, "none", 200_000), (9, "a", None)]
+    df = spark.createDataFrame([(*r, [("user", "q")]) for r in asked], "request_id int, session_id string, "
+                               "created_at bigint, messages array<struct<role: string, content: string>>")
+    got = {r.request_id: [m.content for m in r.messages] for r in turns.memory_inject_asof(df, memory, 1).collect()}
+    assert got == {1: ["q"], 2: ["m0", "q"], 3: ["m2", "m3", "q"], 4: ["m5", "m5b", "q"], 5: ["q"], 6: ["x", "q"],
+                   7: ["q"], 8: ["q"], 9: ["q"]}
+
+
 def test_compression_limits(spark):
     rows = [(1, i, "user", "x" * 40) for i in range(5)] + [(2, i, "user", "x" * 400) for i in range(4)] + [(3, i, "user", "é") for i in range(9)]
     df = spark.createDataFrame(rows, TURN)
@@ -164,6 +176,8 @@ def test_written_log_prunes_days(spark, tmp_path):
         .withColumn("cost_usd", F.lit(0.0)).withColumn("saved_usd", F.lit(0.0))
     archive.write_request_log(archive.log_row(df), str(tmp_path / "log"))
     back = archive.read_request_log(spark, str(tmp_path / "log"))
+    plan = stats.purge_logs(back, AS_OF, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "dt" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
     assert back.count() == 2 and len(back.columns) == 19
     plan = stats.period_stats(back.withColumn("cost_nano", F.lit(0)).withColumn("saved_nano", F.lit(0)), AS_OF, "today")
     assert plan.first().total == 1.0

@@ -416,6 +416,15 @@ SELECT r.request_id, coalesce(x.n, 0) + 1 AS n_messages,
   coalesce(x.m || chr(10), '') || 'user:ask ' || CAST(r.prompt_id AS VARCHAR) AS messages
 FROM requests r LEFT JOIN (SELECT session_id, count(*) AS n, string_agg(role || ':' || content, chr(10) ORDER BY pos) AS m
   FROM recalled GROUP BY session_id) x ON x.session_id = 'sess_' || CAST(r.conv_id AS VARCHAR)""", RECALLED)
+add("memory_inject_asof", f"""
+SELECT request_id, count(x.turn) + 1 AS n_messages,
+  coalesce(string_agg(x.role || ':' || x.content, chr(10) ORDER BY x.created_at, x.turn) || chr(10), '') || 'user:ask '
+    || CAST(any_value(prompt_id) AS VARCHAR) AS messages
+FROM (SELECT r.request_id, r.prompt_id, m.turn, m.role, m.content, m.created_at,
+    row_number() OVER (PARTITION BY r.request_id ORDER BY m.created_at DESC, m.turn DESC) AS n
+  FROM requests r LEFT JOIN memory_store m ON m.session_id = 'sess_' || CAST(r.conv_id AS VARCHAR)
+    AND m.created_at < r.created_at) x
+WHERE n <= {2 * TOP_K} GROUP BY request_id""")
 add("session_purge", f"SELECT session_id, turn FROM memory_store WHERE {KEPT_SESSIONS}")
 add("distinct_sessions", f"SELECT DISTINCT session_id FROM memory_store WHERE created_at < {SESSION_CUTOFF}")
 _MSG = ("length('{\"role\":' || CAST(to_json(role) AS VARCHAR) || ',\"content\":' || CAST(to_json(text) AS VARCHAR) || '}')"

@@ -422,17 +422,28 @@ def memory_recall(v):
     return turns.memory_recall(v.memory_store, TOP_K)
 
 
-@query
-def memory_inject(v):
+def _asked(v: Views) -> DataFrame:
     ask = F.concat(F.lit("ask "), F.col("prompt_id").cast("string"))
-    asked = v.requests.select(
-        "request_id", F.concat(F.lit("sess_"), F.col("conv_id").cast("string")).alias("session_id"),
+    return v.requests.select(
+        "request_id", "created_at", F.concat(F.lit("sess_"), F.col("conv_id").cast("string")).alias("session_id"),
         F.array(F.struct(F.lit("user").alias("role"), ask.alias("content"))).alias("messages"))
-    out = turns.memory_inject(asked, turns.memory_recall(v.memory_store, TOP_K))
+
+
+def _messages_sent(out: DataFrame) -> DataFrame:
     text = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
     return out.select("request_id", F.size("messages").cast("bigint").alias("n_messages"), text.alias("messages"))
 
 
+@query
+def memory_inject(v):
+    return _messages_sent(turns.memory_inject(_asked(v), turns.memory_recall(v.memory_store, TOP_K)))
+
+
+@query
+def memory_inject_asof(v):
+    return _messages_sent(turns.memory_inject_asof(_asked(v), v.memory_store, TOP_K))
+
+
 @query
 def session_purge(v):
     return turns.session_purge(v.memory_store, SESSION_CUTOFF).select("session_id", "turn")

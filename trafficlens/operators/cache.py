@@ -29,7 +29,7 @@ def cache_live(entries: DataFrame, now: int) -> DataFrame:
     return entries.filter(live(F.col("expires_at"), now))
 
 
-def _running_max(requests: DataFrame, points: DataFrame, key: str, ts: str, chunk_seconds: int = 86_400) -> DataFrame:
+def running_max(requests: DataFrame, points: DataFrame, key: str, ts: str, chunk_seconds: int = 86_400) -> DataFrame:
     """Distinct (key, ts) of the requests with ``best`` = greatest ``value`` of the points up to that time.
 
     Both sides are reduced to one row per key and second first. Days are then independent: each starts from the
@@ -58,7 +58,7 @@ def _served(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """Distinct (hash, second) of the requests at which some entry version is stored and unexpired."""
     points = (entries.groupBy(F.col("request_hash").alias("key"), F.col("created_at").alias("t"))
               .agg(F.max(F.coalesce("expires_at", F.lit(NEVER))).alias("value")))
-    best = _running_max(requests, points, "request_hash", "created_at")
+    best = running_max(requests, points, "request_hash", "created_at")
     return best.filter(F.col("best") > F.col("_t"))
 
 
@@ -77,7 +77,7 @@ def cache_asof(requests: DataFrame, entries: DataFrame) -> DataFrame:
     points = (entries.groupBy(F.col("request_hash").alias("key"), F.col("created_at").alias("t"))
               .agg(F.max("id").alias("id"), F.max_by("expires_at", "id").alias("expires_at"))
               .select("key", "t", F.struct("t", "id", "expires_at").alias("value")))
-    best = _running_max(requests, points, "request_hash", "created_at")
+    best = running_max(requests, points, "request_hash", "created_at")
     served = best.filter(live(F.col("best.expires_at"), F.col("_t")) & F.col("best").isNotNull()) \
         .select("_key", "_t", F.col("best.id").alias("entry_id"))
     return requests.join(served, (requests["request_hash"] == served["_key"])

@@ -31,13 +31,19 @@ REPORT_COLUMNS = COUNT_COLUMNS + ["total_input", "total_output", "actual_usd", "
                                   "would_have_cost_usd", "savings_pct"]
 
 
+def _day(seconds: int) -> str:
+    return str(date(1970, 1, 1) + timedelta(days=seconds // 86_400))
+
+
+def _since(log: DataFrame, low: int) -> DataFrame:
+    kept = log.filter(F.col("created_at") >= low)
+    # Date folders that cannot hold such rows are not even listed.
+    return kept.filter(F.col("dt") >= _day(low)) if "dt" in log.columns else kept
+
+
 def _within(log: DataFrame, low: int, high: int) -> DataFrame:
-    kept = log.filter(F.col("created_at").between(low, high))
-    if "dt" in log.columns:
-        # Date folders that cannot hold such rows are not even listed.
-        day = lambda seconds: str(date(1970, 1, 1) + timedelta(days=seconds // 86_400))
-        kept = kept.filter(F.col("dt").between(day(low), day(high)))
-    return kept
+    kept = _since(log, low).filter(F.col("created_at") <= high)
+    return kept.filter(F.col("dt") <= _day(high)) if "dt" in log.columns else kept
 
 
 def _measures() -> list[Column]:
@@ -157,7 +163,7 @@ def recent_events(policy_log: DataFrame, limit: int | None = None) -> DataFrame:
 
 def purge_logs(log: DataFrame, as_of: int, days: int) -> DataFrame:
     """Log rows kept by a retention of ``days``; 0 or less keeps everything."""
-    return log if days <= 0 else log.filter(F.col("created_at") >= as_of - days * 86_400)
+    return log if days <= 0 else _since(log, as_of - days * 86_400)
 
 
 def purge_by_policy(log: DataFrame, tokens: DataFrame, policies: DataFrame, as_of: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed_values import SUMMARY_ACK, SUMMARY_HEADER
 from ..functions.scalars import estimate_tokens, message_json, utf16_length
 from ..sources.archive import materialise
+from .cache import running_max
 
 
 def extract_text(turns: DataFrame) -> DataFrame:
@@ -58,6 +59,32 @@ def memory_inject(requests: DataFrame, recalled: DataFrame, messages: str = "mes
                              .otherwise(F.concat("_ctx", messages))).drop("_session", "_ctx")
 
 
+def memory_inject_asof(requests: DataFrame, memory: DataFrame, top_k: int = 5, ts: str = "created_at",
+                       messages: str = "messages") -> DataFrame:
+    """Like :func:`memory_inject`, with the last ``2 * top_k`` turns stored before each request's own time.
+
+    The latest earlier turn is looked up on narrow (session, time) points, cut by day; only turns that some request
+    needs bring their texts along. A request without a session, or before its first turn, is left as it is.
+    """
+    last = (memory.groupBy(F.col("session_id").alias("key"), F.col("created_at"))
+            .agg(F.max(F.struct("created_at", "turn")).alias("value"))
+            # A turn is visible from the next second on.
+            .select("key", (F.col("created_at") + 1).alias("t"), "value"))
+    asked = running_max(requests.filter(F.col("session_id").isNotNull() & F.col(ts).isNotNull()), last,
+                        "session_id", ts).filter(F.col("best").isNotNull())
+    line = Window.partitionBy("session_id").orderBy("created_at", "turn", "role", "content")
+    recent = line.rowsBetween(1 - 2 * top_k, Window.currentRow)
+    place = F.struct("created_at", "turn")
+    context = (memory.select("session_id", place.alias("_place"), F.lead(place).over(line).alias("_next"),
+                             F.collect_list(F.struct("role", "content")).over(recent).alias("_ctx"))
+               .filter(~F.col("_place").eqNullSafe(F.col("_next"))))  # of turns stored twice, the last has them all
+    found = (asked.join(context, (F.col("_key") == F.col("session_id")) & (F.col("best") == F.col("_place")))
+             .select("_key", "_t", "_ctx"))
+    joined = requests.join(found, (requests["session_id"] == found["_key"]) & (requests[ts] == found["_t"]), "left")
+    return joined.withColumn(messages, F.when(F.col("_ctx").isNull(), F.col(messages))
+                             .otherwise(F.concat("_ctx", messages))).drop("_key", "_t", "_ctx")
+
+
 def session_purge(memory: DataFrame, cutoff: int) -> DataFrame:
     """Memory without the sessions that have any turn older than the cutoff, however active they are now."""
     old = memory.filter(F.col("created_at") < cutoff).select("session_id").distinct()
