@@ -197,3 +197,55 @@ def test_token_upkeep(spark):
     assert up == {"a": ("n", None, None, 0, 0, 10, None), "b": ("t", "k", "m", 5, 0, 10, "p"), "c": ("n", "z", "q", 7, 0, 99, "r")}
     patched = {r.label: (r.upstream_key, r.allowed_models_csv, r.rpm_limit, r.policy_name) for r in identity.token_patch(base, change).collect()}
     assert patched == {"a": (None, None, 5, "p"), "b": ("k", "m", 5, "p")}
+
+
+@pytest.mark.parametrize("pattern,text,found", [
+    (r"\bid-\d+\b", "an id-42.", True),
+    (r"end$", "the end\n", False),          # $ is the very end, not before a line end
+    (r"a.b", "a\rb", False),                # no line end of any kind
+    (r"\bé", "xé", True),                   # é is no word character, so there is a boundary
+    (r"[\s]x", " x", True),
+    (r"(?<year>\d{4})", "in 1999", True),
+    (r"(", "(", False),                      # broken: skipped
+])
+def test_patterns_of_policies_follow_ecmascript(spark, pattern, text, found):
+    from trafficlens.functions.custom import custom_found
+    rows = spark.createDataFrame([(text, [pattern])], "t string, p array<string>")
+    assert rows.select(custom_found(F.col("t"), F.col("p")).alias("f")).first().f == ([pattern] if found else [])
+
+
+def test_patterns_of_policies_mask_in_order_and_keep_nulls(spark):
+    from trafficlens.functions.custom import custom_masked, custom_masked_each
+    rows = spark.createDataFrame(
+        [("a1 b2", [("one$", "[a-z]1"), ("bad", "("), ("two", r"b\d")]), (None, [("x", "x")]), ("a1", None), ("a1", [])],
+        "t string, p array<struct<name: string, regex: string>>")
+    got = [r.m for r in rows.select(custom_masked(F.col("t"), F.col("p")).alias("m")).collect()]
+    assert got == ["[ONE$-REDACTED] [TWO-REDACTED]", None, "a1", "a1"]
+    each = rows.select(custom_masked_each(F.array("t", F.lit(None)), F.col("p")).alias("m")).collect()
+    assert [r.m for r in each] == [[g, None] for g in got]
+
+
+def test_parsed_policy_keeps_its_own_patterns_only_where_it_scans(spark):
+    rows = [("a", '{"dlp":{"detect":["ssn"],"customPatterns":[{"name":"n","regex":"r"},{"name":"no"}]}}'),
+            ("b", '{"dlp":{"customPatterns":[{"name":"n","regex":"r"}]}}'),
+            ("c", '{"dlp":{"enabled":false,"detect":["ssn"],"customPatterns":[{"name":"n","regex":"r"}]}}'), ("d", "{")]
+    got = {r.name: r.custom for r in policy.parse_policies(spark.createDataFrame(rows, "name string, config string")).collect()}
+    assert [(c.name, c.regex) for c in got["a"]] == [("n", "r")]
+    assert got["b"] == got["c"] == got["d"] == []
+
+
+def test_odd_bodies_are_governed_without_failing(spark):
+    from trafficlens.plans.govern import govern_bodies
+    bodies = [None, "", "{broken", "[]", '{"messages":null}', '{"messages":[{"role":"user"}]}',
+              '{"messages":[{"role":"user","content":"SSN 123-45-6789"},{"role":"user","content":null}],"system":null}']
+    rows = spark.createDataFrame([(i, 100 + i, "t", "openai", "gpt-4o", b) for i, b in enumerate(bodies)],
+                                 "request_id bigint, created_at bigint, bearer string, provider string, model string, body string")
+    tokens = spark.createDataFrame([("t", "u", 0, None, "p", 0)],
+                                   "token string, label string, rpm_limit bigint, allowed_models_csv string, policy_name string, revoked int")
+    stored = policy.parse_policies(spark.createDataFrame(
+        [("p", '{"dlp":{"action":"redact","detect":["ssn"],"customPatterns":[{"name":"w","regex":"SSN"}]}}')],
+        "name string, config string"))
+    got = {r.request_id: r for r in govern_bodies(rows, tokens, stored, stored.limit(0)).collect()}
+    assert len(got) == len(bodies) and {r.outcome for r in got.values()} == {"ok"}
+    assert [i for i, r in got.items() if r.redact_with] == [6]
+    assert got[0].cache_key == got[3].cache_key != got[6].cache_key

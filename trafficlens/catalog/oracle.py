@@ -283,10 +283,32 @@ add("rate_limit_minute", "SELECT request_id, allowed FROM lim_verdict",
      **limiter("timed", 60_000, "lim")}, recursive=True)
 
 
-def governed(limited: bool) -> dict[str, str]:
-    """CTEs up to ``governed``: one row per request with outcome, events and the text to relay."""
+EFFECTIVE_JSON = {"effective": EFFECTIVE["effective"].replace("system_prepend FROM policies", "system_prepend, custom_name, "
+                  "custom_regex, config FROM policy_configs")}
+# What a body says to the scan, and its last user string, which redaction rewrites.
+BODY_TEXTS = {"body_texts": """SELECT request_id AS text_id, CASE request_id % 4
+    WHEN 0 THEN 'be brief' || chr(10) || 'Research this ' || prompt_id || ' SSN 123-45-6789'
+    WHEN 1 THEN 'terse' || chr(10) || 'ask ' || prompt_id || ' jo@example.org'
+    WHEN 2 THEN 'mail jo@example.org' || chr(10) || 'ask ' || prompt_id
+    ELSE 'legacy ' || prompt_id || ' SSN 123-45-6789' END AS prompt,
+  CASE request_id % 4 WHEN 0 THEN 'Research this ' || prompt_id || ' SSN 123-45-6789' WHEN 2 THEN 'ask ' || prompt_id
+    END AS said FROM requests"""}
+
+
+def governed(limited: bool, own: bool = False, bodies: bool = False) -> dict[str, str]:
+    """CTEs up to ``governed``: one row per request with outcome, events and the text to relay.
+
+    ``own``: policies bring their own patterns; ``bodies``: requests bring their own texts.
+    """
     gate = f"CASE WHEN known AND NOT {MODEL_OK} THEN '403_model' ELSE 'ok' END"
-    ctes = {**IDENTITY, **EFFECTIVE}
+    ctes = {**IDENTITY, **(EFFECTIVE_JSON if own else EFFECTIVE), **(BODY_TEXTS if bodies else {})}
+    texts, text_id, said = ("body_texts", "text_id", "said") if bodies else ("prompts", "prompt_id", "prompt")
+    asked_id = "request_id" if bodies else "prompt_id"
+    extra = """ || CASE WHEN len(e.detect) > 0 AND coalesce(regexp_matches(p.prompt, e.custom_regex), false)
+          THEN [e.custom_name] ELSE [] END""" if own else ""
+    masked = dlp_redacted("said", DLP_TYPES, "detect")
+    if own:
+        masked = f"regexp_replace({masked}, custom_regex, '[' || upper(custom_name) || '-REDACTED]', 'g')"
     if limited:
         ctes["gated"] = f"SELECT *, {gate} AS gate FROM ident"
         ctes["entering"] = ("SELECT request_id, label, rpm_limit, created_at * 1000 AS ms FROM gated "
@@ -296,12 +318,12 @@ def governed(limited: bool) -> dict[str, str]:
                             "FROM gated g LEFT JOIN lim_verdict v ON v.request_id = g.request_id")
     else:
         ctes["admitted"] = "SELECT *, 'ok' AS admission FROM ident"
-    ctes["verdicts"] = f"""SELECT prompt_id, prompt, {dlp_list('prompt', DLP_TYPES)} AS types, {guard_max('prompt')} AS score,
-        {guard_labels('prompt')} AS l FROM prompts"""
-    ctes["judged"] = """SELECT a.*, e.name AS pol, e.dlp_action, e.block_threshold, e.allowed, e.detect, e.system_prepend,
-        p.prompt, p.score, p.l,
-        CASE WHEN e.name IS NULL THEN [] ELSE list_filter(e.detect, lambda d: list_contains(p.types, d)) END AS v
-      FROM admitted a LEFT JOIN effective e ON e.name = a.policy_name LEFT JOIN verdicts p ON p.prompt_id = a.prompt_id"""
+    ctes["verdicts"] = f"""SELECT {text_id} AS text_id, prompt, {said} AS said, {dlp_list('prompt', DLP_TYPES)} AS types, {guard_max('prompt')} AS score,
+        {guard_labels('prompt')} AS l FROM {texts}"""
+    ctes["judged"] = f"""SELECT a.*, e.name AS pol, e.dlp_action, e.block_threshold, e.allowed, e.detect, e.system_prepend,
+        p.said, p.score, p.l, {"e.custom_name, e.custom_regex," if own else ""}
+        CASE WHEN e.name IS NULL THEN [] ELSE list_filter(e.detect, lambda d: list_contains(p.types, d)){extra} END AS v
+      FROM admitted a LEFT JOIN effective e ON e.name = a.policy_name LEFT JOIN verdicts p ON p.text_id = a.{asked_id}"""
     ctes["stops"] = """SELECT *, admission = 'ok' AND pol IS NOT NULL AND len(v) > 0 AS found,
         admission = 'ok' AND pol IS NOT NULL AND len(v) > 0 AND dlp_action = 'block' AS s_dlp,
         admission = 'ok' AND pol IS NOT NULL AND score >= block_threshold AS s_guard,
@@ -309,8 +331,7 @@ def governed(limited: bool) -> dict[str, str]:
       FROM judged"""
     ctes["governed"] = f"""SELECT *, CASE WHEN admission <> 'ok' THEN admission WHEN s_dlp THEN 'dlp_blocked'
         WHEN s_guard THEN 'injection_blocked' WHEN s_prov THEN 'provider_blocked' ELSE 'ok' END AS outcome,
-        CASE WHEN found AND dlp_action = 'redact' THEN {dlp_redacted('prompt', DLP_TYPES, 'detect')}
-          ELSE prompt END AS relay_text,
+        CASE WHEN found AND dlp_action = 'redact' THEN {masked} ELSE said END AS relay_text,
         list_filter([
           CASE WHEN found THEN {{'action': 'dlp_' || CASE dlp_action WHEN 'block' THEN 'blocked' WHEN 'redact'
             THEN 'redacted' ELSE 'logged' END, 'detail': '{{"violations":["' || array_to_string(v, '","') || '"]}}'}} END,
@@ -327,6 +348,25 @@ add("govern_events", """
 SELECT request_id, CAST(seq AS BIGINT) AS seq, e.action AS action, e.detail AS detail FROM (
   SELECT request_id, generate_subscripts(events, 1) AS seq, unnest(events) AS e FROM governed)""",
     governed(True), recursive=True)
+_TOLD = "array_to_string(list_transform(events, lambda e: e.action || ' ' || e.detail), ';') AS events"
+add("policy_parse", """
+SELECT name, source, array_to_string(detect, ',') AS detect, dlp_action, CAST(1 AS BIGINT) AS guard_enabled, block_threshold,
+  array_to_string(allowed, ',') AS allowed_providers, system_prepend,
+  CASE WHEN dlp_action = 'redact' THEN 1 ELSE 0 END AS redact_output, retention_days,
+  CASE WHEN len(detect) = 0 THEN '' WHEN dlp_action = 'block' THEN 'broken,' || custom_name ELSE custom_name END AS custom_names,
+  CASE WHEN len(detect) = 0 THEN '' WHEN dlp_action = 'block' THEN '(,' || custom_regex ELSE custom_regex END AS custom_regexes
+FROM effective""", EFFECTIVE_JSON)
+add("govern_custom", f"SELECT request_id, outcome, {_TOLD} FROM governed", governed(True, own=True), recursive=True)
+add("relay_custom", "SELECT DISTINCT prompt_id, relay_text FROM governed WHERE outcome = 'ok'", governed(True, own=True),
+    recursive=True)
+add("govern_bodies", f"SELECT request_id, outcome, {_TOLD} FROM governed", governed(True, own=True, bodies=True),
+    recursive=True)
+add("output_redact_policy", f"""
+SELECT i.request_id, CASE WHEN e.dlp_action = 'redact' THEN CASE WHEN len(e.detect) > 0
+  THEN regexp_replace({dlp_redacted('p.prompt', DLP_TYPES, 'e.detect')}, e.custom_regex, '[' || upper(e.custom_name) || '-REDACTED]', 'g')
+  ELSE p.prompt END ELSE p.prompt END AS text
+FROM ident i JOIN prompts p ON p.prompt_id = i.prompt_id LEFT JOIN effective e ON e.name = i.policy_name""",
+    {**IDENTITY, **EFFECTIVE_JSON})
 add("stream_govern", "SELECT request_id, outcome, CAST(len(events) AS BIGINT) AS n_events FROM governed", governed(False))
 
 # --- Cache ----------------------------------------------------------------------------------------------------------------
@@ -562,21 +602,35 @@ SELECT prompt_id, CAST(26 AS BIGINT) AS dims, CASE WHEN regexp_matches(prompt, '
 
 # --- Whole gateway -----------------------------------------------------------------------------------------------------------
 
-GATEWAY = {
-    **governed(True),
-    "passed": routed("(SELECT * FROM governed WHERE outcome = 'ok')", "relay_text"),
-    "keyed": f"SELECT *, {HASH % ('provider', 'relay_text')} AS request_hash, 1 - is_stream AS can_fill FROM passed",
-    **replay("keyed", TTL, "c"),
-    "answered": """SELECT c.request_id, c.created_at, c.label AS user_label, c.provider, c.hit AS from_cache, c.system_prepend,
-        len(c.events) AS n_events, c.model AS original_model,
-        CASE WHEN hit = 1 THEN c.model ELSE c.routed_model END AS routed_model,
-        CASE WHEN hit = 1 THEN 'cache' ELSE method END AS routing_method,
-        CASE WHEN hit = 1 THEN 'standard' ELSE tier END AS routing_tier,
-        CASE WHEN hit = 1 THEN s.input_tokens ELSE c.input_tokens END AS input_tokens,
-        CASE WHEN hit = 1 THEN s.output_tokens ELSE c.output_tokens END AS output_tokens
-      FROM c_out c LEFT JOIN requests s ON s.request_id = c.source_id""",
-    "final": priced("answered"),
-}
+def gateway(judged: dict[str, str], key: str, fills: str, asked: str = "relay_text") -> dict[str, str]:
+    """CTEs up to ``final``: the priced answers of governed requests."""
+    return {
+        **judged,
+        "passed": routed("(SELECT * FROM governed WHERE outcome = 'ok')", asked),
+        "keyed": f"SELECT *, {key} AS request_hash, {fills} AS can_fill FROM passed",
+        **replay("keyed", TTL, "c"),
+        "answered": """SELECT c.request_id, c.created_at, c.label AS user_label, c.provider, c.hit AS from_cache, c.system_prepend,
+            len(c.events) AS n_events, c.model AS original_model,
+            CASE WHEN hit = 1 THEN c.model ELSE c.routed_model END AS routed_model,
+            CASE WHEN hit = 1 THEN 'cache' ELSE method END AS routing_method,
+            CASE WHEN hit = 1 THEN 'standard' ELSE tier END AS routing_tier,
+            CASE WHEN hit = 1 THEN s.input_tokens ELSE c.input_tokens END AS input_tokens,
+            CASE WHEN hit = 1 THEN s.output_tokens ELSE c.output_tokens END AS output_tokens
+          FROM c_out c LEFT JOIN requests s ON s.request_id = c.source_id""",
+        "final": priced("answered"),
+    }
+
+
+GATEWAY = gateway(governed(True), HASH % ("provider", "relay_text"), "1 - is_stream")
+# Legacy prompts are no part of the key.
+BODY_GATEWAY = gateway(
+    governed(True, own=True, bodies=True),
+    "provider || '|' || model || '|' || CASE request_id % 4 WHEN 1 THEN 'blocks ' || prompt_id WHEN 3 THEN 'none' "
+    "ELSE (request_id % 4) || relay_text END",
+    "CASE WHEN is_stream = 0 AND event_type <> 'error' THEN 1 ELSE 0 END",
+    "(CASE request_id % 4 WHEN 1 THEN '[{\"text\":\"ask ' || prompt_id || ' jo@example.org\",\"type\":\"text\"},"
+    "{\"text\":\"no\",\"type\":\"image\"}]' WHEN 3 THEN '\"\"' ELSE relay_text END)")
+add("replay_bodies", LOG_ROW.format(duration="CAST(0 AS BIGINT)", more="", table="final"), BODY_GATEWAY, recursive=True)
 add("gateway_replay", LOG_ROW.format(duration="CAST(0 AS BIGINT)", more="", table="final"), GATEWAY, recursive=True)
 add("gateway_events", """
 SELECT request_id, CAST(n_events + 1 AS BIGINT) AS seq, 'system_prompt_injected' AS action FROM final

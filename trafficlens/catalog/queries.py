@@ -14,8 +14,8 @@ from ..functions.fixed_values import DLP_TYPES
 from ..functions.usage import parse_usage, sse_usage
 from ..operators import cache, identity, limiter, policy, routing, scan, stats, turns
 from ..plans import hooks
-from ..plans.govern import audit_events, govern
-from ..plans.replay import answered_log, lock_events, replay
+from ..plans.govern import audit_events, govern, govern_bodies, relay_texts
+from ..plans.replay import answered_log, lock_events, replay, replay_bodies
 from ..sources import archive
 from ..sources.views import Views, view
 from ..streaming import queries as streams
@@ -57,6 +57,16 @@ def _policies(v: Views) -> tuple[DataFrame, DataFrame]:
     return policy.flat_policies(p, "db"), policy.flat_policies(p, "config")
 
 
+def _json_policies(v: Views) -> tuple[DataFrame, DataFrame]:
+    p = v.policy_configs
+    return tuple(policy.parse_policies(p.filter(F.col("source") == s)) for s in ("db", "config"))
+
+
+def _outcomes(governed: DataFrame) -> DataFrame:
+    told = F.transform("events", lambda e: F.concat(e["action"], F.lit(" "), e["detail"]))
+    return governed.select("request_id", "outcome", F.array_join(told, ";").alias("events"))
+
+
 # --- Sources, sinks, maintenance -----------------------------------------------------------------------------
 
 @query
@@ -319,6 +329,48 @@ def govern_events(v):
     return audit_events(_governed(v)).select("request_id", "seq", "action", "detail")
 
 
+@query
+def policy_parse(v):
+    """JSON policies as columns, their own patterns included."""
+    parsed = policy.policy_union(*_json_policies(v))
+    return parsed.select(
+        "name", "source", joined("detect").alias("detect"), "dlp_action", flag("guard_enabled").alias("guard_enabled"),
+        "block_threshold", joined("allowed_providers").alias("allowed_providers"), "system_prepend",
+        flag("redact_output").alias("redact_output"), "retention_days", joined("custom.name").alias("custom_names"),
+        joined("custom.regex").alias("custom_regexes"))
+
+
+def _governed_json(v: Views) -> DataFrame:
+    return govern(v.requests, v.prompts, v.tokens, *_json_policies(v), window_ms=HOUR_MS)
+
+
+@query
+def govern_custom(v):
+    return _outcomes(_governed_json(v))
+
+
+@query
+def relay_custom(v):
+    """Distinct texts that leave governance under policies with patterns of their own."""
+    return relay_texts(_governed_json(v), v.prompts).select("prompt_id", "relay_text").distinct()
+
+
+@query
+def output_redact_policy(v):
+    """The prompts taken as answers to the requests that name them."""
+    named = policy.policy_resolve(identity.auth_resolve(v.requests, v.tokens), *_json_policies(v))
+    answers = named.join(v.prompts.select("prompt_id", F.col("prompt").alias("text")), "prompt_id")
+    return scan.output_redact_policy(answers).select("request_id", "text")
+
+
+@query
+def govern_of_bodies(v):
+    return _outcomes(govern_bodies(v.body_requests, v.tokens, *_json_policies(v), window_ms=HOUR_MS))
+
+
+QUERIES["govern_bodies"] = QUERIES.pop("govern_of_bodies")
+
+
 # --- Cache ---------------------------------------------------------------------------------------------------
 
 @query
@@ -659,6 +711,14 @@ def gateway_replay(v):
     return answered_log(_replayed(v))
 
 
+@query
+def replay_of_bodies(v):
+    return answered_log(replay_bodies(v.body_requests, v.tokens, *_json_policies(v), ttl=TTL, window_ms=HOUR_MS))
+
+
+QUERIES["replay_bodies"] = QUERIES.pop("replay_of_bodies")
+
+
 @query
 def gateway_events(v):
     """Prompt-lock events of the replay: the ones that only a cache miss raises."""

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.custom import CUSTOM
 from ..functions.fixed_values import (DEFAULT_BLOCK_THRESHOLD, DEFAULT_PROVIDER, DEFAULT_RETENTION_DAYS,
                                       KEY_PREFIX_PROVIDERS, POLICY_PRESETS, PROVIDERS)
 from ..sources.schemas import POLICY_CONFIG
@@ -23,9 +24,13 @@ def parse_policies(policies: DataFrame, config_col: str = "config") -> DataFrame
     on = lambda flag: F.coalesce(flag, F.lit(True))
     none = F.array().cast("array<string>")
     detect = F.coalesce(c["dlp"]["detect"], none)
+    custom = F.filter(c["dlp"]["customPatterns"], lambda x: x["name"].isNotNull() & x["regex"].isNotNull())
+    no_custom = F.array().cast(CUSTOM)
     return p.select(
         "name",
         F.when(on(c["dlp"]["enabled"]), detect).otherwise(none).alias("detect"),
+        F.when(on(c["dlp"]["enabled"]) & (F.size(detect) > 0), F.coalesce(custom, no_custom)).otherwise(no_custom)
+        .alias("custom"),
         F.coalesce(c["dlp"]["action"], F.lit("block")).alias("dlp_action"),
         on(c["promptGuard"]["enabled"]).alias("guard_enabled"),
         F.coalesce(c["promptGuard"]["blockThreshold"], F.lit(DEFAULT_BLOCK_THRESHOLD)).alias("block_threshold"),
@@ -62,7 +67,7 @@ def list_policies(policies: DataFrame) -> DataFrame:
 def policy_union(stored: DataFrame, config: DataFrame) -> DataFrame:
     """Stored policies and those configured ones whose name is not stored, with ``source``."""
     extra = config.join(stored.select("name"), "name", "left_anti").withColumn("source", F.lit("config"))
-    return stored.withColumn("source", F.lit("db")).unionByName(extra)
+    return stored.withColumn("source", F.lit("db")).unionByName(extra, allowMissingColumns=True)
 
 
 def policy_resolve(named: DataFrame, stored: DataFrame, config: DataFrame, name: str = "policy_name") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dlp, guard
+from ..functions.custom import custom_masked
 from ..functions.fixed_values import DEFAULT_BLOCK_THRESHOLD, INTERCEPTED_ORIGINS, RAW_KEY_PATTERNS, URL_PROVIDERS
 from ..functions.regex import java_pattern
 
@@ -72,6 +73,16 @@ def output_redact(turns: DataFrame, detect: Sequence[str], text_col: str = "text
     return redact_messages(turns.filter(F.col("role") == "assistant"), detect, text_col=text_col)
 
 
+def output_redact_policy(outputs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Model output under each row's policy: where ``redact_output`` is set, its types and its own patterns are masked."""
+    masks = F.coalesce(F.col("redact_output"), F.lit(False))
+    text = F.when(masks, dlp.redact_by(F.col(text_col), F.col("detect"))).otherwise(F.col(text_col))
+    out = outputs.withColumn(text_col, text)
+    if "custom" not in outputs.columns:
+        return out
+    return out.withColumn(text_col, custom_masked(F.col(text_col), F.when(masks, F.col("custom"))))
+
+
 def detect_raw_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add ``is_raw_key``: some column starts like a provider key."""
     pattern = java_pattern("|".join(RAW_KEY_PATTERNS))

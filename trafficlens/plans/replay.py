@@ -9,7 +9,7 @@ from ..functions.fixed_values import PRICES, TIER_MODELS
 from ..operators.cache import cache_replay
 from ..operators.routing import price_request, route, route_rules
 from ..sources.archive import log_row, materialise
-from .govern import govern, redact_key, relay_texts
+from .govern import govern, govern_bodies, redact_key, relay_texts
 
 
 def replay(requests: DataFrame, prompts: DataFrame, tokens: DataFrame, stored: DataFrame, config: DataFrame,
@@ -18,7 +18,7 @@ def replay(requests: DataFrame, prompts: DataFrame, tokens: DataFrame, stored: D
     """One row per answered request, with cache, routing and cost columns (see :func:`answered_log`).
 
     The cache key is taken from the text after redaction and before routing. Streamed requests may be served from the
-    cache but never fill it. Tokens of a hit are those of the response it is served.
+    cache but never fill it, nor do failed ones (a ``failed`` column of 1, where there is one). Tokens of a hit are those of the response it is served.
     """
     # Two narrow tables are written on the way, because several branches read each: the verdicts and the cache keys.
     governed = materialise(govern(requests, prompts, tokens, stored, config, required, window_ms))
@@ -27,13 +27,30 @@ def replay(requests: DataFrame, prompts: DataFrame, tokens: DataFrame, stored: D
     redacted = relay_texts(governed.filter("redact_with IS NOT NULL"), prompts)
     untouched = prompts.select("prompt_id", F.lit("").alias("redact_key"), F.col("prompt").alias("relay_text"))
     texts = _text_keys(untouched).unionByName(_text_keys(redacted))
-    asked = governed.filter("outcome = 'ok'").withColumn("redact_key", redact_key())
+    asked = governed.filter("outcome = 'ok'").withColumn("redact_key", redact_key(governed))
     asked = asked.join(texts, (F.col("prompt_id") == F.col("_pid")) & (F.col("redact_key") == F.col("_key")), "left")
+    # Same digest, provider and model: same cache key.
+    asked = asked.withColumn("cache_key", F.concat_ws("|", "provider_resolved", "model", "digest"))
+    return _answer(asked, ttl, mode, tiers, prices)
+
+
+def replay_bodies(requests: DataFrame, tokens: DataFrame, stored: DataFrame, config: DataFrame, body_col: str = "body",
+                  ttl: int = 86_400, mode: str = "rules", tiers=TIER_MODELS, prices=PRICES, required: bool = False,
+                  window_ms: int = 60_000) -> DataFrame:
+    """:func:`replay` of requests that carry their own JSON body (see ``govern_bodies``)."""
+    governed = materialise(govern_bodies(requests, tokens, stored, config, body_col, required, window_ms))
+    return _answer(governed.filter("outcome = 'ok'"), ttl, mode, tiers, prices)
+
+
+def _answer(asked: DataFrame, ttl: int, mode: str, tiers, prices) -> DataFrame:
+    """Cache, routing and price of governed requests with ``cache_key`` and ``rule``.
+
+    Streamed requests never fill the cache, nor do those whose ``failed`` is 1.
+    """
     routed = asked.withColumn("_r", route(F.col("tier_header"), F.col("rule"), F.col("model"), mode, tiers))
-    keyed = (routed
-             # Same digest, provider and model: same cache key.
-             .withColumn("cache_key", F.concat_ws("|", F.col("provider_resolved"), F.col("model"), F.col("digest")))
-             .withColumn("can_fill", F.lit(1) - F.col("is_stream"))
+    failed = F.coalesce(F.col("failed"), F.lit(0)) if "failed" in asked.columns else F.lit(0)
+    fills = (F.col("is_stream") == 0) & (failed == 0)
+    keyed = (routed.withColumn("can_fill", F.when(fills, 1).otherwise(0))
              .select("request_id", "created_at", "label", F.col("provider_resolved").alias("provider"), "model",
                      F.col("_r.tier").alias("tier"), F.col("_r.method").alias("method"),
                      F.col("_r.model").alias("routed_model"), "input_tokens", "output_tokens", "cache_key", "can_fill",

@@ -109,6 +109,30 @@ UNION ALL
 SELECT 'cust_' || CAST(c_custkey AS STRING), 'config', 'phone,passport', 'log', CAST(0.7 AS DOUBLE),
   CAST(NULL AS STRING), CAST(20 AS BIGINT), CAST(NULL AS STRING)
 FROM customer WHERE c_mktsegment IN ('HOUSEHOLD', 'FURNITURE', 'AUTOMOBILE')""",
+    # The same policies as JSON; each action brings a pattern of its own, blocking ones a broken one as well.
+    "policy_configs": """
+SELECT q.*, '{"dlp":{"detect":[' || CASE WHEN detect_csv = '' THEN '' ELSE '"' || replace(detect_csv, ',', '","') || '"' END
+    || '],"action":"' || dlp_action || '","customPatterns":[' || CASE dlp_action WHEN 'block' THEN '{"name":"broken","regex":"("},'
+    ELSE '' END || '{"name":"' || custom_name || '","regex":"' || custom_regex || '"}]},"promptGuard":{"blockThreshold":'
+    || CAST(block_threshold AS STRING) || '},"systemPromptLock":{' || coalesce('"prepend":"' || system_prepend || '"', '')
+    || '},"outputFilter":{"enabled":' || CASE dlp_action WHEN 'log' THEN 'false' ELSE 'true' END || ',"redactPII":'
+    || CASE dlp_action WHEN 'block' THEN 'false' ELSE 'true' END || '},"allowedProviders":['
+    || coalesce('"' || replace(allowed_providers_csv, ',', '","') || '"', '') || '],"logging":{"retentionDays":'
+    || CAST(retention_days AS STRING) || '}}' AS config
+FROM (SELECT p.*, CASE dlp_action WHEN 'block' THEN 'capital' WHEN 'redact' THEN 'topic' ELSE 'dan' END AS custom_name,
+    CASE dlp_action WHEN 'block' THEN 'capital of' WHEN 'redact' THEN 'Research [a-z]+' ELSE 'DAN$' END AS custom_regex
+  FROM policies p) q""",
+    # Requests with their bodies: personal data in system text, message strings, blocks and legacy prompts; errors failed.
+    "body_requests": """
+SELECT r.*, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS failed, CASE request_id % 4
+  WHEN 0 THEN '{"model":"' || model || '","system":"be brief","messages":[{"role":"user","content":"Research this '
+    || CAST(prompt_id AS STRING) || ' SSN 123-45-6789","name":"u"}]}'
+  WHEN 1 THEN '{"model":"' || model || '","messages":[{"role":"system","content":"terse"},{"role":"user","content":'
+    || '[{"type":"text","text":"ask ' || CAST(prompt_id AS STRING) || ' jo@example.org"},{"type":"image","text":"no"}]}]}'
+  WHEN 2 THEN '{"model":"' || model || '","system":"mail jo@example.org","messages":[{"content":"ask '
+    || CAST(prompt_id AS STRING) || '","role":"user"}]}'
+  ELSE '{"model":"' || model || '","prompt":"legacy ' || CAST(prompt_id AS STRING) || ' SSN 123-45-6789"}' END AS body
+FROM requests r""",
     "request_keys": """
 SELECT request_id, created_at, provider, model, prompt_id, @SHA@ AS request_hash FROM requests""",
     # What the requests left in the cache, ten minutes after each: several versions per hash, some that never expire.
