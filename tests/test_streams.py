@@ -73,11 +73,28 @@ def test_unlimited_traffic_keeps_no_state(spark, tmp_path):
     assert got == {i: 1 for i in range(6)}
 
 
-def test_daily_counters(spark, tmp_path):
-    rows = [(86_400 * d + i, "u", 1, 2) for d in range(2) for i in range(3)]
-    src = feed(spark, str(tmp_path / "in"), rows, "created_at bigint, user_label string, input_tokens bigint, output_tokens bigint", 2)
-    got = sorted(tuple(r) for r in streams.run_complete(streams.stream_stats(src)).collect())
-    assert got == [(0, "u", 3, 3, 6), (86_400, "u", 3, 3, 6)]
+LOG = ("created_at bigint, user_label string, input_tokens bigint, output_tokens bigint, from_cache int, duration_ms bigint, "
+       "routing_tier string, routing_method string, cost_nano bigint, saved_nano bigint")
+
+
+def log_rows(times):
+    return [(t, "u", 1, 2, 0, 0, "simple", "rule", 500_000_000, 0) for t in times]
+
+
+def test_daily_counters_over_batches(spark, tmp_path):
+    rows = log_rows(86_400 * d + i for d in range(2) for i in range(4))
+    src = feed(spark, str(tmp_path / "in"), rows, LOG, 4)  # every day is updated by two batches
+    got = streams.run_updates(streams.stream_stats(src), ["day_start", "user_label"]).collect()
+    assert sorted((r.day_start, r.total, r.streamed, r.tier_simple, r.m_rule, r.total_input, r.total_output, r.total_cost)
+                  for r in got) == [(0, 4, 4, 4, 4, 4, 8, 2.0), (86_400, 4, 4, 4, 4, 4, 8, 2.0)]
+
+
+def test_rows_of_a_closed_day_change_nothing(spark, tmp_path):
+    # The second micro-batch closes the first day, the third evicts it, the fourth brings a row of it.
+    rows = log_rows([10, 20, *(86_400 * 2 + i for i in range(4)), 30, 86_400 * 2 + 4])
+    src = feed(spark, str(tmp_path / "in"), rows, LOG, 4)
+    got = streams.run_updates(streams.stream_stats(src), ["day_start", "user_label"]).collect()
+    assert sorted((r.day_start, r.total) for r in got) == [(0, 2), (86_400 * 2, 5)]
 
 
 def test_usage_rules(spark):

@@ -367,7 +367,7 @@ SELECT i.request_id, CASE WHEN e.dlp_action = 'redact' THEN CASE WHEN len(e.dete
   ELSE p.prompt END ELSE p.prompt END AS text
 FROM ident i JOIN prompts p ON p.prompt_id = i.prompt_id LEFT JOIN effective e ON e.name = i.policy_name""",
     {**IDENTITY, **EFFECTIVE_JSON})
-add("stream_govern", "SELECT request_id, outcome, CAST(len(events) AS BIGINT) AS n_events FROM governed", governed(False))
+add("stream_govern", f"SELECT request_id, outcome, {_TOLD} FROM governed", governed(False))
 
 # --- Cache ----------------------------------------------------------------------------------------------------------------
 
@@ -381,9 +381,9 @@ SELECT k.request_id, e.id AS entry_id FROM request_keys k ASOF JOIN (
   SELECT request_hash, created_at, max(id) AS id, arg_max(coalesce(expires_at, 9223372036854775807), id) AS expires_at
   FROM cache_entries GROUP BY request_hash, created_at) e
 ON k.request_hash = e.request_hash AND k.created_at >= e.created_at WHERE e.expires_at > k.created_at""")
-KEYS = {"keys": "SELECT *, 1 AS can_fill FROM request_keys"}
-for _name in ("cache_replay", "stream_cache"):
-    add(_name, "SELECT request_id, hit FROM c_out", {**KEYS, **replay("keys", TTL, "c")}, recursive=True)
+for _name, _fills in (("cache_replay", "1"), ("stream_cache", "CASE WHEN request_id % 4 = 0 THEN 0 ELSE 1 END")):
+    add(_name, "SELECT request_id, hit FROM c_out",
+        {"keys": f"SELECT *, {_fills} AS can_fill FROM request_keys", **replay("keys", TTL, "c")}, recursive=True)
 HASH = ("sha256('{\"provider\":\"' || %s || '\",\"model\":\"' || model || '\",\"messages\":[{\"role\":\"user\",\"content\":'"
         " || CAST(to_json(%s) AS VARCHAR) || '}]}')")
 add("request_hash", f"""
@@ -593,6 +593,12 @@ SELECT id, detail ->> '$.provider' AS provider, '{"provider":"' || (detail ->> '
 add("middleware_chain", """
 SELECT request_id, CASE WHEN event_type = 'error' THEN 'a' ELSE 'abc' END AS trail,
   CASE WHEN event_type = 'error' THEN 'refused' END AS short_circuit FROM requests""")
+add("middleware_response", """
+SELECT request_id, CASE WHEN from_cache = 1 THEN output_tokens ELSE least(output_tokens, 100) END AS output_tokens,
+  CASE WHEN from_cache = 1 THEN '' ELSE 'ab' END AS trail FROM request_log""")
+add("middleware_error", """
+SELECT request_id, s.name || provider AS note, CAST(s.step AS BIGINT) AS step
+FROM requests, (VALUES ('count ', 1), ('log ', 2)) s(name, step) WHERE event_type = 'error'""")
 add("classifier_hook", r"""
 SELECT prompt_id, CASE WHEN n < 50 THEN 'simple' WHEN n > 70 THEN 'complex' ELSE 'standard' END AS classified
 FROM (SELECT prompt_id, len(regexp_extract_all(substr(prompt, 1, 500), '\S+')) AS n FROM prompts)""")
@@ -639,9 +645,18 @@ WHERE from_cache = 0 AND coalesce(system_prepend, '') <> ''""", GATEWAY, recursi
 # --- Streams ------------------------------------------------------------------------------------------------------------------
 
 add("stream_memory", f"""
-SELECT session_id, turn, least(row_number() OVER (PARTITION BY session_id ORDER BY created_at, turn) - 1, {2 * TOP_K})
-  AS n_recalled FROM memory_store""")
+SELECT session_id, turn, CAST(len(kept) AS BIGINT) AS n_recalled, '[' || array_to_string(kept, ', ') || ']' AS context FROM (
+  SELECT session_id, turn, coalesce(list('{{"role": ' || CAST(to_json(role) AS VARCHAR) || ', "content": '
+    || CAST(to_json(content) AS VARCHAR) || '}}') OVER (PARTITION BY session_id ORDER BY created_at, turn
+    ROWS BETWEEN {2 * TOP_K} PRECEDING AND 1 PRECEDING), []) AS kept FROM memory_store)""")
 add("stream_stats", """
-SELECT created_at - created_at % 86400 AS day_start, user_label, count(*) AS total,
-  CAST(sum(input_tokens) AS BIGINT) AS total_input, CAST(sum(output_tokens) AS BIGINT) AS total_output
-FROM requests GROUP BY ALL""")
+SELECT created_at - created_at % 86400 AS day_start, user_label, count(*) AS total, CAST(sum(from_cache) AS BIGINT) AS cached,
+  count(*) FILTER (duration_ms = 0) AS streamed, count(*) FILTER (routing_tier = 'simple') AS tier_simple,
+  count(*) FILTER (routing_tier = 'standard') AS tier_standard, count(*) FILTER (routing_tier = 'complex') AS tier_complex,
+  count(*) FILTER (routing_method = 'classifier') AS m_classifier, count(*) FILTER (routing_method = 'rule') AS m_rule,
+  count(*) FILTER (routing_method = 'header') AS m_header, count(*) FILTER (routing_method = 'default') AS m_default,
+  CAST(sum(from_cache) AS BIGINT) AS m_cache, CAST(sum(input_tokens) AS BIGINT) AS total_input,
+  CAST(sum(output_tokens) AS BIGINT) AS total_output, CAST(sum(cost_nano) AS DOUBLE) / 1e9 AS total_cost,
+  CAST(sum(saved_nano) AS DOUBLE) / 1e9 AS total_saved
+FROM priced GROUP BY ALL""", PRICED)
+add("stream_metrics", LOG_ROW.format(duration="CAST(duration_ms AS BIGINT)", more="", table="priced"), PRICED)

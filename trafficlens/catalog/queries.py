@@ -684,6 +684,24 @@ def middleware_chain(v):
     return out.select("request_id", "trail", "short_circuit")
 
 
+@query
+def middleware_response(v):
+    """Two response steps out of order; what they make of a cached answer is undone, as it has been sent already."""
+    tag = lambda name: lambda df: df.withColumn("trail", F.concat("trail", F.lit(name)))
+    cheaper = lambda df: df.withColumn("output_tokens", F.least("output_tokens", F.lit(100)))
+    answers = v.request_log.select("request_id", "from_cache", "output_tokens", F.lit("").alias("trail"))
+    return hooks.run_response_steps(answers, [(None, tag("b")), (20, cheaper), (10, tag("a"))]).select(
+        "request_id", "output_tokens", "trail")
+
+
+@query
+def middleware_error(v):
+    """Reports of two error steps about failed requests."""
+    note = lambda name: lambda df: df.select("request_id", F.concat(F.lit(name), F.col("error")).alias("note"))
+    failed = v.requests.select("request_id", F.when(F.col("event_type") == "error", F.col("provider")).alias("error"))
+    return hooks.run_error_steps(failed, [(None, note("log ")), (10, note("count "))])
+
+
 @query
 def classifier_hook(v):
     by_words = lambda texts: ["Simple " if len(t.split()) < 50 else "COMPLEX" if len(t.split()) > 70 else "unsure"
@@ -734,9 +752,7 @@ def _stream_of(v: Views, name: str, table: str) -> DataFrame:
 @query
 def stream_govern(v):
     asked = _stream_of(v, "requests", "events").join(v.prompts, "prompt_id", "left")
-    out = streams.stream_govern(asked, v.tokens, *_policies(v))
-    n = F.size("events").cast("bigint")
-    return streams.run_available(out.select("request_id", "outcome", n.alias("n_events")), "govern")
+    return streams.run_available(_outcomes(streams.stream_govern(asked, v.tokens, *_policies(v))), "govern")
 
 
 @query
@@ -748,7 +764,8 @@ def stream_rate_limit(v):
 
 @query
 def stream_cache(v):
-    keys = _stream_of(v, "request_keys", "events").withColumn("can_fill", F.lit(1))
+    keys = _stream_of(v, "request_keys", "events").withColumn(
+        "can_fill", F.when(F.col("request_id") % 4 == 0, 0).otherwise(1))
     return streams.run_available(stateful.stream_cache(keys, TTL), "cache")
 
 
@@ -756,22 +773,31 @@ def stream_cache(v):
 def stream_memory(v):
     memory = _stream_of(v, "memory_store", "conversations")
     return streams.run_available(stateful.stream_memory(memory, TOP_K), "memory") \
-        .select("session_id", "turn", "n_recalled")
+        .select("session_id", "turn", "n_recalled", "context")
 
 
 @query
 def stream_stats(v):
-    return streams.run_complete(streams.stream_stats(_stream_of(v, "requests", "events")))
+    log = routing.price_request(_stream_of(v, "request_log", "events"))
+    return streams.run_updates(streams.stream_stats(log), ["day_start", "user_label"])
 
 
-@query
-def stream_usage(v):
-    """Transcripts cut into lines and put together again by the stream."""
+def _chunks(v: Views) -> DataFrame:
+    """Transcripts cut into lines, to be put together again by the stream."""
     sse = _stream_of(v, "sse", "events")
     lines = F.split("raw", "\n")
     chunks = sse.select("request_id", "provider", F.size(lines).alias("n"), F.posexplode(lines).alias("seq", "line"))
-    chunks = chunks.select("request_id", "provider", flag("seq").alias("seq"),
-                           F.concat("line", F.lit("\n")).alias("chunk"),
-                           flag(F.col("seq") == F.col("n") - 1).alias("is_last"),
-                           F.lit(AS_OF).cast("bigint").alias("created_at"))
-    return streams.run_available(streams.stream_usage(chunks), "usage")
+    return chunks.select("request_id", "provider", flag("seq").alias("seq"),
+                         F.concat("line", F.lit("\n")).alias("chunk"),
+                         flag(F.col("seq") == F.col("n") - 1).alias("is_last"),
+                         F.lit(AS_OF).cast("bigint").alias("created_at"))
+
+
+@query
+def stream_usage(v):
+    return streams.run_available(streams.stream_usage(_chunks(v)), "usage")
+
+
+@query
+def stream_metrics(v):
+    return streams.run_available(streams.stream_metrics(_chunks(v), v.request_log), "metrics")

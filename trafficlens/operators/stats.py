@@ -46,7 +46,8 @@ def _within(log: DataFrame, low: int, high: int) -> DataFrame:
     return kept.filter(F.col("dt") <= _day(high)) if "dt" in log.columns else kept
 
 
-def _measures() -> list[Column]:
+def measures() -> list[Column]:
+    """The counts and sums of a report over a priced log; money in nano-USD."""
     out = [F.sum(F.coalesce(cond(), F.lit(False)).cast("bigint")).alias(name) for name, cond in _COUNTS.items()]
     return out + [F.sum(c).alias(name) for name, c in _SUMS.items()]
 
@@ -85,7 +86,7 @@ def stats_cube(log: DataFrame, as_of: int) -> DataFrame:
     starts = sorted({low for low, _ in bounds.values()}, reverse=True)
     ring = F.coalesce(*[F.when(F.col("created_at") >= s, F.lit(i)) for i, s in enumerate(starts)])
     per_user = (_within(log, starts[-1], as_of).withColumn("ring", ring)
-                .groupBy("user_label", "ring").agg(*_measures()))
+                .groupBy("user_label", "ring").agg(*measures()))
     member = F.array_compact(F.array(*[
         F.when(F.col("ring") <= starts.index(low), F.lit(name)) for name, (low, _) in bounds.items()]))
     expanded = per_user.withColumn("period", F.explode(member))
@@ -99,7 +100,7 @@ def period_stats(log: DataFrame, as_of: int, period: str, user: str | None = Non
     rows = _within(log, low, high)
     if user is not None:
         rows = rows.filter(F.col("user_label") == user)
-    total = rows.groupBy("user_label").agg(*_measures()).agg(*_again())
+    total = rows.groupBy("user_label").agg(*measures()).agg(*_again())
     return total.select(F.lit(period).alias("period"), F.lit(low).cast("bigint").alias("from_ts"),
                         F.lit(high).cast("bigint").alias("to_ts"), *_report(F.lit(float(period_divisor(period)))))
 

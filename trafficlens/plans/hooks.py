@@ -15,17 +15,20 @@ Step = Callable[[DataFrame], DataFrame]
 DEFAULT_PRIORITY = 50
 
 
+def in_order(steps: Iterable[tuple[int | None, Step]]) -> list[Step]:
+    return [step for _, step in sorted(steps, key=lambda s: DEFAULT_PRIORITY if s[0] is None else s[0])]
+
+
 def run_steps(requests: DataFrame, steps: Iterable[tuple[int | None, Step]]) -> DataFrame:
     """Apply steps in priority order (lower first, default 50, equal ones in the order given).
 
     A step adds or changes columns with ``withColumn``; it keeps every row. It may answer a request by setting its
     ``short_circuit`` column: what later steps make of that row is undone. All steps together are one pass.
     """
-    ordered = sorted(steps, key=lambda s: DEFAULT_PRIORITY if s[0] is None else s[0])
     current = requests
     if "short_circuit" not in current.columns:
         current = current.withColumn("short_circuit", F.lit(None).cast("string"))
-    for _, step in ordered:
+    for step in in_order(steps):
         old = current.columns
         after = step(current.withColumn("_was", F.struct(*old)))
         answered = F.col("_was.short_circuit").isNotNull()
@@ -35,6 +38,37 @@ def run_steps(requests: DataFrame, steps: Iterable[tuple[int | None, Step]]) ->
     return current
 
 
+def run_response_steps(responses: DataFrame, steps: Iterable[tuple[int | None, Step]]) -> DataFrame:
+    """Apply response steps in priority order to answers with ``from_cache``; each sees what the one before it made.
+
+    Steps see a cached answer as well, each as it came out of the cache, but cannot change it.
+    """
+    current = responses
+    for step in in_order(steps):
+        old = current.columns
+        after = step(current.withColumn("_was", F.struct(*old)))
+        cached = F.coalesce(F.col("_was.from_cache") == 1, F.lit(False))
+        current = after.select(*[
+            F.when(cached, F.col("_was")[c] if c in old else F.lit(None)).otherwise(F.col(c)).alias(c)
+            for c in after.columns if c != "_was"])
+    return current
+
+
+def run_error_steps(requests: DataFrame, steps: Iterable[tuple[int | None, Step]]) -> DataFrame:
+    """What the error steps report about requests whose ``error`` is set: all reports in one table, with ``step`` from 1.
+
+    A step maps failed requests to report rows; it changes nothing else. All steps report the same columns.
+    """
+    failed = requests.filter(F.col("error").isNotNull())
+    reports = [step(failed).withColumn("step", F.lit(n).cast("bigint")) for n, step in enumerate(in_order(steps), 1)]
+    if not reports:
+        raise ValueError("no error steps")
+    out = reports[0]
+    for more in reports[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def one_by_one(model: Callable[[list], list], texts: list) -> list:
     """Answers of a model to a batch of texts. If the batch fails, each text is asked alone, and one that fails is None.
     """

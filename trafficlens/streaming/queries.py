@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from ..functions.fixed_values import PRICES
+from ..functions.pricing import usd
 from ..functions.usage import sse_usage
 from ..operators.identity import auth_resolve
 from ..operators.policy import policy_resolve
+from ..operators.routing import price_request
+from ..operators.stats import COUNT_COLUMNS, measures
 from ..plans.govern import apply_policy, text_verdicts
-from ..sources.archive import shared_dir
+from ..sources.archive import log_row, shared_dir
 from .stateful import assemble_transcripts
 
 
@@ -25,15 +28,16 @@ def stream_govern(requests: DataFrame, tokens: DataFrame, stored: DataFrame, con
     return apply_policy(text_verdicts(known, text_col))
 
 
-def stream_stats(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Live counters per UTC day and user over a stream of ``created_at`` (seconds) rows."""
-    timed = requests.withColumn("ts", F.timestamp_seconds("created_at")).withWatermark("ts", delay)
-    day = F.window("ts", "1 day")
-    return (timed.groupBy(day.alias("w"), "user_label")
-            .agg(F.count(F.lit(1)).alias("total"), F.sum("input_tokens").alias("total_input"),
-                 F.sum("output_tokens").alias("total_output"))
-            .select(F.unix_seconds(F.col("w.start")).alias("day_start"), "user_label", "total", "total_input",
-                    "total_output"))
+def stream_stats(log: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Live counters per UTC day and user over a stream of priced log rows: all measures of the reports.
+
+    A day that ended more than ``delay`` before the latest row of a micro-batch is closed in the next one; rows of it
+    that come after that change nothing.
+    """
+    timed = log.withColumn("ts", F.timestamp_seconds("created_at")).withWatermark("ts", delay)
+    return (timed.groupBy(F.window("ts", "1 day").alias("w"), "user_label").agg(*measures())
+            .select(F.unix_seconds(F.col("w.start")).alias("day_start"), "user_label", *COUNT_COLUMNS, "total_input",
+                    "total_output", usd(F.col("cost")).alias("total_cost"), usd(F.col("saved")).alias("total_saved")))
 
 
 def stream_usage(chunks: DataFrame) -> DataFrame:
@@ -41,6 +45,15 @@ def stream_usage(chunks: DataFrame) -> DataFrame:
     return sse_usage(assemble_transcripts(chunks)).select("request_id", "input_tokens", "output_tokens", "complete")
 
 
+def stream_metrics(chunks: DataFrame, requests: DataFrame, prices=PRICES) -> DataFrame:
+    """One log row (18 columns) per streamed response: its tokens from the chunks, the rest from the static table
+    ``requests`` (``request_id``, ``created_at``, ``user_label``, models, routing, ``from_cache``, ``duration_ms``).
+    """
+    told = requests.drop("input_tokens", "output_tokens", "provider")
+    used = sse_usage(assemble_transcripts(chunks)).drop("raw", "complete")
+    return log_row(price_request(used.join(told, "request_id", "left"), prices))
+
+
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Process everything the source holds now, append to parquet, return the written table."""
     spark = stream.sparkSession
@@ -52,20 +65,32 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/{name}")
 
 
-def run_complete(stream: DataFrame) -> DataFrame:
-    """As :func:`run_available` for small aggregates in complete mode, kept as an in-memory table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = (stream.writeStream.format("memory").queryName(name).outputMode("complete")
-             .option("checkpointLocation", f"{shared_dir(stream.sparkSession)}-checkpoint")
-             .trigger(availableNow=True).start())
+def run_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """As :func:`run_available` for aggregates that change: each micro-batch writes the rows that it changed into a
+    folder of its own, and the table returned holds the latest row of each key.
+
+    A micro-batch that is repeated after a failure overwrites its folder. Nothing is kept on the driver.
+    """
+    spark = stream.sparkSession
+    base = shared_dir(spark)
+    write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{base}/updates/batch={batch}")
+    query = (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/updates-checkpoint")
+             .outputMode("update").trigger(availableNow=True).start())
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    written = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    rest = [c for c in stream.columns if c not in keys]
+    latest = (spark.read.schema(written).option("basePath", f"{base}/updates").parquet(f"{base}/updates")
+              .groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_latest")))
+    return latest.select(*[F.col(c) if c in keys else F.col(f"_latest.{c}") for c in stream.columns])
 
 
-def file_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream over the parquet file(s) of one table in a folder."""
+def file_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int | None = None,
+                bytes_per_trigger: int = 1 << 30) -> DataFrame:
+    """Stream over the parquet file(s) of one table in a folder; a micro-batch takes so many files or bytes."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     return reader.parquet(folder)
