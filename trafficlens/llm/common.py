@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..sources.archive import materialise, shared_dir
 
-__all__ = ["Lookup", "Memo", "file_system", "fresh", "materialise", "per_process", "row_key", "shared_dir", "table", "unique_name"]
+__all__ = ["Lookup", "Memo", "file_system", "fresh", "materialise", "per_process", "row_key", "shared_dir", "table", "unique_name",
+           "word_hashes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,3 +87,13 @@ class Lookup(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+def _word_hash(word: str) -> int:
+    from xxhash import xxh64_intdigest
+    return xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
+
+
+def word_hashes() -> Lookup:
+    """Hash of each word; one small table a worker, whatever operators run in it."""
+    return per_process("plain word hashes", lambda: Lookup(_word_hash, 100_000))

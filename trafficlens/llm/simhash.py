@@ -281,7 +281,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                          bits: int = BITS) -> DataFrame:
     """Keep one row of each group: that of the smallest id, among equal ids that of the smallest text key."""
-    found = near_duplicates(docs, id_col, text_col, words, bits)
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, words, bits), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each group of ``found(doc_id, k_text, component_id)``: smallest id, then smallest text key."""
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(
         F.min("k_text").alias("k_text"), F.count(F.lit(1)).alias("rows"))
     names = docs.columns
