@@ -1,7 +1,8 @@
 """Repeated passages by sliding runs of sentences.
 
-A text is cut into sentences (after . ! ? … and at line ends; a longer sentence is cut further at words chosen by their
-hash, so that equal passages are cut alike wherever they stand). Every run of ``SENTENCES`` or more consecutive
+A text is cut into sentences (after . ! ? … and at line ends; a longer sentence is cut further between the two words
+whose hash is least in a window of word pairs, so that equal passages are cut alike from the window on, wherever they
+stand: of a passage without sentence ends, 47 words suffice for a run that is found in any surroundings). Every run of ``SENTENCES`` or more consecutive
 sentences that reaches ``RUN_WORDS`` words, starting at each sentence, is hashed by its lower-cased words. Runs whose
 hash occurs more than once anywhere are repeats; the first in order of (id, text, place) stays, and every sentence
 covered by a later one is removed.
@@ -21,11 +22,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, row_key, table
+from .common import fresh, materialise, row_key, table, word_hashes
 
 SENTENCES = 3
 RUN_WORDS = 15
 LONG = 12  # words of a sentence above which it is cut further
+WINDOW = 8  # pairs of words among which the least hash makes a cut; a power of two
 _END = re.compile(r"[.!?…]+[\"'”’)\]]*\s+|\s*[\n\r  ]\s*")
 _WORD = re.compile(r"\S+")
 
@@ -33,36 +35,56 @@ _WORD = re.compile(r"\S+")
 def sentences(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end, words, hash) of each sentence; the parts cover the text without gaps."""
     from xxhash import xxh64_intdigest
-    out, start = [], 0
+    found, start = [], 0
     for cut in [*[m.end() for m in _END.finditer(text)], len(text)]:
         if cut <= start:
             continue
         words = text[start:cut].lower().split()
-        if not words:
-            if out:  # white space alone belongs to the sentence before it
-                out[-1] = (out[-1][0], cut, *out[-1][2:])
-            else:
-                continue
-        elif len(words) <= LONG:
-            out.append((start, cut, len(words), xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))))
+        if words:
+            found.append([start, cut, words])
+        elif found:  # white space alone belongs to the sentence before it
+            found[-1][1] = cut
         else:
-            _cut_further(text, start, cut, out)
+            continue
         start = cut
+    cuts = iter(_cuts([words for *_, words in found if len(words) > LONG]))
+    out = []
+    for start, end, words in found:
+        if len(words) <= LONG:
+            out.append((start, end, len(words), xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))))
+            continue
+        ends, first, at = [m.end() for m in _WORD.finditer(text, start, end)], 0, start
+        for last in [*next(cuts), len(words)]:
+            stop = ends[last - 1] if last < len(words) else end
+            part = " ".join(words[first:last]).encode("utf-8", "surrogatepass")
+            out.append((at, stop, last - first, xxh64_intdigest(part)))
+            first, at = last, stop
     return out
 
 
-def _cut_further(text: str, start: int, end: int, out: list) -> None:
-    from xxhash import xxh64_intdigest
-    words, at = [], start
-    for m in _WORD.finditer(text, start, end):
-        words.append(word := m.group().lower().encode("utf-8", "surrogatepass"))
-        if len(words) >= LONG or len(words) >= 4 and xxh64_intdigest(word) % 4 == 0:
-            out.append((at, m.end(), len(words), xxh64_intdigest(b" ".join(words))))
-            words, at = [], m.end()
-    if words:
-        out.append((at, end, len(words), xxh64_intdigest(b" ".join(words))))
-    else:
-        out[-1] = (out[-1][0], end, *out[-1][2:])
+def _cuts(long: list[list[str]]) -> list[list[int]]:
+    """For each sentence of over ``WINDOW`` words, the numbers of words before its cuts.
+
+    A cut lies inside the pair of words that has the least hash of some window of ``WINDOW`` pairs, of equal ones the
+    last. So it depends on nothing further than ``WINDOW`` words away, and two cuts are at most so far apart.
+    """
+    import numpy as np
+    if not long:
+        return []
+    sizes = np.array([len(words) for words in long])
+    known = word_hashes()
+    word = np.fromiter((known[w] for words in long for w in words), np.uint64, int(sizes.sum()))
+    pair = (word[:-1] ^ (word[1:] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    pair ^= pair >> np.uint64(29)
+    least, step = np.arange(len(pair)), 1
+    while step < WINDOW:
+        a, b = least[:-step], least[step:]
+        least, step = np.where(pair[b] <= pair[a], b, a), 2 * step
+    of = np.repeat(np.arange(len(long)), sizes)
+    chosen = np.zeros(len(word), bool)
+    chosen[least[of[:-WINDOW] == of[WINDOW:]]] = True  # windows within a sentence
+    at, starts = np.flatnonzero(chosen), np.cumsum(sizes) - sizes
+    return [(c + 1 - s).tolist() for c, s in zip(np.split(at, np.searchsorted(at, starts[1:])), starts)]
 
 
 def runs(parts: list[tuple[int, int, int, int]]):
