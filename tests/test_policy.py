@@ -158,7 +158,7 @@ def test_body_texts(spark):
         {"type": "text", "text": "a"}, {"type": "image", "text": "no"}, {"type": "text", "text": ""}, {"type": "text"}]},
         {"role": "assistant", "content": None}], "prompt": "p", "tools": [1]}
     df = col(spark, json.dumps(body)).select(B.parse_body(F.col("x")).alias("b"))
-    row = df.select(B.request_text(F.col("b")).alias("t"), B.last_user_text(F.col("b.messages")).alias("u")).first()
+    row = df.select(B.request_text(F.col("b")).alias("t"), B.last_user_text(B.messages_of(F.col("b.messages"))).alias("u")).first()
     assert row.t == "s\n\na\np" and json.loads(row.u) == body["messages"][1]["content"]
     bare = col(spark, '{"model":"m","system":[{"type":"text","text":"hidden"}]}').select(B.parse_body(F.col("x")).alias("b"))
     assert bare.select(B.request_text(F.col("b")).alias("t")).first().t == ""
@@ -234,18 +234,74 @@ def test_parsed_policy_keeps_its_own_patterns_only_where_it_scans(spark):
     assert got["b"] == got["c"] == got["d"] == []
 
 
-def test_odd_bodies_are_governed_without_failing(spark):
+ODD_BODIES = [  # body, why it is refused
+    (None, "empty"), ("", "empty"), (" \n", "empty"), ("{broken", "not_json"), ("[]", "not_object"), ("null", "not_object"),
+    ('"text"', "not_object"), ("7", "not_object"), ('[{"messages":[{"content":"SSN 123-45-6789"}]}]', "not_object"),
+    ('{"messages":[{"role":"user","content":"SSN 123-45-6789"}]', "not_json"), ("{'model':'m'}", "not_json"),
+    ('{"messages":[]} SSN 123-45-6789', "not_json"), ('{"a":1}{"b":2}', "not_json"), ('{"a":1},{"b":2}', "not_json"),
+    ('{"a":1}]', "not_json"), ('{"a":NaN}', "not_json"), ('[1,', "not_json"), ('{"a":1},0],{}', "not_json"),
+    ('{"messages":[{"role":"user","role":"x","content":"a"}]}', "not_json"),
+    ('{"messages":null}', None), ('{"messages":[{"role":"user"}]}', None), ('{"messages":"SSN 123-45-6789"}', None),
+    ('{"messages":[{"role":"user","content":"SSN 123-45-6789"},{"role":"user","content":null}],"system":null}', None),
+    ('{"messages":["x",{"role":"user","content":"SSN 123-45-6789"}]}', None),
+    ('{"messages":[null,7,[],{"content":{"a":1}},"{\\"content\\":\\"y\\"}",{"role":5,"content":"SSN 123-45-6789"}],"stream":"yes"}', None),
+    ('  {"model":{"a":1},"messages":[{"role":"user","content":[null,{"type":"text","text":"SSN 123-45-6789"}]}]}\n', None),
+    ('{"prompt":["p"],"system":"SSN 123-45-6789","messages":{"role":"user"}}', None)]
+
+
+@pytest.mark.parametrize("action", ["block", "redact"])
+def test_odd_bodies_are_refused_or_scanned(spark, action):
     from trafficlens.plans.govern import govern_bodies
-    bodies = [None, "", "{broken", "[]", '{"messages":null}', '{"messages":[{"role":"user"}]}',
-              '{"messages":[{"role":"user","content":"SSN 123-45-6789"},{"role":"user","content":null}],"system":null}']
-    rows = spark.createDataFrame([(i, 100 + i, "t", "openai", "gpt-4o", b) for i, b in enumerate(bodies)],
+    rows = spark.createDataFrame([(i, 100 + i, "t", "openai", "gpt-4o", b) for i, (b, _) in enumerate(ODD_BODIES)],
                                  "request_id bigint, created_at bigint, bearer string, provider string, model string, body string")
     tokens = spark.createDataFrame([("t", "u", 0, None, "p", 0)],
                                    "token string, label string, rpm_limit bigint, allowed_models_csv string, policy_name string, revoked int")
     stored = policy.parse_policies(spark.createDataFrame(
-        [("p", '{"dlp":{"action":"redact","detect":["ssn"],"customPatterns":[{"name":"w","regex":"SSN"}]}}')],
+        [("p", '{"dlp":{"action":"' + action + '","detect":["ssn"],"customPatterns":[{"name":"w","regex":"SSN"}]}}')],
         "name string, config string"))
     got = {r.request_id: r for r in govern_bodies(rows, tokens, stored, stored.limit(0)).collect()}
-    assert len(got) == len(bodies) and {r.outcome for r in got.values()} == {"ok"}
-    assert [i for i, r in got.items() if r.redact_with] == [6]
-    assert got[0].cache_key == got[3].cache_key != got[6].cache_key
+    assert len(got) == len(ODD_BODIES)
+    for i, (body, error) in enumerate(ODD_BODIES):
+        # Only an array of messages is scanned, so a string in its place says nothing.
+        finds = error is None and "123-45" in body and not body.startswith('{"messages":"SSN')
+        want = "400" if error else "dlp_blocked" if finds and action == "block" else "ok"
+        assert (got[i].error, got[i].outcome) == (error, want), body
+        assert (got[i].redact_with is not None) == (finds and action == "redact"), body
+        assert (got[i].cache_key is None) == (error is not None)
+
+
+def test_a_refused_body_counts_for_no_limit(spark):
+    from trafficlens.plans.govern import govern_bodies
+    rows = spark.createDataFrame([(i, 100, "t", "openai", "m", "{" if i < 3 else "{}") for i in range(5)],
+                                 "request_id bigint, created_at bigint, bearer string, provider string, model string, body string")
+    tokens = spark.createDataFrame([("t", "u", 1, None, None, 0)],
+                                   "token string, label string, rpm_limit bigint, allowed_models_csv string, policy_name string, revoked int")
+    stored = policy.parse_policies(spark.createDataFrame([("p", "{}")], "name string, config string"))
+    got = {r.request_id: r.outcome for r in govern_bodies(rows, tokens, stored, stored.limit(0), required=True).collect()}
+    assert got == {0: "400", 1: "400", 2: "400", 3: "ok", 4: "429"}
+
+
+def test_archive_keeps_what_it_cannot_read(spark, tmp_path):
+    from trafficlens.sources import archive
+    lines = [json.dumps({"request_id": i, "body": b}) for i, (b, _) in enumerate(ODD_BODIES)] + ["{cut off", "[1, 2]"]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    good, rejected = archive.quarantine(archive.read_requests(spark, str(tmp_path)))
+    errors = {r.request_id: r.error for r in rejected.collect() if r.request_id is not None}
+    assert errors == {i: e for i, (_, e) in enumerate(ODD_BODIES) if e}
+    assert {r.raw for r in rejected.filter("request_id IS NULL").collect()} == {"{cut off", "[1, 2]"}
+    assert {r.outcome for r in rejected.collect()} == {"400"}
+    texts = {r.request_id: r.request_text for r in good.collect()}
+    assert set(texts) == {i for i, (_, e) in enumerate(ODD_BODIES) if e is None}
+    assert sum("123-45" in t for t in texts.values()) == 5
+
+
+def test_text_and_variant_form_of_a_request_hash_agree(spark):
+    from trafficlens.operators.cache import request_hash, request_hash_of
+    raw = '[{"role":"user","content":"a \\"b\\" ü"},{"content":[{"text":"t","type":"text"}],"role":"user"}]'
+    df = col(spark, raw).select(F.from_json("x", "array<map<string,variant>>").alias("m"), F.parse_json(F.lit('"s"')).alias("s"))
+    one = request_hash(F.lit("p"), F.lit('m"'), F.col("m"), F.col("s"))
+    other = request_hash_of(F.lit("p"), F.lit('m"'), F.transform("m", lambda e: F.to_json(e)), F.col("s"))
+    bare = [request_hash(F.lit("p"), F.lit(None).cast("string"), F.col("m")),
+            request_hash_of(F.lit("p"), F.lit(None).cast("string"), F.transform("m", lambda e: F.to_json(e)))]
+    row = df.select(one, other, *bare).first()
+    assert row[0] == row[1] and row[2] == row[3]

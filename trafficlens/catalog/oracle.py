@@ -151,8 +151,21 @@ SELECT a.request_id, r.model, CASE WHEN a.request_id % 4 = 1 THEN 1 ELSE 0 END A
   CASE a.request_id % 4 WHEN 0 THEN 'ask ' || r.prompt_id
     WHEN 1 THEN '[{"text":"ask ' || r.prompt_id || '","type":"text"},{"text":"no","type":"image"},'
       || '{"text":"","type":"text"},{"text":"more","type":"text"}]'
-    ELSE '""' END AS last_user, a.body AS raw
+    ELSE '""' END AS last_user, a.body AS raw, 'ok' AS outcome, CAST(NULL AS VARCHAR) AS error
 FROM archive a JOIN requests r ON r.request_id = a.request_id""")
+_BODY_ERROR = """CASE WHEN body IS NULL OR trim(body) = '' THEN 'empty' WHEN NOT json_valid(body) THEN 'not_json'
+  WHEN json_type(body) <> 'OBJECT' THEN 'not_object' END"""
+add("bodies_rejected", f"""
+SELECT request_id, '400' AS outcome, error FROM (SELECT request_id, {_BODY_ERROR} AS error FROM odd_bodies) q
+WHERE error IS NOT NULL""")
+add("bodies_accepted", f"""
+SELECT o.request_id, r.model, CASE WHEN o.request_id % 12 = 11 THEN 1 ELSE 0 END AS stream,
+  CASE o.request_id % 12 WHEN 1 THEN 2 WHEN 6 THEN 4 ELSE 0 END AS n_messages,
+  CASE o.request_id % 12 WHEN 8 THEN 'legacy ' || r.prompt_id WHEN 11 THEN 'be brief' ELSE 'ask ' || r.prompt_id END
+    AS request_text,
+  CASE o.request_id % 12 WHEN 1 THEN 'ask ' || r.prompt_id
+    WHEN 6 THEN '[{{"text":"ask ' || r.prompt_id || '","type":"text"}},null,{{"type":"image"}}]' ELSE '""' END AS last_user
+FROM odd_bodies o JOIN requests r ON r.request_id = o.request_id WHERE {_BODY_ERROR} IS NULL""")
 
 LOG_ROW = """SELECT CAST(request_id AS VARCHAR) AS id, request_id, provider, routed_model AS model, input_tokens,
   output_tokens, {duration} AS duration_ms, CAST(from_cache AS BIGINT) AS from_cache,

@@ -76,6 +76,22 @@ def read_requests(v):
     return archive.read_requests(v.spark, path).withColumn("stream", flag("stream"))
 
 
+@query
+def bodies_rejected(v):
+    """Requests whose archived body is refused, and why."""
+    path = archive.shared_dir(v.spark)
+    v.odd_bodies.write.json(path)
+    _, rejected = archive.quarantine(archive.read_requests(v.spark, path))
+    return rejected.select("request_id", "outcome", "error")
+
+
+@query
+def bodies_accepted(v):
+    """What odd bodies say that are requests all the same."""
+    good, _ = archive.quarantine(archive.normalise_requests(v.odd_bodies))
+    return good.select("request_id", "model", flag("stream").alias("stream"), "n_messages", "request_text", "last_user")
+
+
 @query
 def write_request_log(v):
     path = archive.shared_dir(v.spark)

@@ -10,14 +10,67 @@ from pyspark.sql import functions as F
 from .fixed_values import (ANTHROPIC_VERSION, CONTROL_HEADERS, DROPPED_HEADERS, STRIP_ALWAYS, STRIP_HAIKU)
 from .regex import WS
 
-BODY_SCHEMA = ("model string, system variant, messages array<struct<role: string, content: variant>>, "
-               "prompt variant, stream boolean")
+BODY_SCHEMA = "model string, system variant, messages variant, prompt variant, stream variant, _broken string"
+STRICT = {"columnNameOfCorruptRecord": "_broken", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_BLANK = " \t\n\r"
 _EMPTY = "array<string>"
 
 
 def parse_body(raw: Column) -> Column:
-    """Typed view of a body; everything it does not name stays in the raw text."""
-    return F.from_json(raw, BODY_SCHEMA)
+    """View of a body whose parts may have any form; everything it does not name stays in the raw text."""
+    return F.from_json(raw, BODY_SCHEMA, STRICT)
+
+
+def body_error(raw: Column, body: Column) -> Column:
+    """Why a body is no JSON object: ``empty``, ``not_json`` or ``not_object``; null for a good one.
+
+    ``body`` is :func:`parse_body` of it. Parsers stop at the end of the first value, so what follows it is checked by
+    reading the body as the first element of an array whose second is known. A key that stands twice inside a
+    message, system text or prompt makes a body ``not_json`` (VARIANT holds no such object).
+    """
+    mark = F.hex(F.xxhash64(raw))
+    whole = F.get_json_object(F.concat(F.lit("["), raw, F.lit(',"'), mark, F.lit('"]')), "$[1]") == mark
+    broken = F.coalesce(body["_broken"].isNotNull(), F.lit(True))
+    return (F.when(raw.isNull() | (F.btrim(raw, F.lit(_BLANK)) == ""), "empty")
+            .when(~F.coalesce(whole, F.lit(False)), "not_json")
+            .when(F.ltrim(raw, F.lit(_BLANK)).startswith("{"), F.when(body.isNull() | broken, "not_json"))
+            .when(F.try_parse_json(raw).isNull(), "not_json").otherwise("not_object"))
+
+
+def entries(messages: Column) -> Column:
+    """The entries of a ``messages`` VARIANT, whatever their form; null when it is no array."""
+    return F.try_variant_get(messages, "$", "array<variant>")
+
+
+def role_of(entry: Column) -> Column:
+    return string_or_null(F.try_variant_get(entry, "$.role", "variant"))
+
+
+def content_of(entry: Column) -> Column:
+    return F.try_variant_get(entry, "$.content", "variant")
+
+
+def messages_of(messages: Column) -> Column:
+    """Role and content of every entry. An entry that is no object has neither, and hides none of the others."""
+    return F.transform(entries(messages), lambda m: F.struct(role_of(m).alias("role"), content_of(m).alias("content")))
+
+
+def entry_fields(raw: Column) -> Column:
+    """Each entry of ``messages`` as ``map<string, variant>`` with its keys in the order of the raw text.
+
+    Null for an entry that is no object, except for a string that looks like one: see :func:`is_object`.
+    """
+    texts = F.from_json(raw, "messages array<string>")["messages"]
+    return F.transform(texts, lambda t: F.from_json(t, "map<string,variant>"))
+
+
+def is_object(entry: Column) -> Column:
+    return F.try_variant_get(entry, "$", "map<string,variant>").isNotNull()
+
+
+def is_true(flag: Column) -> Column:
+    """Whether a VARIANT is the JSON literal ``true``."""
+    return F.coalesce((F.schema_of_variant(flag) == "BOOLEAN") & F.try_variant_get(flag, "$", "boolean"), F.lit(False))
 
 
 def _is_string(value: Column) -> Column:
@@ -42,13 +95,13 @@ def content_texts(content: Column) -> Column:
 
 def request_text(body: Column) -> Column:
     """System string, message texts and legacy prompt, joined by newlines (see :func:`parse_body`)."""
-    parts = F.coalesce(F.flatten(F.transform(body["messages"], lambda m: content_texts(m["content"]))),
+    parts = F.coalesce(F.flatten(F.transform(entries(body["messages"]), lambda m: content_texts(content_of(m)))),
                        F.array().cast(_EMPTY))
     return F.concat_ws("\n", string_or_null(body["system"]), parts, string_or_null(body["prompt"]))
 
 
 def last_user_text(messages: Column) -> Column:
-    """Content of the last user message; JSON text when it is not a string."""
+    """Content of the last user message (see :func:`messages_of`); JSON text when it is not a string."""
     users = F.filter(messages, lambda m: m["role"] == "user")
     content = F.get(F.reverse(users), F.lit(0))["content"]
     return F.when(content.isNull(), F.lit('""')).when(_is_string(content), F.try_variant_get(content, "$", "string")) \

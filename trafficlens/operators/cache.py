@@ -19,6 +19,14 @@ def request_hash(provider: Column, model: Column, messages: Column, system: Colu
     return F.sha2(F.to_json(F.struct(*fields)), 256)
 
 
+def request_hash_of(provider: Column, model: Column, messages: Column, system: Column | None = None) -> Column:
+    """:func:`request_hash` of messages that are given one by one, each as its JSON text."""
+    head = F.to_json(F.struct(provider.alias("provider"), F.coalesce(model, F.lit("unknown")).alias("model")))
+    tail = F.lit("") if system is None else F.coalesce(F.concat(F.lit(',"system":'), F.to_json(system)), F.lit(""))
+    return F.sha2(F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"messages":['),
+                           F.concat_ws(",", messages), F.lit("]"), tail, F.lit("}")), 256)
+
+
 def live(expires_at: Column, now: Column | int) -> Column:
     """Serves while ``expires_at`` is absent or later than now."""
     now = now if isinstance(now, Column) else F.lit(now)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import body as B
 from ..functions import dlp, guard
 from ..functions.custom import custom_found, custom_masked, custom_masked_each
-from ..operators.cache import request_hash
+from ..operators.cache import request_hash_of
 from ..operators.identity import auth_resolve, model_allowed
 from ..operators.limiter import rate_limit
 from ..operators.policy import policy_resolve, provider_allowed, provider_resolve
@@ -131,42 +131,44 @@ def govern_bodies(requests: DataFrame, tokens: DataFrame, stored: DataFrame, con
     """:func:`govern` for requests that carry their own JSON body, with ``cache_key`` and ``rule`` of the relayed body.
 
     The scan sees system text, message strings, text blocks and legacy prompts; redaction rewrites message strings only.
+    A body that is no JSON object has outcome ``400`` and says why in ``error``; it counts for no limit. An entry of
+    ``messages`` that is no message is passed on as it is, and the others are scanned all the same.
     The key covers provider, model, messages and system after redaction. Each body is read and scanned where it lies;
     only narrow rows reach the limiter.
     """
-    rows = policy_resolve(identify(requests, tokens, required), stored, config)
-    rows = (rows.withColumn("_body", B.parse_body(F.col(body_col)))
-            .withColumn("_open", F.from_json(body_col, "system variant, messages array<map<string,variant>>")))
+    raw = F.col(body_col)
+    rows = requests.withColumn("_parsed", B.parse_body(raw)).withColumn("error", B.body_error(raw, F.col("_parsed")))
+    good = F.col("error").isNull()
+    rows = rows.withColumn("_body", F.when(good, F.col("_parsed"))).drop("_parsed")
+    rows = policy_resolve(identify(rows, tokens, required), stored, config)
+    # What is no request at all is refused before anything else is asked.
+    rows = rows.withColumn("outcome", F.when(good, F.col("outcome")).otherwise("400"))
+    rows = (rows.withColumn("_entries", B.entries(F.col("_body.messages")))
+            .withColumn("_fields", F.when(good, B.entry_fields(raw))))
     rows = text_verdicts(rows.withColumn("_text", B.request_text(F.col("_body"))), "_text")
     has_custom = "custom" in rows.columns
     if has_custom:
         rows = rows.withColumn("custom_found", custom_found(F.col("_text"), F.col("custom.regex")))
     masks = (F.size(violations_in(rows)) > 0) & (F.col("dlp_action") == "redact")
-    strings = F.transform("_open.messages", lambda m: B.string_or_null(_entry(m, "content")))
+    strings = F.transform("_entries", lambda m: B.string_or_null(B.content_of(m)))
     by_type = F.transform(strings, lambda t: dlp.redact_by(t, F.col("detect")))
     rows = rows.withColumn("_strings", F.when(masks, by_type))
     if has_custom:
         rows = rows.withColumn("_strings", custom_masked_each(F.col("_strings"), F.col("custom")))
-    rows = rows.withColumn("_relayed", F.when(F.col("_strings").isNull(), F.col("_open.messages")).otherwise(
-        F.transform("_open.messages", _with_content)))
-    key = request_hash(provider_resolve(F.col("provider")), F.col("_body.model"),
-                       F.coalesce("_relayed", F.array().cast("array<map<string,variant>>")), F.col("_open.system"))
-    asked = B.last_user_text(F.transform("_relayed", lambda m: F.struct(
-        F.try_variant_get(_entry(m, "role"), "$", "string").alias("role"), _entry(m, "content").alias("content"))))
-    narrow = rows.withColumn("cache_key", key).withColumn("rule", rule_tier(asked)).drop(
-        body_col, "_body", "_open", "_text", "_strings", "_relayed")
+    key = request_hash_of(provider_resolve(F.col("provider")), F.col("_body.model"),
+                          F.coalesce(F.transform("_entries", _relayed), F.array().cast("array<string>")), F.col("_body.system"))
+    asked = B.last_user_text(F.transform("_entries", lambda m, at: F.struct(B.role_of(m).alias("role"), F.coalesce(
+        F.get(F.col("_strings"), at).cast("variant"), B.content_of(m)).alias("content"))))
+    narrow = rows.withColumn("cache_key", F.when(good, key)).withColumn("rule", rule_tier(asked)).drop(
+        body_col, "_body", "_entries", "_fields", "_text", "_strings")
     return apply_policy(limit(narrow, window_ms))
 
 
-def _entry(message: Column, name: str) -> Column:
-    return F.get(F.map_values(F.map_filter(message, lambda k, _: k == name)), F.lit(0))
-
-
-def _with_content(message: Column, at: Column) -> Column:
-    """The message with its redacted string, where it has one, in place of its content; the order of keys stays."""
-    text = F.get(F.col("_strings"), at)
-    return F.when(text.isNull(), message).otherwise(F.transform_values(
-        message, lambda k, v: F.when(k == "content", text.cast("variant")).otherwise(v)))
+def _relayed(entry: Column, at: Column) -> Column:
+    """JSON of an entry, with its redacted string, where it has one, in place of its content; the order of keys stays."""
+    text, fields = F.get(F.col("_strings"), at), F.get(F.col("_fields"), at)
+    masked = F.transform_values(fields, lambda k, v: F.when((k == "content") & text.isNotNull(), text.cast("variant")).otherwise(v))
+    return F.coalesce(F.when(B.is_object(entry), F.to_json(masked)), F.to_json(entry), F.lit("null"))
 
 
 def relay_texts(governed: DataFrame, prompts: DataFrame) -> DataFrame:

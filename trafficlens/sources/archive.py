@@ -39,21 +39,36 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def normalise_requests(df: DataFrame, body_col: str = "body") -> DataFrame:
-    """Typed columns of a raw body column; keys the schema does not name survive in ``raw``."""
-    parsed = df.withColumn("_body", B.parse_body(F.col(body_col)))
-    body = F.col("_body")
-    return parsed.select(
+    """Typed columns of a raw body column; keys the schema does not name survive in ``raw``.
+
+    ``outcome`` is ``400`` for a body that is no JSON object, and ``error`` says why; such a row has no other parts.
+    """
+    raw = F.col(body_col)
+    parsed = df.withColumn("_body", B.parse_body(raw)).withColumn("error", B.body_error(raw, F.col("_body")))
+    good = parsed.withColumn("_body", F.when(F.col("error").isNull(), F.col("_body")))
+    body, messages = F.col("_body"), F.col("_body.messages")
+    return good.select(
         *[c for c in df.columns if c != body_col],
-        body["model"].alias("model"), F.coalesce(body["stream"], F.lit(False)).alias("stream"),
-        F.when(body["messages"].isNotNull(), F.size(body["messages"])).otherwise(0).cast("bigint").alias("n_messages"),
-        B.request_text(body).alias("request_text"), B.last_user_text(body["messages"]).alias("last_user"),
-        F.col(body_col).alias("raw"))
+        body["model"].alias("model"), B.is_true(body["stream"]).alias("stream"),
+        F.coalesce(F.size(B.entries(messages)), F.lit(0)).cast("bigint").alias("n_messages"),
+        B.request_text(body).alias("request_text"), B.last_user_text(B.messages_of(messages)).alias("last_user"),
+        raw.alias("raw"), F.when(F.col("error").isNull(), "ok").otherwise("400").alias("outcome"), "error")
 
 
 def read_requests(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Archive of JSON lines ``{"request_id": …, "body": "…"}``, batch or file stream."""
-    reader = spark.readStream if streaming else spark.read
-    return normalise_requests(reader.schema("request_id bigint, body string").json(path))
+    """Archive of JSON lines ``{"request_id": …, "body": "…"}``, batch or file stream.
+
+    A line that is no such object is kept as a row of its own, with the line in ``raw`` and outcome ``400``.
+    """
+    reader = (spark.readStream if streaming else spark.read).option("columnNameOfCorruptRecord", "_line")
+    lines = reader.schema("request_id bigint, body string, _line string").json(path)
+    return normalise_requests(lines.withColumn("body", F.coalesce("body", "_line")).drop("_line"))
+
+
+def quarantine(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Normalised requests that go on, and those that are rejected, with what was archived and why."""
+    rejected = requests.filter("error IS NOT NULL").select("request_id", "outcome", "error", "raw")
+    return requests.filter("error IS NULL").drop("error"), rejected
 
 
 def dated(df: DataFrame, ts: str = "created_at") -> DataFrame:

@@ -210,6 +210,23 @@ SELECT request_id, CASE request_id % 4
     || '{"type":"text","text":""},{"type":"text","text":"more"}]}],"stream":true}'
   WHEN 2 THEN '{"model":"' || model || '","prompt":"legacy ' || CAST(prompt_id AS STRING) || '"}'
   ELSE '{"model":"' || model || '","system":[{"type":"text","text":"hidden"}],"messages":[]}' END AS body
+FROM requests""",
+    # Bodies that break in every way: cut off, followed by something, no object, entries that are no messages.
+    "odd_bodies": """
+SELECT request_id, CASE request_id % 12
+  WHEN 0 THEN '{"model":"' || model || '","messages":[{"role":"user","content":"cut SSN 123-45-6789"}'
+  WHEN 1 THEN '{"model":"' || model || '","messages":["x",{"role":"user","content":"ask ' || CAST(prompt_id AS STRING) || '"}]}'
+  WHEN 2 THEN CAST(NULL AS STRING)
+  WHEN 3 THEN '[{"model":"' || model || '"}]'
+  WHEN 4 THEN '"' || model || '"'
+  WHEN 5 THEN '{"model":"' || model || '"} SSN 123-45-6789'
+  WHEN 6 THEN '{"model":"' || model || '","messages":[null,7,{"role":"user","content":[{"type":"text","text":"ask '
+    || CAST(prompt_id AS STRING) || '"},null,{"type":"image"}]},{"content":{"a":1}}]}'
+  WHEN 7 THEN ' '
+  WHEN 8 THEN '{"model":"' || model || '","messages":"none","prompt":"legacy ' || CAST(prompt_id AS STRING) || '","stream":"yes"}'
+  WHEN 9 THEN '{"model":"' || model || '"},{"messages":[]}'
+  WHEN 10 THEN 'null'
+  ELSE '{"model":"' || model || '","system":"be brief","messages":[],"stream":true}' END AS body
 FROM requests""",
 }
 
