@@ -8,7 +8,7 @@ from ..functions.fixed_values import (ANTHROPIC_VERSION, DLP_LABELS, DLP_TYPES,
 from ..functions.dlp import pattern_of
 from ..functions.scalars import period_bounds
 from ..sources.views import with_views
-from .queries import (APPEND, AS_OF, HOUR_MS, POLICY_PURGE_AT, PREPEND, PURGE_AT, RETAIN, SESSION_CUTOFF, TOP_K,
+from .queries import (APPEND, AS_OF, HOUR_MS, LOOSE, POLICY_PURGE_AT, PREPEND, PURGE_AT, RETAIN, SESSION_CUTOFF, TOP_K,
                       TRIGGER, TTL)
 
 ORACLE: dict[str, str] = {}
@@ -384,6 +384,22 @@ add("stream_govern", f"SELECT request_id, outcome, {_TOLD} FROM governed", gover
 
 # --- Cache ----------------------------------------------------------------------------------------------------------------
 
+def _semantic(threshold: float) -> dict[str, str]:
+    return {
+        "doubles": "SELECT vec_id, provider, model, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM prompt_vectors",
+        "normed": "SELECT *, sqrt(list_dot_product(e, e)) AS n FROM doubles",
+        "pairs": """SELECT a.vec_id, b.vec_id AS match_id, round(list_dot_product(a.e, b.e) / (a.n * b.n), 9) AS similarity
+          FROM normed a JOIN normed b ON a.provider = b.provider AND a.model = b.model AND b.vec_id < a.vec_id""",
+        "matches": f"""SELECT vec_id, match_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id
+          ORDER BY similarity DESC, match_id) AS r FROM pairs WHERE similarity >= {threshold}) q WHERE r = 1""",
+    }
+
+
+add("semantic_match", "SELECT vec_id, match_id, round(similarity, 6) AS similarity, CAST(1 AS BIGINT) AS served FROM matches",
+    _semantic(0.94))
+add("semantic_dry_run", """
+SELECT vec_id, 'semantic_dry_run' AS action, '{"match_id":' || match_id || ',"similarity":'
+  || CAST(round(similarity * 1000000) AS BIGINT) || '}' AS detail FROM matches""", _semantic(LOOSE))
 add("cache_live", f"SELECT id FROM cache_entries WHERE expires_at IS NULL OR expires_at > {PURGE_AT}")
 _SERVES = ("SELECT 1 FROM cache_entries e WHERE e.request_hash = k.request_hash AND k.created_at >= e.created_at "
            "AND (e.expires_at IS NULL OR e.expires_at > k.created_at)")

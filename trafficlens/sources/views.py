@@ -18,10 +18,12 @@ _DIALECT = {
         # Wall-clock parts, so that the session time zone plays no role.
         "@EPOCH@": "(CAST(datediff(CAST(ts AS DATE), DATE '1970-01-01') AS BIGINT) * 86400"
                    " + hour(ts) * 3600 + minute(ts) * 60 + second(ts))",
+        "@NUDGED@": "transform(embedding, (x, i) -> IF(i = 0, CAST(CAST(x AS DOUBLE) + CAST(0.25 AS DOUBLE) AS FLOAT), x))",
         "@SHA@": "sha2(provider || '|' || model || '|' || CAST(prompt_id AS STRING), 256)",
     },
     "duckdb": {
         "@EPOCH@": "CAST(floor(epoch(ts)) AS BIGINT)",
+        "@NUDGED@": "list_transform(embedding, lambda x, i: CASE WHEN i = 1 THEN CAST(CAST(x AS DOUBLE) + CAST(0.25 AS DOUBLE) AS FLOAT) ELSE x END)",
         "@SHA@": "sha256(provider || '|' || model || '|' || CAST(prompt_id AS STRING))",
     },
 }
@@ -211,6 +213,13 @@ SELECT request_id, CASE request_id % 4
   WHEN 2 THEN '{"model":"' || model || '","prompt":"legacy ' || CAST(prompt_id AS STRING) || '"}'
   ELSE '{"model":"' || model || '","system":[{"type":"text","text":"hidden"}],"messages":[]}' END AS body
 FROM requests""",
+    # Vectors of prompts; some are asked again a little differently, some in the same words.
+    "prompt_vectors": """
+SELECT vec_id, embedding, CASE source_id % 2 WHEN 0 THEN 'anthropic' ELSE 'openai' END AS provider,
+  CASE WHEN source_id % 3 = 0 THEN 'gpt-4o' ELSE 'claude-opus-4-8' END AS model
+FROM (SELECT vec_id, vec_id AS source_id, embedding FROM embeddings
+  UNION ALL SELECT vec_id + 1000000000, vec_id, @NUDGED@ FROM embeddings WHERE vec_id % 5 = 0
+  UNION ALL SELECT vec_id + 2000000000, vec_id, embedding FROM embeddings WHERE vec_id % 7 = 0) v""",
     # Bodies that break in every way: cut off, followed by something, no object, entries that are no messages.
     "odd_bodies": """
 SELECT request_id, CASE request_id % 12
