@@ -8,7 +8,7 @@ from ..functions.fixed_values import (ANTHROPIC_VERSION, DLP_LABELS, DLP_TYPES,
 from ..functions.dlp import pattern_of
 from ..functions.scalars import period_bounds
 from ..sources.views import with_views
-from .queries import (APPEND, AS_OF, HOUR_MS, LOOSE, POLICY_PURGE_AT, PREPEND, PURGE_AT, RETAIN, SESSION_CUTOFF, TOP_K,
+from .queries import (APPEND, AS_OF, HOUR_MS, LOOSE, POLICY_PURGE_AT, PREPEND, PURGE_AT, RETAIN, SESSION_CUTOFF, SESSION_SECONDS, TOP_K,
                       TRIGGER, TTL)
 
 ORACLE: dict[str, str] = {}
@@ -224,14 +224,21 @@ WHERE d.retention_days IS NULL OR d.retention_days <= 0
   OR l.created_at >= {POLICY_PURGE_AT} - d.retention_days * 86400""", EFFECTIVE)
 KEPT_SESSIONS = f"session_id NOT IN (SELECT session_id FROM memory_store WHERE created_at < {SESSION_CUTOFF})"
 add("stream_maintenance", f"""
-SELECT 'cache_entries' AS table_name, count(*) AS kept FROM cache_entries
-  WHERE expires_at IS NULL OR expires_at >= {PURGE_AT}
-UNION ALL SELECT 'memory_store', count(*) FROM memory_store WHERE {KEPT_SESSIONS}
-UNION ALL SELECT 'request_log', count(*) FROM request_log WHERE created_at >= {AS_OF} - 15 * 86400""")
+SELECT 'cache_entries' AS table_name, CAST(id AS VARCHAR) AS row_id FROM cache_entries, clock
+  WHERE expires_at IS NULL OR expires_at >= now
+UNION ALL SELECT 'memory_store', session_id || '/' || turn FROM memory_store
+  WHERE session_id NOT IN (SELECT session_id FROM memory_store, clock WHERE created_at < now - {SESSION_SECONDS})
+UNION ALL SELECT 'request_log', CAST(request_id AS VARCHAR) FROM request_log, clock WHERE created_at >= now - 15 * 86400""",
+    {"clock": "SELECT max(created_at) AS now FROM requests"})
 add("decode_embeddings", """
 SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS dim, CAST(unnest(embedding) AS DOUBLE) AS val
 FROM embeddings""")
 
+for _name in ("cache_upsert", "dim_upsert", "policy_delete", "purge_logs"):
+    ORACLE[f"{_name}_stored"] = ORACLE[_name]
+# A row that the earlier purge removes would be due at the later one as well.
+ORACLE["purge_by_policy_stored"] = ORACLE["purge_by_policy"]
+
 # --- Scan and govern --------------------------------------------------------------------------------------------------
 
 add("extract_text", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS request_text FROM conversations GROUP BY conv_id")

@@ -31,19 +31,20 @@ REPORT_COLUMNS = COUNT_COLUMNS + ["total_input", "total_output", "actual_usd", "
                                   "would_have_cost_usd", "savings_pct"]
 
 
-def _day(seconds: int) -> str:
+def day_of(seconds: int) -> str:
+    """The UTC day of a time, as it names a date folder."""
     return str(date(1970, 1, 1) + timedelta(days=seconds // 86_400))
 
 
 def _since(log: DataFrame, low: int) -> DataFrame:
     kept = log.filter(F.col("created_at") >= low)
     # Date folders that cannot hold such rows are not even listed.
-    return kept.filter(F.col("dt") >= _day(low)) if "dt" in log.columns else kept
+    return kept.filter(F.col("dt") >= day_of(low)) if "dt" in log.columns else kept
 
 
 def _within(log: DataFrame, low: int, high: int) -> DataFrame:
     kept = _since(log, low).filter(F.col("created_at") <= high)
-    return kept.filter(F.col("dt") <= _day(high)) if "dt" in log.columns else kept
+    return kept.filter(F.col("dt") <= day_of(high)) if "dt" in log.columns else kept
 
 
 def measures() -> list[Column]:
@@ -167,15 +168,20 @@ def purge_logs(log: DataFrame, as_of: int, days: int) -> DataFrame:
     return log if days <= 0 else _since(log, as_of - days * 86_400)
 
 
+def retention_days(tokens: DataFrame, policies: DataFrame) -> DataFrame:
+    """``_label, retention_days`` of the users whose policy sets a retention."""
+    return (tokens.join(policies.select(F.col("name").alias("_name"), "retention_days"),
+                        F.col("policy_name") == F.col("_name"))
+            .select(F.col("label").alias("_label"), "retention_days"))
+
+
 def purge_by_policy(log: DataFrame, tokens: DataFrame, policies: DataFrame, as_of: int) -> DataFrame:
     """Log rows kept by each user's own policy retention; rows without a policy keep to no limit here.
 
-    ``policies`` is the effective list (see ``policy_union``). A retention of 0 keeps everything.
+    ``policies`` is the effective list (see ``policy_union``). A retention of 0 keeps everything. Every row is read and
+    returned; ``sources.tables.purge_policy_folders`` purges a stored log in place and leaves whole days alone.
     """
-    days = (tokens.join(policies.select(F.col("name").alias("_name"), "retention_days"),
-                        F.col("policy_name") == F.col("_name"))
-            .select(F.col("label").alias("_label"), "retention_days"))
-    joined = log.join(days, F.col("user_label") == F.col("_label"), "left")
+    joined = log.join(retention_days(tokens, policies), F.col("user_label") == F.col("_label"), "left")
     keep = F.col("retention_days").isNull() | (F.col("retention_days") <= 0) \
         | (F.col("created_at") >= F.lit(as_of) - F.col("retention_days") * 86_400)
     return joined.filter(keep).drop("_label", "retention_days")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -84,6 +86,20 @@ def run_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
     return latest.select(*[F.col(c) if c in keys else F.col(f"_latest.{c}") for c in stream.columns])
 
 
+def run_maintenance(clock: DataFrame, purge: Callable[[int], object], ts: str = "created_at") -> None:
+    """Call ``purge(now)`` after every micro-batch of a stream, with the latest time it brought.
+
+    Purges only look back from that time, so one that is repeated after a failure finds nothing left to do.
+    """
+    def step(rows: DataFrame, _: int) -> None:
+        now = rows.agg(F.max(ts)).first()[0]
+        if now is not None:
+            purge(now)
+
+    (clock.select(ts).writeStream.foreachBatch(step).trigger(availableNow=True)
+     .option("checkpointLocation", f"{shared_dir(clock.sparkSession)}/maintenance").start().awaitTermination())
+
+
 def file_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int | None = None,
                 bytes_per_trigger: int = 1 << 30) -> DataFrame:
     """Stream over the parquet file(s) of one table in a folder; a micro-batch takes so many files or bytes."""
