@@ -72,6 +72,46 @@ def test_dense_key_keeps_every_phase(spark):
     assert starts == list(range(0, 5000, 10))
 
 
+@pytest.mark.parametrize("block", [1, 2, 3])
+@pytest.mark.parametrize("width,horizon,seed", [(50, 9000, 21), (7, 4000, 22), (900, 40_000, 23)])
+def test_blocks_of_chunks_thread_the_same_state(spark, monkeypatch, block, width, horizon, seed):
+    from trafficlens.operators import anchored
+    monkeypatch.setattr(anchored, "BLOCK", block)
+    monkeypatch.setattr(anchored, "SPAN_FACTOR", 2)
+    rng = random.Random(seed)
+    rows = [(k, t, r, 2) for k, t, r in skewed_times(rng, 2000, horizon)]
+    df = spark.createDataFrame(rows, "label string, ts_ms bigint, request_id bigint, rpm_limit bigint")
+    got = {r.request_id: r.allowed for r in rate_limit(df, width).collect()}
+    assert got == limiter_loop(rows, width)
+
+
+def test_one_key_with_a_million_times_meets_no_task_whole(spark):
+    """Largest groups that any one task of the limiter and the window scan handles, for a key that has all rows."""
+    from trafficlens.operators import anchored, limiter
+    width, span = 999, 16 * 1000
+    events = spark.range(1_000_000).select(F.lit("a").alias("key"), (F.col("id") * 7 + F.pmod(F.hash("id"), F.lit(5))).alias("t"),
+                                           F.col("id").alias("rid"))
+    points = events.withColumn("chunk", F.floor(F.col("t") / span).cast("bigint"))
+    blocked = anchored._blocked(points, width, span)
+    most = lambda df, *by: df.groupBy(*by).count().agg(F.max("count")).first()[0]
+    assert most(points, "key", "chunk") < 2400
+    assert most(blocked, "key", "block") < 256 * 200
+    assert anchored._composed(blocked, width).count() < 4000  # all that the scan of the whole key reads
+    windows = anchored_windows(points, "key", "t", "rid", width).orderBy("start")
+    starts = [r.start for r in windows.collect()]
+    times, want = [r.t for r in events.orderBy("t").collect()], []
+    for t in times:
+        if not want or t - want[-1] > width:
+            want.append(t)
+    assert starts == want
+    # one window that holds them all: its sum is made of parts
+    whole = events.select(F.col("key").alias("_label"), F.col("t").alias("_ts"), F.lit(0).cast("bigint").alias("_start"),
+                          F.lit(1).alias("_n"))
+    summed = limiter._sums_before(whole, 7_000_100)
+    assert most(whole.withColumn("p", F.floor(F.col("_ts") * limiter.PARTS / 7_000_101)), "p") < 4000
+    assert summed.agg(F.max("_before"), F.count("_before"), F.sum("_before")).first() == (999_999, 1_000_000, 999_999 * 500_000)
+
+
 def test_window_edges(spark):
     rows = [("a", 0, 1, 1), ("a", 60_000, 2, 1), ("b", 0, 3, 1), ("b", 60_001, 4, 1), ("c", 0, 5, 0), ("c", 1, 6, 0),
             # Denied calls count: the third is the one over the limit of 2, and the fourth stays denied.

@@ -672,8 +672,8 @@ BODY_GATEWAY = gateway(
     "CASE WHEN is_stream = 0 AND event_type <> 'error' THEN 1 ELSE 0 END",
     "(CASE request_id % 4 WHEN 1 THEN '[{\"text\":\"ask ' || prompt_id || ' jo@example.org\",\"type\":\"text\"},"
     "{\"text\":\"no\",\"type\":\"image\"}]' WHEN 3 THEN '\"\"' ELSE relay_text END)")
-add("replay_bodies", LOG_ROW.format(duration="CAST(0 AS BIGINT)", more="", table="final"), BODY_GATEWAY, recursive=True)
-add("gateway_replay", LOG_ROW.format(duration="CAST(0 AS BIGINT)", more="", table="final"), GATEWAY, recursive=True)
+add("replay_bodies", LOG_ROW.format(duration="CAST(NULL AS BIGINT)", more="", table="final"), BODY_GATEWAY, recursive=True)
+add("gateway_replay", LOG_ROW.format(duration="CAST(NULL AS BIGINT)", more="", table="final"), GATEWAY, recursive=True)
 add("gateway_events", """
 SELECT request_id, CAST(n_events + 1 AS BIGINT) AS seq, 'system_prompt_injected' AS action FROM final
 WHERE from_cache = 0 AND coalesce(system_prepend, '') <> ''""", GATEWAY, recursive=True)

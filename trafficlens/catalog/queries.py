@@ -518,7 +518,8 @@ def route_rules(v):
 @query
 def route_model(v):
     ruled = routing.route_rules(v.prompts, "prompt").select("prompt_id", F.col("tier").alias("rule"))
-    return routing.route_model(v.requests.join(ruled, "prompt_id")).select(
+    # A left join, so that a rule is worked out where its text lies; an inner one may carry the requests to the texts.
+    return routing.route_model(v.requests.join(ruled, "prompt_id", "left")).select(
         "request_id", "tier", "method", "routed_model")
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
 
 ASCII_WORD = "[A-Za-z0-9_]"
 ASCII_B = f"(?:(?<={ASCII_WORD})(?!{ASCII_WORD})|(?<!{ASCII_WORD})(?={ASCII_WORD}))"
@@ -54,9 +53,15 @@ def literal_replacement(value: str) -> str:
 
 
 def usable(spark: SparkSession, pattern: str) -> bool:
-    """True when Spark can compile the pattern; unusable user patterns are skipped, never an error."""
+    """True when Spark can compile the pattern; unusable user patterns are skipped, never an error. Runs no job."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import IllegalArgumentException
     try:
-        spark.range(1).select(F.lit("").rlike(java_pattern(pattern))).collect()
+        spark._jvm.java.util.regex.Pattern.compile(java_pattern(pattern))
         return True
-    except Exception:
+    except IllegalArgumentException:
+        return False
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() != "PatternSyntaxException":
+            raise
         return False

@@ -7,12 +7,15 @@ that holds a third of all traffic into one task. Instead time is cut into chunks
 1. events are reduced to distinct (key, time) points before anything else is shuffled;
 2. each (key, chunk), read backwards, works out in parallel where its last window would start for every state it may
    be entered in;
-3. a light scan per key threads the real state through those chunk summaries, one row of state in memory;
-4. each (key, chunk), again in parallel, lists the windows it opens.
+3. each (key, block) of ``BLOCK`` chunks, in parallel, composes their summaries into one for the block;
+4. a light scan per key threads the real state through the summaries of its blocks, and then, in parallel, a scan of
+   each block threads it through those of its chunks;
+5. each (key, chunk), again in parallel, lists the windows it opens.
 
 Points are sorted by Spark and pass through Python in Arrow batches; no row ever holds a list of them. Between batches
-steps 3 and 4 carry one number, and step 2 the points of one window: 16 bytes for each distinct time in it, however many
-requests or windows a key has.
+steps 4 and 5 carry one number, and steps 2 and 3 the points of one window: 16 bytes for each distinct time in it, however
+many requests or windows a key has. Of a key whose windows never fall in step, one task of step 4 meets one row in
+``SPAN_FACTOR * BLOCK`` points; of others it meets far fewer.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 
 # Chunk length as a multiple of the window width.
 SPAN_FACTOR = 16
+# Chunks of a block.
+BLOCK = 256
 
 
 def _int64(column):
@@ -90,42 +95,89 @@ def _summaries(width: int, span: int):
     return run
 
 
-def _thread_state(width: int):
-    """From summaries sorted by key, chunk and ``upto``: the start of the window that each chunk is entered in."""
+def _chunks(batches, columns):
+    """From rows sorted by (key, block, chunk): key, block, chunk and the named columns of one chunk after the other."""
+    import numpy as np
+    now, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block, chunk = _int64(batch.column("block")), _int64(batch.column("chunk"))
+        group, _, _ = _groups(batch, None)  # a block is a range of chunks
+        edges = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist(), batch.num_rows]
+        values = [_int64(batch.column(c)) for c in columns]
+        for lo, hi in zip(edges, edges[1:]):
+            here = (batch.column("key")[lo].as_py(), int(block[lo]), int(chunk[lo]))
+            if here != now and held:
+                yield now, [np.concatenate(h) for h in zip(*held)]
+                held = []
+            now = here
+            held.append([v[lo:hi] for v in values])
+    if held:
+        yield now, [np.concatenate(h) for h in zip(*held)]
+
+
+def _compose(width: int):
+    """From summaries of chunks, sorted by key, block, chunk and ``upto``, those of blocks, in the same form."""
     def run(batches):
-        from bisect import bisect_right
         import numpy as np
         import pyarrow as pa
-        before, start, resolved = (None, None), None, False
-        for batch in batches:
-            if not batch.num_rows:
+        place, upto, last = None, None, None
+
+        def told():
+            n = len(upto)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([place[0]] * n, pa.string()), pa.array(np.full(n, place[1])), pa.array(upto), pa.array(last)],
+                ["key", "chunk", "upto", "last_start"])
+
+        for (key, block, _), (ends, starts) in _chunks(batches, ["upto", "last_start"]):
+            if (key, block) != place:
+                if place is not None:
+                    yield told()
+                place, upto, last = (key, block), ends, starts
                 continue
-            group, _, _ = _groups(batch, None)
-            upto, last_start = batch.column("upto").to_pylist(), batch.column("last_start").to_pylist()
-            edges = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist(), batch.num_rows]
-            firsts = batch.take(pa.array(edges[:-1]))
-            keys, chunks = firsts.column("key").to_pylist(), firsts.column("chunk").to_pylist()
-            rows, entries = [], []
-            for g, here in enumerate(zip(keys, chunks)):
-                if here != before:
-                    if here[0] != before[0]:
-                        start = None
-                    before, resolved = here, False
-                    if start is not None:
-                        rows.append(g)
-                        entries.append(start)
-                if not resolved:
-                    lo, hi = edges[g], edges[g + 1]
-                    at = lo if start is None else bisect_right(upto, start + width, lo, hi)
-                    if at < hi:
-                        start, resolved = last_start[at], True
-            chosen = firsts.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [chosen.column("key"), chosen.column("chunk"), pa.array(entries, pa.int64())],
-                ["key", "chunk", "entry"])
+            # What the chunks so far make of a state goes through this one; a state that they leave alone meets it as it is.
+            at = np.searchsorted(ends, last + width, side="right")
+            through = np.where(at < len(ends), starts[np.minimum(at, len(ends) - 1)], last)
+            beyond = ends > upto[-1]
+            upto, last = np.r_[upto, ends[beyond]], np.r_[through, starts[beyond]]
+            keep = np.r_[last[1:] != last[:-1], True]
+            upto, last = upto[keep], last[keep]
+        if place is not None:
+            yield told()
+    return run
+
+
+def _thread_state(width: int):
+    """From summaries sorted by key, block, chunk and ``upto``, each with the state ``before`` its block: the start of
+    the window that each chunk is entered in."""
+    def run(batches):
+        import pyarrow as pa
+        place, start, out = None, None, ([], [], [])
+
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()),
+                                               pa.array(out[2], pa.int64())], ["key", "chunk", "entry"])
+
+        for (key, block, chunk), (ends, starts, before) in _chunks(batches, ["upto", "last_start", "before"]):
+            if (key, block) != place:
+                place, start = (key, block), None if before[0] == _NONE else int(before[0])
+            if start is not None:
+                for column, value in zip(out, (key, chunk, start)):
+                    column.append(value)
+            at = 0 if start is None else int(ends.searchsorted(start + width, side="right"))
+            if at < len(ends):
+                start = int(starts[at])
+            if len(out[0]) >= 4096:
+                yield told()
+                out = ([], [], [])
+        yield told()
     return run
 
 
+_NONE = -(1 << 63)  # no window was open
+
+
 def _openers(width: int, span: int):
     """From points sorted by key, chunk and time, each chunk led by its entry (``t`` null): the windows opened."""
     stride = span + width + 2
@@ -173,6 +225,33 @@ def _openers(width: int, span: int):
     return run
 
 
+IN_ORDER = ["key", "block", "chunk", "upto"]
+
+
+def _blocked(points: DataFrame, width: int, span: int) -> DataFrame:
+    """Summaries of all chunks, dealt out by blocks: one shuffle serves both scans of the blocks."""
+    summaries = (points.repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.desc("t"))
+                 .mapInArrow(_summaries(width, span), "key string, chunk bigint, upto bigint, last_start bigint"))
+    return summaries.withColumn("block", F.floor(F.col("chunk") / F.lit(BLOCK)).cast("bigint")).repartition("key", "block")
+
+
+def _composed(blocked: DataFrame, width: int) -> DataFrame:
+    """Summaries of the blocks; a block stands in ``chunk``."""
+    return blocked.sortWithinPartitions(*IN_ORDER).mapInArrow(
+        _compose(width), "key string, chunk bigint, upto bigint, last_start bigint")
+
+
+def _entries(blocked: DataFrame, width: int) -> DataFrame:
+    """``key, chunk, entry``: the start of the window that each chunk is entered in."""
+    threaded = lambda rows: rows.sortWithinPartitions(*IN_ORDER).mapInArrow(
+        _thread_state(width), "key string, chunk bigint, entry bigint")
+    entered = threaded(_composed(blocked, width).withColumn("block", F.lit(0).cast("bigint"))
+                       .withColumn("before", F.lit(_NONE)).repartition("key"))
+    entered = entered.select(F.col("key").alias("_key"), F.col("chunk").alias("_block"), F.col("entry").alias("before"))
+    led = blocked.join(entered, (F.col("key") == F.col("_key")) & (F.col("block") == F.col("_block")), "left")
+    return threaded(led.select(*IN_ORDER, "last_start", F.coalesce("before", F.lit(_NONE)).alias("before")))
+
+
 def anchored_windows(events: DataFrame, key: str, ts: str, row_id: str, width: int | None,
                      span: int | None = None) -> DataFrame:
     """Windows ``(key, start, first_id)``: one opens at the first event with ``ts - start > width``.
@@ -189,10 +268,7 @@ def anchored_windows(events: DataFrame, key: str, ts: str, row_id: str, width: i
     points = (points.withColumn("chunk", F.floor(F.col("t") / F.lit(span)).cast("bigint"))
               .filter(F.col("key").isNotNull() & F.col("chunk").isNotNull())
               .groupBy("key", "chunk", "t").agg(F.min("rid").alias("rid")))
-    summaries = (points.repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.desc("t"))
-                 .mapInArrow(_summaries(width, span), "key string, chunk bigint, upto bigint, last_start bigint"))
-    entries = (summaries.repartition("key").sortWithinPartitions("key", "chunk", "upto")
-               .mapInArrow(_thread_state(width), "key string, chunk bigint, entry bigint"))
+    entries = _entries(_blocked(points, width, span), width)
     led = points.unionByName(entries.select("key", "chunk", F.lit(None).cast("bigint").alias("t"),
                                             F.col("entry").alias("rid")))
     return (led.repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.asc_nulls_first("t"))

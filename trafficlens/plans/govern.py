@@ -13,6 +13,7 @@ from ..operators.identity import auth_resolve, model_allowed
 from ..operators.limiter import rate_limit
 from ..operators.policy import policy_resolve, provider_allowed, provider_resolve
 from ..operators.routing import rule_tier
+from ..sources.archive import materialise
 
 
 def identify(requests: DataFrame, tokens: DataFrame, required: bool = False) -> DataFrame:
@@ -26,8 +27,9 @@ def identify(requests: DataFrame, tokens: DataFrame, required: bool = False) ->
 def limit(identified: DataFrame, window_ms: int = 60_000) -> DataFrame:
     """Turn the outcome of requests over their limit into 429. Only requests that passed so far count."""
     # The limiter shuffles only what it needs; requests without a limit never enter it.
-    entering = (identified.filter((F.col("outcome") == "ok") & (F.col("rpm_limit") > 0))
-                .select("request_id", "label", "rpm_limit", (F.col("created_at") * 1000).alias("ts_ms")))
+    # They are written once, since it reads them several times: identities are not joined anew for each.
+    entering = materialise(identified.filter((F.col("outcome") == "ok") & (F.col("rpm_limit") > 0))
+                           .select("request_id", "label", "rpm_limit", (F.col("created_at") * 1000).alias("ts_ms")))
     denied = rate_limit(entering, window_ms).filter("allowed = 0").select(
         F.col("request_id").alias("_denied"))
     return (identified.join(denied, F.col("request_id") == F.col("_denied"), "left")

@@ -99,7 +99,10 @@ def read_policy_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_row(df: DataFrame) -> DataFrame:
-    """The 18 stored columns of an answered request; absent ones get their neutral value."""
+    """The 18 stored columns of an answered request; absent ones get their neutral value.
+
+    A duration that nobody measured is null: zero would count as a streamed response.
+    """
     have = set(df.columns)
 
     def col(name: str, default: Column) -> Column:
@@ -109,7 +112,7 @@ def log_row(df: DataFrame) -> DataFrame:
     return df.select(
         (F.col("id") if "id" in have else F.col("request_id").cast("string")).alias("id"), "request_id", "provider",
         F.col("routed_model").alias("model"), "input_tokens", "output_tokens",
-        col("duration_ms", F.lit(0).cast("bigint")), F.col("from_cache").cast("bigint").alias("from_cache"),
+        col("duration_ms", F.lit(None).cast("bigint")), F.col("from_cache").cast("bigint").alias("from_cache"),
         F.when(F.col("from_cache") == 1, F.lit("exact")).otherwise(none).alias("cache_source"),
         col("compressed", F.lit(0).cast("bigint")), "created_at", "original_model", "routed_model",
         "routing_method", "routing_tier", "cost_usd", "saved_usd",
