@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.archive import materialise, shared_dir
 
-__all__ = ["Lookup", "Memo", "file_system", "fresh", "materialise", "per_process", "row_key", "shared_dir", "table", "unique_name",
+__all__ = ["Lookup", "Memo", "file_system", "fresh", "kept_by", "materialise", "per_process", "row_key", "shared_dir", "table", "unique_name",
            "word_hashes"]
 
 
@@ -55,37 +55,70 @@ def per_process(name: str, make):
     return held[name]
 
 
-class Memo(dict):
-    """Values of short strings by ``make(list of missing strings)``, kept by a worker up to ``limit`` entries.
+def kept_by(owner: str, name: str, make):
+    """A table that a worker keeps for one operator, until another operator asks for tables of its own.
 
-    The limit bounds memory only: a full memo starts anew, and every value is as it would be without one.
+    Workers outlive the stages of a job, so tables that all operators left behind would add up.
     """
+    held = per_process("tables of one owner", lambda: {"owner": None, "tables": {}})
+    if held["owner"] != owner:
+        held["tables"].clear()
+        held["owner"] = owner
+    if name not in held["tables"]:
+        held["tables"][name] = make()
+    return held["tables"][name]
 
-    def __init__(self, make, limit: int = 400_000):
-        super().__init__()
-        self.make, self.limit = make, limit
 
-    def require(self, keys: set) -> None:
-        missing = [k for k in keys if k not in self]
-        if not missing:
-            return
-        if len(self) + len(missing) > self.limit:
-            self.clear()
-            missing = list(keys)
-        self.update(zip(missing, self.make(missing)))
+TABLE_BYTES = 32 << 20  # of one table of a worker
+LONGEST = 256           # characters of a string that is worth keeping
+_ENTRY = 100            # bytes of an entry of a dict, about
+
+
+class Memo:
+    """Values of strings by ``make(list of missing strings)``, of which a worker keeps about ``limit`` bytes.
+
+    The limit bounds memory only, and every value is as it would be without a memo. Values wait in one of two tables:
+    when the younger is half the limit, it becomes the older, and the older one goes, so that strings that come again
+    and again stay. Long strings are not kept.
+    """
+
+    def __init__(self, make, limit: int = TABLE_BYTES):
+        self.make, self.limit, self.size = make, limit, 0
+        self.young, self.old = {}, {}
+
+    def values(self, keys: list) -> list:
+        """The value of each of the keys, which should be distinct."""
+        from sys import getsizeof
+        young, old = self.young, self.old
+        found = [young.get(k) or old.get(k) for k in keys]
+        missing = [i for i, v in enumerate(found) if v is None]
+        made = self.make([keys[i] for i in missing])
+        for i, v in zip(missing, made):
+            found[i] = v
+        fresh = {k: v for k, v in zip(keys, found) if k not in young and len(k) <= LONGEST}
+        self.size += _ENTRY * len(fresh) + sum(map(getsizeof, fresh)) + sum(map(getsizeof, fresh.values()))
+        young.update(fresh)
+        if self.size > self.limit // 2:
+            self.young, self.old, self.size = {}, young, 0
+        return found
 
 
 class Lookup(dict):
-    """Like ``Memo``, one string at a time."""
+    """Value of a string by ``make(string)``, kept by a worker up to ``limit`` bytes; a full table starts anew."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = TABLE_BYTES):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.size = make, limit, 0
 
     def __missing__(self, key: str):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
+        from sys import getsizeof
+        value = self.make(key)
+        if len(key) <= LONGEST:
+            if self.size > self.limit:
+                self.clear()
+                self.size = 0
+            self.size += _ENTRY + getsizeof(key) + getsizeof(value)
+            self[key] = value
         return value
 
 
@@ -95,5 +128,5 @@ def _word_hash(word: str) -> int:
 
 
 def word_hashes() -> Lookup:
-    """Hash of each word; one small table a worker, whatever operators run in it."""
-    return per_process("plain word hashes", lambda: Lookup(_word_hash, 100_000))
+    """Hash of each word."""
+    return kept_by("words", "hashes", lambda: Lookup(_word_hash))

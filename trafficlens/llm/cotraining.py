@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Lookup, materialise, per_process, row_key, table
+from .common import Lookup, kept_by, materialise, per_process, row_key, table
 
 SHAPES, WORDS = 64, 64
 CONTENT = SHAPES + WORDS + 1
@@ -56,7 +56,7 @@ def _code(chunk: str) -> int:
 def content_view(text: str):
     """Square roots of the shares of shapes and words, and a constant."""
     import numpy as np
-    known = per_process("chunk codes", lambda: Lookup(_code, 400_000))
+    known = kept_by("cotraining", "codes", lambda: Lookup(_code))
     chunks = text.split()
     out = np.zeros(CONTENT, np.float32)
     out[-1] = 1

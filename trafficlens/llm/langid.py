@@ -196,17 +196,21 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     """Add language, score and rejection to the kept columns (all by default); reads whole texts, no shuffle."""
     from pyspark.sql import types as T
     kept = docs.columns if keep is None else keep
-    base = docs.select(*[docs[f"`{c}`"] for c in kept], docs[f"`{text_col}`"].alias("_scored_text"))
-    schema = T.StructType([*base.schema.fields[:-1], T.StructField(names[0], T.StringType()),
-                           T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
+    at_text = kept.index(text_col) if text_col in kept else len(kept)  # the text travels once
+    base = docs.select(*[docs[f"`{c}`"] for c in kept], *[docs[f"`{text_col}`"]][:at_text + 1 - len(kept)])
+    fields = base.schema.fields[:len(kept)]
+    schema = T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()),
+                           T.StructField(names[2], T.BooleanType())])
 
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            langs, scores, rejected = score_texts(model, batch.columns[-1].to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
-                 pa.array(rejected, pa.bool_())], names=schema.names)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                langs, scores, rejected = score_texts(model, part.column(at_text).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:len(fields)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
+                     pa.array(rejected, pa.bool_())], names=schema.names)
 
     return base.mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, fresh, per_process, table
+from .common import Memo, fresh, kept_by, table
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
@@ -264,8 +264,9 @@ class Codec:
         out = []
         for at in range(0, len(texts), 256):
             split = [self.words(t) if t else [] for t in texts[at:at + 256]]
-            self.memo.require(set().union(*split))
-            out += [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), "<i4") for words in split]
+            distinct = list(set().union(*split))
+            known = dict(zip(distinct, self.memo.values(distinct)))
+            out += [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in split]
         return out
 
     def decode(self, ids) -> str:
@@ -277,8 +278,8 @@ class Codec:
 
 
 def codec(path: str, pieces: Pieces | None = None, trie: DoubleArray | None = None) -> Codec:
-    """The codec of a model file, once per process; workers get the parts that the driver has made."""
-    return per_process(f"codec {path}", lambda: Codec(pieces or load_pieces(path), trie))
+    """The codec of a model file, kept by the process; workers get the parts that the driver has made."""
+    return kept_by("pieces", path, lambda: Codec(pieces or load_pieces(path), trie))
 
 
 _ADDED = "n_pieces bigint, n_byte_pieces bigint, pieces_crc32 bigint, decoded_crc32 bigint, decoded_ok boolean"

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Lookup, fresh, materialise, per_process, row_key, table
+from .common import Lookup, fresh, kept_by, materialise, row_key, table
 
 MATCH = 5
 COVERAGE = 0.6
@@ -35,7 +35,7 @@ def words_of(text: str | None):
     """Hash of each word, as uint64; chunks of punctuation alone are no words."""
     import numpy as np
     chunks = text.split() if text else []
-    known = per_process("word hashes", lambda: Lookup(_word_hash, 500_000))
+    known = kept_by("tiling", "hashes", lambda: Lookup(_word_hash))
     found = np.fromiter(map(known.__getitem__, chunks), np.uint64, len(chunks))
     return found[found != 0]
 
