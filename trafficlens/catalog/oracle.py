@@ -315,6 +315,35 @@ BODY_TEXTS = {"body_texts": """SELECT request_id AS text_id, CASE request_id % 4
     END AS said FROM requests"""}
 
 
+# Identities and stored policies by the time of each request; an identity's revocation keeps its other fields.
+_WHOLE = "{'token': token, 'models': allowed_models_csv, 'rpm': %s, 'policy': policy_name}"
+HISTORIES = {
+    "token_steps": f"""SELECT label, created_at AS moment, 0 AS rank, {_WHOLE % 'rpm_limit'} AS s, revoked AS gone FROM tokens
+      UNION ALL SELECT label, changed_at, 1, {_WHOLE % 'coalesce(rpm_limit, 0)'}, 0 FROM token_events
+      UNION ALL SELECT label, revoked_at, 3, NULL, 1 FROM token_ends""",
+    "token_versions": """SELECT label, moment AS since, lead(moment) OVER w AS until, last_value(s IGNORE NULLS) OVER w AS s, gone
+      FROM token_steps WINDOW w AS (PARTITION BY label ORDER BY moment, rank)""",
+    "ident": f"""SELECT r.*, coalesce(t.label, 'anonymous') AS label, coalesce(t.s.rpm, 0) AS rpm_limit,
+        {csv('t.s.models')} AS models, t.s.policy AS policy_name, t.label IS NOT NULL AS known
+      FROM requests r LEFT JOIN token_versions t ON t.s.token = r.bearer AND t.gone = 0
+        AND r.created_at >= t.since AND (t.until IS NULL OR r.created_at < t.until)""",
+    "policy_steps": """SELECT name, changed_at AS moment, 0 AS deleted, detect_csv, dlp_action, block_threshold, allowed_providers_csv,
+        retention_days, system_prepend FROM policy_events
+      UNION ALL SELECT name, deleted_at, 1, NULL, NULL, NULL, NULL, NULL, NULL FROM policy_ends""",
+    "policy_versions": """SELECT *, lead(moment) OVER (PARTITION BY name ORDER BY moment, deleted DESC) AS until FROM policy_steps""",
+    "ruled": f"""SELECT i.request_id, coalesce(p.source, c.source) AS source, coalesce(p.name, c.name) AS name,
+        CASE WHEN p.name IS NULL THEN {csv('c.detect_csv')} ELSE {csv('p.detect_csv')} END AS detect,
+        CASE WHEN p.name IS NULL THEN c.dlp_action ELSE p.dlp_action END AS dlp_action,
+        CASE WHEN p.name IS NULL THEN c.block_threshold ELSE p.block_threshold END AS block_threshold,
+        CASE WHEN p.name IS NULL THEN {csv('c.allowed_providers_csv')} ELSE {csv('p.allowed_providers_csv')} END AS allowed,
+        CASE WHEN p.name IS NULL THEN c.retention_days ELSE p.retention_days END AS retention_days,
+        CASE WHEN p.name IS NULL THEN c.system_prepend ELSE p.system_prepend END AS system_prepend
+      FROM ident i LEFT JOIN (SELECT *, 'db' AS source FROM policy_versions WHERE deleted = 0) p ON p.name = i.policy_name
+        AND i.created_at >= p.moment AND (p.until IS NULL OR i.created_at < p.until)
+      LEFT JOIN (SELECT * FROM policies WHERE source = 'config') c ON c.name = i.policy_name""",
+}
+
+
 def governed(limited: bool, own: bool = False, bodies: bool = False) -> dict[str, str]:
     """CTEs up to ``governed``: one row per request with outcome, events and the text to relay.
 
@@ -381,6 +410,14 @@ add("relay_custom", "SELECT DISTINCT prompt_id, relay_text FROM governed WHERE o
     recursive=True)
 add("govern_bodies", f"SELECT request_id, outcome, {_TOLD} FROM governed", governed(True, own=True, bodies=True),
     recursive=True)
+add("auth_asof", """SELECT request_id, label, rpm_limit, policy_name, CASE WHEN known THEN 'ok' ELSE '401' END AS outcome
+FROM ident""", HISTORIES)
+add("policy_asof", """SELECT i.request_id, i.policy_name, r.source, r.dlp_action, r.retention_days
+FROM ident i JOIN ruled r ON r.request_id = i.request_id""", HISTORIES)
+_ASOF = governed(True)
+_ASOF = {**HISTORIES, **{k: q for k, q in _ASOF.items() if k not in ("ident", "effective")}}
+_ASOF["judged"] = _ASOF["judged"].replace("LEFT JOIN effective e ON e.name = a.policy_name", "JOIN ruled e ON e.request_id = a.request_id")
+add("govern_asof", f"SELECT request_id, outcome, {_TOLD} FROM governed", _ASOF, recursive=True)
 add("output_redact_policy", f"""
 SELECT i.request_id, CASE WHEN e.dlp_action = 'redact' THEN CASE WHEN len(e.detect) > 0
   THEN regexp_replace({dlp_redacted('p.prompt', DLP_TYPES, 'e.detect')}, e.custom_regex, '[' || upper(e.custom_name) || '-REDACTED]', 'g')

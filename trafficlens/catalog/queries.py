@@ -12,9 +12,9 @@ from ..functions import dlp
 from ..functions import scalars as S
 from ..functions.fixed_values import DLP_TYPES
 from ..functions.usage import parse_usage, sse_usage
-from ..operators import cache, identity, limiter, policy, routing, scan, similarity, stats, turns
+from ..operators import cache, history, identity, limiter, policy, routing, scan, similarity, stats, turns
 from ..plans import hooks
-from ..plans.govern import audit_events, govern, govern_bodies, relay_texts
+from ..plans.govern import audit_events, govern, govern_asof, govern_bodies, relay_texts
 from ..plans.replay import answered_log, lock_events, replay, replay_bodies
 from ..sources import archive, tables
 from ..sources.views import Views, view
@@ -439,6 +439,37 @@ def govern_custom(v):
     return _outcomes(_governed_json(v))
 
 
+def _histories(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Versions of identities and stored policies, and the configured policies."""
+    tokens = history.token_history(v.tokens, v.token_events, revocations=v.token_ends)
+    flat = policy.flat_policies(v.policy_events.withColumn("name", F.struct("name", "changed_at")), "db")
+    stored = flat.select("name.name", "name.changed_at", *[c for c in flat.columns if c != "name"])
+    return tokens, history.policy_history(stored, v.policy_ends), _policies(v)[1]
+
+
+@query
+def auth_asof(v):
+    tokens, _, _ = _histories(v)
+    return history.auth_asof(v.requests, tokens, required=True).select(
+        "request_id", "label", "rpm_limit", "policy_name", "outcome")
+
+
+@query
+def policy_asof(v):
+    tokens, stored, config = _histories(v)
+    known = history.auth_asof(v.requests, tokens)
+    return history.policy_asof(known, stored, config).select("request_id", "policy_name", "source", "dlp_action", "retention_days")
+
+
+@query
+def govern_history(v):
+    tokens, stored, config = _histories(v)
+    return _outcomes(govern_asof(v.requests, v.prompts, tokens, stored, config, window_ms=HOUR_MS))
+
+
+QUERIES["govern_asof"] = QUERIES.pop("govern_history")
+
+
 @query
 def relay_custom(v):
     """Distinct texts that leave governance under policies with patterns of their own."""

@@ -33,13 +33,18 @@ def auth_resolve(requests: DataFrame, tokens: DataFrame, required: bool = False,
         F.col("token").alias("_token"), F.col("label").alias("_label"), F.col("rpm_limit").alias("_rpm"),
         F.col("allowed_models_csv").alias("_models"), F.col("policy_name").alias("_policy"))
     joined = requests.join(live, F.col(bearer) == F.col("_token"), "left")
+    return identified(joined.drop("_token"), required)
+
+
+def identified(joined: DataFrame, required: bool = False) -> DataFrame:
+    """Requests with the ``_label, _rpm, _models, _policy`` of their live token, null where there is none, as identities."""
     known = F.col("_label").isNotNull()
     return (joined.withColumn("label", F.coalesce("_label", F.lit(ANONYMOUS)))
             .withColumn("rpm_limit", F.coalesce(F.col("_rpm").cast("bigint"), F.lit(0).cast("bigint")))
             .withColumn("allowed_models", csv_list(F.col("_models")))
             .withColumn("policy_name", F.col("_policy")).withColumn("known", known)
             .withColumn("outcome", F.when(~known & F.lit(required), "401").otherwise("ok"))
-            .drop("_token", "_label", "_rpm", "_models", "_policy"))
+            .drop("_label", "_rpm", "_models", "_policy"))
 
 
 def model_allowed(model: Column, allowed: Column) -> Column:

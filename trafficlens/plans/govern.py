@@ -9,6 +9,7 @@ from ..functions import body as B
 from ..functions import dlp, guard
 from ..functions.custom import custom_found, custom_masked, custom_masked_each
 from ..operators.cache import request_hash_of
+from ..operators.history import auth_asof, policy_asof
 from ..operators.identity import auth_resolve, model_allowed
 from ..operators.limiter import rate_limit
 from ..operators.policy import policy_resolve, provider_allowed, provider_resolve
@@ -18,7 +19,11 @@ from ..sources.archive import materialise
 
 def identify(requests: DataFrame, tokens: DataFrame, required: bool = False) -> DataFrame:
     """Identity and model allowlist. Adds identity columns and ``outcome`` (ok | 401 | 403_model)."""
-    known = auth_resolve(requests, tokens, required)
+    return allowlisted(auth_resolve(requests, tokens, required))
+
+
+def allowlisted(known: DataFrame) -> DataFrame:
+    """Turn the outcome of requests for models that their identity may not use into 403."""
     allowed = ~F.col("known") | model_allowed(F.col("model"), F.col("allowed_models"))
     return known.withColumn("outcome", F.when(F.col("outcome") != "ok", F.col("outcome"))
                             .when(~allowed, "403_model").otherwise("ok"))
@@ -111,10 +116,25 @@ def govern(requests: DataFrame, prompts: DataFrame, tokens: DataFrame, stored: D
     small verdict meets the requests. Policies' own patterns (a ``custom`` column, see ``parse_policies``) run once for
     each text and distinct pattern that some request brings together.
     """
-    admitted = policy_resolve(admit(requests, tokens, required, window_ms), stored, config)
+    known = auth_resolve(requests, tokens, required)
+    return _governed(known, lambda rows: policy_resolve(rows, stored, config), prompts, window_ms)
+
+
+def govern_asof(requests: DataFrame, prompts: DataFrame, tokens: DataFrame, stored: DataFrame, config: DataFrame,
+                required: bool = False, window_ms: int = 60_000) -> DataFrame:
+    """:func:`govern` by the identities and stored policies that held at the time of each request.
+
+    ``tokens`` and ``stored`` are histories (see ``operators.history``).
+    """
+    known = auth_asof(requests, tokens, required)
+    return _governed(known, lambda rows: policy_asof(rows, stored, config), prompts, window_ms)
+
+
+def _governed(known: DataFrame, resolve, prompts: DataFrame, window_ms: int) -> DataFrame:
+    admitted = resolve(limit(allowlisted(known), window_ms))
     verdicts = text_verdicts(prompts.select("prompt_id", "prompt"), "prompt").drop("prompt")
     if "custom" in admitted.columns:
-        named = policy_resolve(auth_resolve(requests.select("prompt_id", "bearer"), tokens, required), stored, config)
+        named = resolve(known.select("prompt_id", "policy_name", "created_at"))
         verdicts = verdicts.join(_custom_verdicts(named, prompts), "prompt_id", "left")
     return apply_policy(admitted.join(verdicts, "prompt_id", "left"))
 

@@ -92,6 +92,13 @@ SELECT 'user_' || CAST(c_custkey AS STRING) AS label, 'new_' || md5(CAST(c_custk
   CASE c_custkey % 7 WHEN 3 THEN 'banking' END AS policy_name, CASE WHEN c_custkey % 3 = 1 THEN 1 ELSE 0 END AS has_policy_name,
   1706616000 + c_custkey AS changed_at
 FROM customer""",
+    # The same changes spread over the month, and what was taken back.
+    "token_events": """
+SELECT label, token, upstream_key, allowed_models_csv, rpm_limit, policy_name,
+  1704067200 + (changed_at * 7919) % 2500000 AS changed_at FROM token_changes""",
+    "token_ends": """
+SELECT label, changed_at + 86400 * (changed_at % 5) AS revoked_at FROM token_events WHERE changed_at % 3 = 0
+UNION ALL SELECT DISTINCT 'user_' || CAST(user_id AS STRING), CAST(1705000000 + user_id AS BIGINT) FROM events WHERE user_id % 13 = 0""",
     # Presets and one policy per customer, some stored, some in the configuration file, some in both.
     "policies": """
 SELECT * FROM (VALUES
@@ -111,6 +118,15 @@ UNION ALL
 SELECT 'cust_' || CAST(c_custkey AS STRING), 'config', 'phone,passport', 'log', CAST(0.7 AS DOUBLE),
   CAST(NULL AS STRING), CAST(20 AS BIGINT), CAST(NULL AS STRING)
 FROM customer WHERE c_mktsegment IN ('HOUSEHOLD', 'FURNITURE', 'AUTOMOBILE')""",
+    # Changes to the stored policies over the month, and their ends.
+    "policy_events": """
+SELECT name, 'db' AS source, detect_csv, CASE step WHEN 0 THEN dlp_action ELSE 'log' END AS dlp_action, block_threshold,
+  allowed_providers_csv, retention_days, system_prepend,
+  CAST(1704067200 + step * (300000 + 10000 * retention_days) AS BIGINT) AS changed_at
+FROM policies, (SELECT 0 AS step UNION ALL SELECT 1) s WHERE source = 'db'""",
+    "policy_ends": """
+SELECT name, CAST(1704067200 + 1000000 + 20000 * retention_days AS BIGINT) AS deleted_at FROM policies
+WHERE source = 'db' AND dlp_action <> 'log'""",
     # The same policies as JSON; each action brings a pattern of its own, blocking ones a broken one as well.
     "policy_configs": """
 SELECT q.*, '{"dlp":{"detect":[' || CASE WHEN detect_csv = '' THEN '' ELSE '"' || replace(detect_csv, ',', '","') || '"' END
