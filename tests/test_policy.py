@@ -305,3 +305,17 @@ def test_text_and_variant_form_of_a_request_hash_agree(spark):
             request_hash_of(F.lit("p"), F.lit(None).cast("string"), F.transform("m", lambda e: F.to_json(e)))]
     row = df.select(one, other, *bare).first()
     assert row[0] == row[1] and row[2] == row[3]
+
+
+def test_many_keywords_give_what_the_single_searches_give(spark):
+    import random
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc ") for _ in range(rng.randrange(2, 9)))
+    texts = ["".join(rng.choice("abC ") for _ in range(rng.randrange(0, 60))) for _ in range(400)] + [None, "", "İSTANBUL ß"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("low", F.lower("t"))
+    lists = [[("x", [word() for _ in range(40)]), ("y", ["ABC", "aa"]), ("z", [word() for _ in range(90)])],
+             [("x", ["zzz"]), ("y", []), ("z", ["", "a"])], [("x", []), ("y", [])], [("x", ["same", "a"]), ("y", ["a", "same"])],
+             [("x", ["i̇stan"]), ("y", ["ss", "ß"])]]
+    for rules in lists:
+        got = df.select(routing.keyword_rule(F.col("low"), rules).alias("a"), routing.rule_tier_of_lowered(F.col("low"), rules).alias("b"))
+        assert [r for r in got.collect() if r.a != r.b] == []

@@ -486,6 +486,12 @@ add("route_rules", f"SELECT prompt_id, {tier_case('prompt')} AS tier FROM prompt
 add("route_model", "SELECT request_id, tier, method, routed_model FROM routed",
     {"asked": "SELECT r.*, p.prompt FROM requests r JOIN prompts p ON p.prompt_id = r.prompt_id",
      "routed": routed("asked", "prompt")})
+add("route_keywords", """
+SELECT prompt_id, CASE WHEN bool_or(rule = 1) THEN 'complex' WHEN bool_or(rule = 2) THEN 'standard' WHEN bool_or(rule = 3) THEN 'simple' END
+  AS tier
+FROM (SELECT prompt_id, lower(prompt) AS low FROM prompts) p LEFT JOIN words ON contains(low, w) GROUP BY prompt_id""", {
+    "words": """SELECT w, CASE WHEN length(w) > 11 THEN 1 WHEN length(w) > 9 THEN 2 ELSE 3 END AS rule FROM (
+      SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark) q WHERE length(w) > 4"""})
 add("price_join", f"""
 SELECT model, CAST({price_case('model', 1)} AS DOUBLE) / 1000 AS price_in, CAST({price_case('model', 2)} AS DOUBLE) / 1000
   AS price_out FROM (SELECT DISTINCT original_model AS model FROM request_log)""")

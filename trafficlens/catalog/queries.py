@@ -546,6 +546,16 @@ def route_rules(v):
     return routing.route_rules(v.prompts, "prompt").select("prompt_id", "tier")
 
 
+@query
+def route_keywords(v):
+    """Rules with many keywords: the words of the benchmark, the longest first."""
+    word = F.explode(F.split(F.lower("text"), "[^a-z]+"))
+    words = [r[0] for r in v.benchmark.select(word.alias("w")).distinct().filter("length(w) > 4").orderBy("w").collect()]
+    rules = [("complex", [w for w in words if len(w) > 11]), ("standard", [w for w in words if len(w) in (10, 11)]),
+             ("simple", [w for w in words if len(w) < 10])]
+    return routing.route_rules(v.prompts, "prompt", rules).select("prompt_id", "tier")
+
+
 @query
 def route_model(v):
     ruled = routing.route_rules(v.prompts, "prompt").select("prompt_id", F.col("tier").alias("rule"))

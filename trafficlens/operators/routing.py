@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +29,54 @@ def rule_tier_of_lowered(lowered: Column, rules: Rules = ROUTING_RULES) -> Colum
     return out
 
 
+def keyword_rule(lowered: Column, rules: Rules) -> Column:
+    """:func:`rule_tier_of_lowered` for many keywords: one pass over a text, however many there are.
+
+    All keywords stand in one automaton, which a task builds once. Each occurrence names the first rule that has the
+    keyword, and the least of them wins; a text is left as soon as the first rule of all is found.
+    """
+    first: dict[str, int] = {}
+    for k, (_, words) in enumerate(rules):
+        for word in words:
+            first.setdefault(word.lower(), k)
+    always = first.pop("", len(rules))  # an empty keyword occurs in every text
+    tiers = [tier for tier, _ in rules]
+
+    @F.pandas_udf("string")
+    def tier_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+        import pandas as pd
+        automaton = ahocorasick.Automaton()
+        for word, k in first.items():
+            automaton.add_word(word, k)
+        automaton.make_automaton()
+
+        def find(text):
+            best = always
+            for _, k in automaton.iter(text) if first else ():
+                if k < best:
+                    best = k
+                    if not best:
+                        break
+            return tiers[best] if best < len(tiers) else None
+
+        for texts in batches:
+            yield pd.Series([None if t is None else find(t) for t in texts], dtype=object)
+
+    return tier_of(lowered)
+
+
+FEW_KEYWORDS = 64  # up to here one search per keyword in generated code is as fast
+
+
 def route_rules(df: DataFrame, text_col: str, rules: Rules = ROUTING_RULES, out_col: str = "tier") -> DataFrame:
-    """Add the rule tier of a text. The lower-case text is a column of its own, so that it is made once per row."""
-    return (df.withColumn("_lowered", F.lower(F.col(text_col)))
-            .withColumn(out_col, rule_tier_of_lowered(F.col("_lowered"), rules)).drop("_lowered"))
+    """Add the rule tier of a text. The lower-case text is a column of its own, so that it is made once per row.
+
+    Long keyword lists are looked for all at once (see :func:`keyword_rule`); the result is the same.
+    """
+    few = sum(len(words) for _, words in rules) <= FEW_KEYWORDS
+    tier = (rule_tier_of_lowered if few else keyword_rule)(F.col("_lowered"), rules)
+    return df.withColumn("_lowered", F.lower(F.col(text_col))).withColumn(out_col, tier).drop("_lowered")
 
 
 def route(header: Column, rule: Column, model: Column, mode: str = "rules", tiers: Mapping[str, str] = TIER_MODELS,

@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ["customer", "conversations", "documents", "embeddings", "events", "pages"]
+TABLES = ["benchmark", "customer", "conversations", "documents", "embeddings", "events", "pages"]
 
 _DIALECT = {
     "spark": {
