@@ -35,6 +35,91 @@ def test_long_texts_are_scored_in_steps(monkeypatch):
     assert np.isclose(langid.score_texts(model, [text])[1], whole[1])
 
 
+def test_language_learned_from_long_texts_alone(spark):
+    """All labelled texts of one language are above 64 kB, and tell it only far from their beginning."""
+    rng = random.Random(3)
+    strange = lambda n: " ".join("".join(rng.choice("kwzxq") + rng.choice("yu") for _ in range(3)) for _ in range(n))
+    rows = [(i, "123 " * 20_000 + strange(400), "qq") for i in range(40)] + [(100 + i, prose(rng, 60), "en") for i in range(40)]
+    docs = spark.createDataFrame([*rows, *rows[:3]], "doc_id bigint, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == ("en", "qq")
+    assert langid.score_texts(model, [strange(30), prose(rng, 30)])[0] == ["qq", "en"]
+    drawn = langid.sample(docs, "doc_id", "text", "lang", 5).collect()
+    assert len({r.t for r in drawn if r.l == "qq"}) <= 5 * langid.PASSAGES and max(len(r.t.split()) for r in drawn) <= langid.LONGEST
+
+
+def test_passages_come_from_the_whole_text():
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(5000))
+    places = [text.index(p) / len(text) for p in langid.passages(text)]
+    assert max(places) > 0.5 and len(places) == langid.PASSAGES and langid.passages("12 !") == []
+
+
+def plain_features(text):
+    """Character 2- to 4-grams of each word with its end marks."""
+    out = {}
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        marked = f"<{word}>"
+        for n in (2, 3, 4):
+            for k in range(len(marked) - n + 1):
+                out[marked[k:k + n]] = out.get(marked[k:k + n], 0) + 1
+    return out
+
+
+def test_features_equal_a_plain_count():
+    rng = random.Random(12)
+    for text in [prose(rng, 40), "a", "ab cd", "Où été, même!", "x" * 50, "", "1 2"]:
+        want = sorted(plain_features(text).values())
+        _, counts = np.unique(langid.features_of(langid.letters_of(text)), return_counts=True)
+        assert sum(want) == counts.sum()
+        if len(want) < 200:  # few enough for the buckets not to collide
+            assert sorted(counts.tolist()) == want
+
+
+def test_shapes_are_those_of_whole_chunks():
+    long = "a" * 60
+    assert cotraining._code(long + "1") != cotraining._code(long + "!")
+    assert cotraining._code(long + "1a") // cotraining.WORDS == cotraining._code("b" * 90 + "2c") // cotraining.WORDS
+
+
+def test_unspaced_scripts_repeat_by_characters(spark):
+    passage = "昨夜の強い風で古い橋が壊れた。村の人々は朝から集まり、新しい橋を作る相談をした。若者たちは山へ木を切りに行った。"
+    rows = [(1, "今日は晴れだ。" + passage + "犬が走る。"), (2, "雨の日だった。" + passage + "猫が眠る。"), (3, "何もない短い文だ。")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in spans.find_repeats(df).collect()}
+    assert set(got) == {2} and passage not in got[2] and got[2].startswith("雨の日だった。") and got[2].endswith("猫が眠る。")
+
+
+def plain_sentences(text):
+    """End of every sentence that has no more words than are cut further, character by character."""
+    ends, k, n = [], 0, len(text)
+    while k < n:
+        if text[k] in ".!?…":
+            while k < n and text[k] in ".!?…":
+                k += 1
+            while k < n and text[k] in "\"'”’)]":
+                k += 1
+            if k < n and text[k].isspace():
+                while k < n and text[k].isspace():
+                    k += 1
+                ends.append(k)
+        elif text[k] in "\n\r":
+            while k < n and text[k].isspace():
+                k += 1
+            ends.append(k)
+        else:
+            k += 1
+    return [e for e in ends if text[:e].strip() and e < n]
+
+
+def test_sentence_ends_equal_a_plain_scan():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "bc", " ", ". ", "!", "?) ", "… ", '." ', "\n", "d"]) for _ in range(rng.randrange(1, 30)))
+        parts = spans.sentences(text)
+        if parts:
+            assert [p[1] for p in parts[:-1]] == [e for e in plain_sentences(text) if e <= parts[-1][0]], repr(text)
+
+
 def plain_repeats(rows):
     """Covered sentences of each (id, text), by going through all runs in order."""
     seen, gone = {}, {}
@@ -113,18 +198,19 @@ def test_tiling_equals_definition():
 
 def test_leaks(spark, odd_docs, no_docs):
     rng = random.Random(8)
-    items = [(1, prose(rng, 40)), (2, prose(rng, 20)), (3, "too short"), (4, None), (None, prose(rng, 20)), (5, "")]
+    items = [(1, prose(rng, 40)), (2, prose(rng, 20)), (3, "Cheap cotton lanterns"), (6, "四角い月が出た"), (7, "..."), (4, None), (None, prose(rng, 20)), (5, "")]
     halves = items[0][1].split()
     docs = [(1, prose(rng, 50) + " " + items[0][1] + " " + prose(rng, 9)),
             (2, " ".join(halves[20:]) + " " + prose(rng, 30) + " " + " ".join(halves[:20])),  # reordered
             (3, " ".join(halves[:12])), (4, prose(rng, 60)), (5, items[1][1].upper().replace(".", "!")), (6, None),
-            (None, items[1][1]), (7, items[0][1]), (7, items[0][1])]
+            (None, items[1][1]), (7, items[0][1]), (7, items[0][1]), (8, "so cheap cotton lanterns!"),
+            (9, "cheap lanterns cotton"), (10, "昨夜、四角い月が出た。"), (11, "四角い皿")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     for bits in (8, tiling.MAP_BITS):  # a bitmap that is full only costs time
         got = tiling.leaks(df, bench, map_bits=bits).collect()
-        assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (5, 2), (None, 2), (7, 1)} and len(got) == 5
-    assert {r.doc_id for r in tiling.drop_leaks(df, bench).collect()} == {3, 4, 6}
+        assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (5, 2), (None, 2), (7, 1), (8, 3), (10, 6)} and len(got) == 7
+    assert {r.doc_id for r in tiling.drop_leaks(df, bench).collect()} == {3, 4, 6, 9, 11}
     assert tiling.drop_leaks(odd_docs, bench).columns == odd_docs.columns
     assert tiling.leaks(no_docs, bench).count() == 0 and tiling.leaks(df, bench.limit(0)).count() == 0
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..sources.archive import materialise, shared_dir
 
-__all__ = ["Lookup", "Memo", "file_system", "fresh", "kept_by", "materialise", "per_process", "row_key", "shared_dir", "table", "unique_name",
-           "word_hashes"]
+__all__ = ["Lookup", "Memo", "file_system", "fresh", "kept_by", "materialise", "per_process", "row_key", "shared_dir", "splitter", "table",
+           "unique_name", "word_hashes", "words_in"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,26 @@ def fresh(columns: list[str], base: str) -> str:
     return name
 
 
+#: Scripts that put no space between words (Thai, Lao, Burmese, Khmer, kana, Chinese characters).
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
+WORD = rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+"
+
+
+def splitter(text: str):
+    """What cuts a text into words: white space, and in scripts without spaces every character is one."""
+    import re
+    try:
+        text.encode("latin-1")  # most texts hold none of those scripts, and this is a fast way to know
+    except UnicodeEncodeError:
+        if re.search(f"[{_UNSPACED}]", text):
+            return re.compile(WORD).findall
+    return str.split
+
+
+def words_in(text: str) -> list[str]:
+    return splitter(text)(text)
+
+
 def row_key(text: Column) -> Column:
     """Tells apart rows that share an id but not their text; null and empty texts differ."""
     return F.xxhash64(text, text.isNull())

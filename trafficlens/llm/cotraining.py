@@ -42,7 +42,7 @@ def _code(chunk: str) -> int:
     """Bucket of a chunk's shape times the number of word buckets, plus the bucket of its word."""
     from zlib import crc32
     shape, last = [], ""
-    for c in chunk[:48]:  # the shape of a chunk, not of the text: what is longer looks like its beginning
+    for c in chunk:
         now = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if now != last:
             shape.append(now)

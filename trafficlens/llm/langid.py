@@ -4,9 +4,10 @@ A word is its letters, lower-cased; its features are its character 2- to 4-grams
 number of buckets. A text is the mean of its feature embeddings. As the softmax is linear in that
 mean, a trained model is a table of class scores per bucket, and a text's score is a sum over its words.
 
-Training takes a bounded sample (``PER_LANGUAGE`` labelled documents of each language, by order of a hash of the id)
-(texts of up to 64 kB) cut into passages of differing lengths, so that short texts are scored as carefully as long ones. A part of the sample
-is held back to fit the temperature of the scores and the rejection threshold: the largest that rejects at most
+Training takes a bounded sample: ``PASSAGES`` passages of 1 to ``LONGEST`` words, drawn from anywhere in the text, of
+``PER_LANGUAGE`` labelled documents of each language (by order of a hash of the id), and of the ``LANGUAGES`` languages
+with most documents. The tasks draw them, so texts may be of any length; short passages make the scores of short texts as
+careful as those of long ones. A part of the sample is held back to fit the temperature of the scores and the rejection threshold: the largest that rejects at most
 ``MISS`` of the held-back passages. Buckets that training never saw count as zero evidence, so foreign text drifts
 towards equal scores and is rejected.
 
@@ -21,11 +22,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, per_process, table
+from .common import fresh, per_process, row_key, table
 
 BUCKETS = 1 << 15
 DIM = 16
 PER_LANGUAGE = 300
+LANGUAGES = 1000
+PASSAGES = 8
+LONGEST = 64
 MISS = 0.001
 UNKNOWN = "und"
 
@@ -81,22 +85,36 @@ def _softmax(z):
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def passages(text: str, passages: int = PASSAGES) -> list[str]:
+    """Runs of whole words from places of the text that its own letters choose; their letters in lower case."""
+    import numpy as np
+    from zlib import crc32
+    codes = letters_of(text)
+    gaps = np.flatnonzero(codes == 0)
+    words = len(gaps) - 1
+    if words < 1:
+        return []
+    rng = np.random.default_rng(crc32(codes.tobytes()))
+    spans = set()
+    for _ in range(passages):
+        n = min(words, int(rng.integers(1, LONGEST + 1)))
+        first = int(rng.integers(0, words - n + 1))
+        spans.add((first, n))
+    read = lambda a, b: np.where(codes[a:b] == 0, 32, codes[a:b]).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [read(gaps[first] + 1, min(gaps[first + n], gaps[first] + _WORD)) for first, n in sorted(spans)]
+
+
 def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5, seed: int = 7) -> Model:
-    """Fit a model on the driver; the caller bounds the number of texts."""
+    """Fit a model on the driver to passages (see :func:`passages`); the caller bounds their number."""
     import numpy as np
     languages = tuple(sorted(set(labels)))
     rng = np.random.default_rng(seed)
     features, target = [], []
     for text, label in zip(texts, labels):
-        codes = letters_of(text)
-        gaps = np.flatnonzero(codes == 0)
-        at, taken = 0, 0
-        while at < len(gaps) - 1 and taken < 8:  # passages of 1 to 64 words; eight of a text are enough to learn from
-            n = int(rng.integers(1, 65))
-            ids = features_of(codes[gaps[at]:gaps[min(at + n, len(gaps) - 1)] + 1])
+        ids = features_of(letters_of(text))
+        if len(ids):
             features.append(np.unique(ids, return_counts=True))
             target.append(languages.index(label))
-            at, taken = at + n, taken + 1
     if not features:
         return Model((), np.zeros((1, 0), np.float32), np.zeros(0), 1.0, 1.0)
     order = rng.permutation(len(features))
@@ -134,24 +152,38 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """The bounded training sample: so many texts of each language, by order of a hash of the id.
+    """The bounded training sample: passages ``t`` of so many texts of each language ``l``, by order of a hash of the id.
 
-    The ids are chosen on narrow rows; no text is shuffled.
+    The texts are chosen on narrow rows; no text is shuffled.
     """
-    rows = docs.select(docs[f"`{id_col}`"].alias("i"), docs[f"`{text_col}`"].alias("t"), docs[f"`{lang_col}`"].alias("l"))
-    rows = rows.where("t IS NOT NULL AND l IS NOT NULL AND octet_length(t) <= 65536 "
-                      "AND crc32(CAST(i AS STRING)) % 5 != 0")
-    ranked = rows.select("i", "l", F.xxhash64("i").alias("h")).withColumn(
-        "r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i")))
-    picked = ranked.where(F.col("r") <= per_language).select("i", "l").distinct()
-    # no more rows than per_language times the number of languages
-    return rows.join(F.broadcast(picked), ["i", "l"]).select("t", "l").distinct()
+    text = docs[f"`{text_col}`"]
+    rows = docs.select(docs[f"`{id_col}`"].alias("i"), row_key(text).alias("k"), text.alias("t"), docs[f"`{lang_col}`"].alias("l"))
+    rows = rows.where("t IS NOT NULL AND l IS NOT NULL AND crc32(CAST(i AS STRING)) % 5 != 0")
+    ranked = rows.select("i", "k", "l", F.xxhash64("i").alias("h")).withColumn(
+        "r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i", "k")))
+    picked = ranked.where(F.col("r") <= per_language)
+    most = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
+    picked = picked.join(most.select("l"), "l").select("i", "k", "l").distinct()
+
+    def draw(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [(t, l) for t, l in zip(part.column("t").to_pylist(), part.column("l").to_pylist())]
+                drawn = [(p, l) for t, l in found for p in passages(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in drawn], pa.string()),
+                                                  pa.array([l for _, l in drawn], pa.string())], names=["t", "l"])
+
+    # PER_LANGUAGE * LANGUAGES narrow rows at most, so they may be sent to the tasks that hold the texts
+    chosen = rows.join(F.broadcast(picked), ["i", "k", "l"]).select("t", "l")
+    return chosen.mapInArrow(draw, "t string, l string").distinct()
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         per_language: int = PER_LANGUAGE) -> Model:
     """Train on the labelled documents whose crc32 of the id is no multiple of five."""
-    rows = sample(docs, id_col, text_col, lang_col, per_language).collect()
+    rows = sample(docs, id_col, text_col, lang_col, per_language).collect()  # bounded by the sizes of the sample
     rows.sort()
     return train([r["t"] for r in rows], [r["l"] for r in rows])
 
@@ -180,12 +212,14 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[
 
 
 _STEP = 1 << 20  # characters of a very long text that are taken at once
+_WORD = 4096  # letters beyond which a word may be cut
 
 
 def _step(text: str, at: int):
     """Features of one step of a very long text; words that reach over its end are left to the next step."""
     def edge(place: int) -> int:
-        while 0 < place < len(text) and text[place - 1].isalpha() and text[place].isalpha():
+        end = min(place + _WORD, len(text))
+        while 0 < place < end and text[place - 1].isalpha() and text[place].isalpha():
             place += 1
         return place
     return features_of(letters_of(text[edge(at):edge(at + _STEP)]))

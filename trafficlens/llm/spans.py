@@ -1,6 +1,6 @@
 """Repeated passages by sliding runs of sentences.
 
-A text is cut into sentences (after . ! ? … and at line ends; a longer sentence is cut further between the two words
+A text is cut into sentences (after . ! ? … and their ideographic kin, and at line ends; words of scripts without spaces are single characters; a longer sentence is cut further between the two words
 whose hash is least in a window of word pairs, so that equal passages are cut alike from the window on, wherever they
 stand: of a passage without sentence ends, 47 words suffice for a run that is found in any surroundings). Every run of ``SENTENCES`` or more consecutive
 sentences that reaches ``RUN_WORDS`` words, starting at each sentence, is hashed by its lower-cased words. Runs whose
@@ -22,24 +22,24 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, row_key, table, word_hashes
+from .common import WORD, fresh, materialise, row_key, splitter, table, word_hashes
 
 SENTENCES = 3
 RUN_WORDS = 15
 LONG = 12  # words of a sentence above which it is cut further
 WINDOW = 8  # pairs of words among which the least hash makes a cut; a power of two
-_END = re.compile(r"[.!?…]+[\"'”’)\]]*\s+|\s*[\n\r  ]\s*")
-_WORD = re.compile(r"\S+")
+_END = re.compile(r"[。！？｡]+[\"'”’)\]」』]*|[.!?…]+[\"'”’)\]]*\s+|\s*[\n\r  ]\s*")
+_WORD = re.compile(WORD)
 
 
 def sentences(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end, words, hash) of each sentence; the parts cover the text without gaps."""
     from xxhash import xxh64_intdigest
-    found, start = [], 0
+    found, start, words_of = [], 0, splitter(text)
     for cut in [*[m.end() for m in _END.finditer(text)], len(text)]:
         if cut <= start:
             continue
-        words = text[start:cut].lower().split()
+        words = words_of(text[start:cut].lower())
         if words:
             found.append([start, cut, words])
         elif found:  # white space alone belongs to the sentence before it

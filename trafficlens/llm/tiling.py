@@ -1,14 +1,14 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are sequences of words (lower-cased, without punctuation around them), hashed to 64 bits. Every run of
-``MATCH`` words of a benchmark item is a seed. A fixed-size bitmap of the seeds travels to the tasks that read the
+Texts are sequences of words (lower-cased, without punctuation around them; single characters of scripts without
+spaces), hashed to 64 bits. Every run of ``MATCH`` words of a benchmark item is a seed; of a shorter item, all its words. A fixed-size bitmap of the seeds travels to the tasks that read the
 documents; a document whose runs hit it keeps just the words of those runs. The hits are then joined with the seed
 table, which sorts out false hits and pairs documents with items. For each pair, greedy string tiling marks the longest
 common matches first, never overlapping, finding matches of a length by Karp-Rabin hashes, down to ``MATCH`` words.
 An item is leaked into a document when its tiles cover ``COVERAGE`` of its words, in whatever order they stand.
 
-Defined results: null and empty texts leak nothing; an item of fewer than ``MATCH`` words has no seed and cannot be
-found; items with a null id are left out; repeated rows of documents or items give one row per distinct pair and text;
+Defined results: null and empty texts leak nothing; an item of fewer than ``MATCH`` words is found where it stands
+whole, and one without words is not; items with a null id are left out; repeated rows of documents or items give one row per distinct pair and text;
 empty tables give an empty result; other columns are ignored.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Lookup, fresh, kept_by, materialise, row_key, table
+from .common import Lookup, fresh, kept_by, materialise, row_key, table, words_in
 
 MATCH = 5
 COVERAGE = 0.6
@@ -34,7 +34,7 @@ def _word_hash(chunk: str) -> int:
 def words_of(text: str | None):
     """Hash of each word, as uint64; chunks of punctuation alone are no words."""
     import numpy as np
-    chunks = text.split() if text else []
+    chunks = words_in(text) if text else []
     known = kept_by("tiling", "hashes", lambda: Lookup(_word_hash))
     found = np.fromiter(map(known.__getitem__, chunks), np.uint64, len(chunks))
     return found[found != 0]
@@ -44,9 +44,9 @@ def seeds_of(words, match: int = MATCH):
     """Hash of each run of ``match`` words, by the place of its first word."""
     import numpy as np
     n = len(words) - match + 1
-    if n <= 0:
+    if n <= 0 or not match:
         return np.empty(0, np.uint64)
-    rolled = np.zeros(n, np.uint64)
+    rolled = np.full(n, match, np.uint64)
     for k in range(match):
         rolled = rolled * np.uint64(_BASE) + words[k:k + n]
     return rolled ^ (rolled >> np.uint64(31))
@@ -142,7 +142,7 @@ def _seed_rows(items: DataFrame, match: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
         for batch in batches:
-            seeds = [seeds_of(np.array(w, np.int64).view(np.uint64), match).view(np.int64)
+            seeds = [seeds_of(np.array(w, np.int64).view(np.uint64), min(match, len(w))).view(np.int64)
                      for w in batch.column("item_words").to_pylist()]
             row = pa.array(np.repeat(np.arange(len(seeds)), [len(s) for s in seeds]), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*seeds, np.empty(0, np.int64)])),
@@ -163,8 +163,11 @@ def _bitmap(seeds: DataFrame, bits: int) -> bytes:
     return table.tobytes()
 
 
-def seed_hits(docs: DataFrame, bitmap: bytes, id_col: str, text_col: str, match: int) -> DataFrame:
-    """(doc_id, k_text, words, seeds) of documents with hits: hit stretches, parted by zeros, and the distinct seeds."""
+def seed_hits(docs: DataFrame, bitmap: bytes, id_col: str, text_col: str, lengths: list[int]) -> DataFrame:
+    """(doc_id, k_text, words, seeds) of documents with hits: hit stretches, parted by zeros, and the distinct seeds.
+
+    ``lengths`` are the numbers of words that seeds have.
+    """
     text = docs[f"`{text_col}`"]
     rows = docs.select(docs[f"`{id_col}`"].alias("doc_id"), row_key(text).alias("k_text"), text.alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -178,19 +181,22 @@ def seed_hits(docs: DataFrame, bitmap: bytes, id_col: str, text_col: str, match:
             keep, stretches, seeds = [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 words = words_of(text)
-                rolled = seeds_of(words, match)
-                low = rolled & np.uint64(size - 1)
-                hit = np.flatnonzero((table[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1)
-                if not len(hit):
+                covered, own = np.zeros(len(words), bool), []
+                for length in lengths:
+                    rolled = seeds_of(words, length)
+                    low = rolled & np.uint64(size - 1)
+                    hit = np.flatnonzero((table[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1)
+                    for n in range(length if len(hit) else 0):
+                        covered[hit + n] = True
+                    own.append(rolled[hit])
+                own = np.concatenate([*own, np.empty(0, np.uint64)])
+                if not len(own):
                     continue
-                inside = np.zeros(len(words) + 1, np.int8)
-                np.add.at(inside, hit, 1)
-                covered = np.convolve(inside[:-1], np.ones(match, np.int32))[:len(words)] > 0
                 kept = np.where(covered, words, np.uint64(0))
                 kept = kept[np.r_[True, (kept[1:] != 0) | (kept[:-1] != 0)]]
                 keep.append(k)
                 stretches.append(kept.view(np.int64))
-                seeds.append(np.unique(rolled[hit]).view(np.int64))
+                seeds.append(np.unique(own).view(np.int64))
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(at), batch.column("k_text").take(at),
@@ -208,7 +214,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         raise ValueError("map_bits must be a power of two, 8 or more")
     bench = materialise(benchmark_words(items, item_col, item_text))
     seeds = materialise(_seed_rows(bench, match))
-    hits = materialise(seed_hits(docs, _bitmap(seeds, map_bits), id_col, text_col, match).dropDuplicates(
+    size = F.least(F.size("item_words"), F.lit(match))
+    lengths = sorted(r[0] for r in bench.select(size).distinct().collect() if r[0])  # no more than ``match`` of them
+    hits = materialise(seed_hits(docs, _bitmap(seeds, map_bits), id_col, text_col, lengths).dropDuplicates(
         ["doc_id", "k_text"]))
     pairs = (hits.select("doc_id", "k_text", F.explode("seeds").alias("seed")).join(seeds, "seed")
              .select("doc_id", "k_text", "item_id").distinct())
@@ -222,7 +230,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         for batch in batches:
             found = []
             for words, item in zip(batch.column("words").to_pylist(), batch.column("item_words").to_pylist()):
-                got = tiles(item, words, match)
+                got = tiles(item, words, min(match, len(item)))
                 found.append((sum(n for _, _, n in got) / len(item), len(got)))
             keep = pa.array([k for k, f in enumerate(found) if f[0] >= coverage], pa.int64())
             part = batch.take(keep)
