@@ -106,3 +106,22 @@ def test_usage_rules(spark):
             ("openai", "", 0, 0)]
     df = spark.createDataFrame(rows, "provider string, raw string, i bigint, o bigint")
     assert [(r.input_tokens, r.output_tokens) for r in sse_usage(df).collect()] == [(r[2], r[3]) for r in rows]
+
+
+def test_chunks_delivered_again_after_the_end_make_no_second_row(spark, tmp_path):
+    t = 1_700_000_000
+    whole = [(1, "openai", 0, 'data: {"usage":{"prompt_tokens":5}}\n', 0, t), (1, "openai", 1, "data: [DONE]\n", 1, t + 1)]
+    other = [(2, "openai", 0, "data: [DONE]\n", 1, t + 600), (3, "openai", 0, "data: [DONE]\n", 1, t + 9000)]
+    rows = [whole[0], whole[1], whole[0], whole[1], other[0], whole[0], other[1], other[1]]
+    src = feed(spark, str(tmp_path / "in"), rows, "request_id bigint, provider string, seq bigint, chunk string, is_last bigint, created_at bigint", 4)
+    got = sorted(tuple(r) for r in streams.run_available(streams.stream_usage(src), "t").collect())
+    assert got == [(1, 5, 0, 1), (2, 0, 0, 1), (3, 0, 0, 1)]
+
+
+def test_a_stalled_response_is_reported_once_even_if_it_goes_on(spark, tmp_path):
+    t = 1_700_000_000
+    rows = [(1, "openai", 0, 'data: {"usage":{"prompt_tokens":5}}\n', 0, t), (2, "openai", 0, "data: [DONE]\n", 1, t + 7000),
+            (3, "openai", 0, "data: [DONE]\n", 1, t + 7300), (1, "openai", 1, "data: [DONE]\n", 1, t + 7301)]
+    src = feed(spark, str(tmp_path / "in"), rows, "request_id bigint, provider string, seq bigint, chunk string, is_last bigint, created_at bigint", 4)
+    got = sorted(tuple(r) for r in streams.run_available(streams.stream_usage(src, idle_seconds=600), "t").collect())
+    assert [g for g in got if g[0] == 1] == [(1, 5, 0, 0)] and len(got) == 3

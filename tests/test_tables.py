@@ -139,3 +139,61 @@ def test_maintenance_follows_the_clock_of_a_stream(spark, tmp_path):
     streams.run_maintenance(clock, purge)
     assert len(seen) == 3 and max(seen) == 9 * DAY
     assert rows_of(spark.read.schema(log.schema).parquet(path).select(*log.columns)) == rows_of(stats.purge_logs(log, 9 * DAY, 3))
+
+
+def test_daily_sums_read_only_new_files_and_give_the_same_report(spark, tmp_path):
+    import random
+
+    from trafficlens.operators.routing import price_request
+    rng = random.Random(4)
+    columns = ("request_id bigint, created_at bigint, user_label string, original_model string, routed_model string, "
+               "routing_method string, routing_tier string, input_tokens bigint, output_tokens bigint, from_cache int, duration_ms bigint")
+
+    def rows(n, days):
+        return [(rng.randrange(10**9), DAY * rng.choice(days) + rng.randrange(DAY), f"u{rng.randrange(4)}", "gpt-4o", rng.choice(["gpt-4o", "gpt-4o-mini"]),
+                 rng.choice(["rule", "default", "cache"]), rng.choice(["simple", "complex"]), rng.randrange(900), rng.randrange(900),
+                 rng.randrange(2), rng.randrange(3)) for _ in range(n)]
+
+    path, daily = str(tmp_path / "log"), str(tmp_path / "daily")
+    schema = spark.createDataFrame([], columns).schema
+    seen = []
+
+    def priced(df):
+        seen.append(sorted({f.split("dt=")[1][:10] for f in df.inputFiles()}))
+        return price_request(df)
+
+    def update(new, days):
+        archive.write_request_log(spark.createDataFrame(rows(new, days), columns), path)
+        seen.clear()
+        return tables.update_daily(spark, path, schema, daily, priced)
+
+    def check(as_of):
+        log = price_request(tables.read_log(spark, path, schema))
+        got = rows_of(stats.stats_cube_daily(tables.read_daily(spark, daily), log, as_of))
+        assert got == rows_of(stats.stats_cube(log, as_of)) and got
+
+    update(300, range(100, 141))
+    check(140 * DAY + 5000)
+    told = update(40, [141])
+    assert told["added"] == ["1970-05-22"] and seen == [["1970-05-22"]]
+    check(141 * DAY + 70_000)
+    assert update(30, [103, 120])["added"] == ["1970-04-14", "1970-05-01"]  # late rows
+    check(141 * DAY)
+    assert tables.update_daily(spark, path, schema, daily, priced) == {"added": [], "redone": [], "dropped": [], "merged": []}
+    # a purge drops days and rewrites one
+    tables.purge_log_folders(spark, path, schema, 141 * DAY + 3600 * 12, 28)
+    told = tables.update_daily(spark, path, schema, daily, priced)
+    assert told["redone"] == ["1970-04-24"] and len(told["dropped"]) == 13 and told["added"] == []
+    check(141 * DAY + 70_000)
+    # many small updates of one day are merged
+    told = [update(5, [141]) for _ in range(9)]
+    assert any(t["merged"] == ["1970-05-22"] for t in told)
+    check(142 * DAY + 9)
+    # an update that was broken off, and a lost ledger
+    ledger = tables._ledger(spark, daily, tables._SUMMED)
+    tables._note(spark, daily, {**ledger, "1970-05-22": {"files": [], "open": True}}, tables._SUMMED)
+    assert tables.update_daily(spark, path, schema, daily, priced)["redone"] == ["1970-05-22"]
+    check(142 * DAY + 9)
+    os.remove(f"{daily}/{tables._SUMMED}")
+    tables.update_daily(spark, path, schema, daily, priced)
+    check(142 * DAY + 9)

@@ -607,6 +607,7 @@ def one_period(period: str, columns: str = "*") -> tuple[str, dict[str, str]]:
     return f"SELECT {columns} FROM ({full})", {**PRICED, "one": one}
 
 
+ORACLE["stats_cube_incremental"] = ORACLE["stats_cube"]
 add("period_stats", *one_period("weekly"))
 add("daily_avg", *one_period("daily_avg"))
 add("stats_by_tier", *one_period("monthly", "period, total, tier_simple, tier_standard, tier_complex"))

@@ -27,6 +27,7 @@ _COUNTS = {
 }
 _SUMS = {"total_input": "input_tokens", "total_output": "output_tokens", "cost": "cost_nano", "saved": "saved_nano"}
 COUNT_COLUMNS = list(_COUNTS)
+MEASURES = [*COUNT_COLUMNS, *_SUMS]
 REPORT_COLUMNS = COUNT_COLUMNS + ["total_input", "total_output", "actual_usd", "saved_usd",
                                   "would_have_cost_usd", "savings_pct"]
 
@@ -77,24 +78,57 @@ def _divisor_of(period: Column) -> Column:
     return out
 
 
-def stats_cube(log: DataFrame, as_of: int) -> DataFrame:
-    """Every period for every user and for all users (``user_label`` null) in one pass over a priced log.
+def _ring(at: Column, starts: list[int]) -> Column:
+    """The periods nest, so a time belongs to exactly one of their rings."""
+    return F.coalesce(*[F.when(at >= s, F.lit(i)) for i, s in enumerate(starts)])
 
-    The periods nest, so a row belongs to exactly one of their rings. Rows are first reduced to one per user and
-    ring; only that small result is expanded to periods and totals.
-    """
-    bounds = period_bounds(as_of)
-    starts = sorted({low for low, _ in bounds.values()}, reverse=True)
-    ring = F.coalesce(*[F.when(F.col("created_at") >= s, F.lit(i)) for i, s in enumerate(starts)])
-    per_user = (_within(log, starts[-1], as_of).withColumn("ring", ring)
-                .groupBy("user_label", "ring").agg(*measures()))
+
+def _starts(as_of: int) -> list[int]:
+    return sorted({low for low, _ in period_bounds(as_of).values()}, reverse=True)
+
+
+def _cube(per_ring: DataFrame, as_of: int) -> DataFrame:
+    """Expand sums per user and ring, of which there are few, to all periods and totals."""
+    starts = _starts(as_of)
     member = F.array_compact(F.array(*[
-        F.when(F.col("ring") <= starts.index(low), F.lit(name)) for name, (low, _) in bounds.items()]))
-    expanded = per_user.withColumn("period", F.explode(member))
+        F.when(F.col("ring") <= starts.index(low), F.lit(name)) for name, (low, _) in period_bounds(as_of).items()]))
+    expanded = per_ring.withColumn("period", F.explode(member))
     cube = (expanded.groupingSets([["period", "user_label"], ["period"]], "period", "user_label").agg(*_again()))
     return cube.select("period", "user_label", *_report(_divisor_of(F.col("period"))))
 
 
+def _per_ring(log: DataFrame, as_of: int) -> DataFrame:
+    starts = _starts(as_of)
+    rows = _within(log, starts[-1], as_of).withColumn("ring", _ring(F.col("created_at"), starts))
+    return rows.groupBy("user_label", "ring").agg(*measures())
+
+
+def stats_cube(log: DataFrame, as_of: int) -> DataFrame:
+    """Every period for every user and for all users (``user_label`` null) in one pass over a priced log."""
+    return _cube(_per_ring(log, as_of), as_of)
+
+
+def daily_sums(log: DataFrame) -> DataFrame:
+    """The measures of a dated, priced log per day and user; money in nano-USD."""
+    return log.groupBy("dt", "user_label").agg(*measures())
+
+
+def merged_sums(daily: DataFrame) -> DataFrame:
+    """One row per day and user of daily sums that may hold several, whose measures add up."""
+    return daily.groupBy("dt", "user_label").agg(*[F.sum(n).alias(n) for n in MEASURES])
+
+
+def stats_cube_daily(daily: DataFrame, log: DataFrame, as_of: int) -> DataFrame:
+    """:func:`stats_cube` from daily sums. Of the ``log`` it reads only the days that a period's end cuts in two."""
+    starts = _starts(as_of)
+    cut = sorted({day_of(t) for t in [*starts, as_of]})
+    start = F.unix_date(F.col("dt").cast("date")).cast("bigint") * 86_400
+    whole = (daily.filter((F.col("dt") > day_of(starts[-1])) & (F.col("dt") < day_of(as_of)) & ~F.col("dt").isin(cut))
+             .withColumn("ring", _ring(start, starts)).select("user_label", "ring", *MEASURES))
+    parts = _per_ring(log.filter(F.col("dt").isin(cut)), as_of)
+    return _cube(whole.unionByName(parts), as_of)
+
+
 def period_stats(log: DataFrame, as_of: int, period: str, user: str | None = None) -> DataFrame:
     """One report row (also for an empty period)."""
     low, high = period_bounds(as_of)[period]

@@ -14,9 +14,9 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DataType, IntegerType, LongType, StringType, StructField, StructType
 
-from ..operators.stats import day_of, purge_by_policy, retention_days
+from ..operators.stats import MEASURES, daily_sums, day_of, merged_sums, purge_by_policy, retention_days
 
 BUCKETS = 256
 BUCKET = "bucket"
@@ -105,6 +105,11 @@ def delete_buckets(spark: SparkSession, path: str, schema: StructType, key: str,
 
 # --- Logs in a folder a day ------------------------------------------------------------------------------------------
 
+def read_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A stored log with its ``dt``, by which folders are left out."""
+    return _read(spark, path, schema, DAY, StringType())
+
+
 def purge_log_folders(spark: SparkSession, path: str, schema: StructType, as_of: int, days: int) -> dict[str, list[str]]:
     """Keep the rows of the last ``days``; 0 or less keeps everything. Days ``dropped``, ``rewritten`` and ``kept``."""
     held = sorted(folders(spark, path, DAY))
@@ -115,7 +120,7 @@ def purge_log_folders(spark: SparkSession, path: str, schema: StructType, as_of:
     drop_folders(spark, path, DAY, dropped)
     rewritten = []
     if edge in held:  # the only day in which rows of both kinds can lie
-        rows = _read(spark, path, schema, DAY, StringType()).filter(F.col(DAY) == edge)
+        rows = read_log(spark, path, schema).filter(F.col(DAY) == edge)
         if not rows.filter(F.col("created_at") < low).isEmpty():
             replace_folders(rows.filter(F.col("created_at") >= low), path, DAY, [edge])
             rewritten = [edge]
@@ -149,7 +154,7 @@ def purge_policy_folders(spark: SparkSession, path: str, schema: StructType, tok
     told["kept"] = [d for d in sorted(held) if d not in asked]
     if not asked:
         return told
-    log = _read(spark, path, schema, DAY, StringType()).filter(F.col(DAY).isin(asked))
+    log = read_log(spark, path, schema).filter(F.col(DAY).isin(asked))
     until = F.col("created_at") + F.col("retention_days") * 86_400
     counts = (log.select(DAY, "user_label", "created_at").join(days, F.col("user_label") == F.col("_label"), "left")
               .groupBy(DAY).agg(F.count_if(until < as_of).alias("due"), F.count(F.lit(1)).alias("n"),
@@ -169,8 +174,57 @@ def purge_policy_folders(spark: SparkSession, path: str, schema: StructType, tok
     return told
 
 
-def _ledger(spark: SparkSession, path: str) -> dict[str, dict]:
-    fs, place = _fs(spark, f"{path}/{_LEDGER}")
+# --- Daily sums of a log ---------------------------------------------------------------------------------------------
+
+_SUMMED = "_summed.json"
+MOST_PARTS = 8  # files of one day's sums before they are merged
+_SUMS = StructType([StructField("user_label", StringType()), *[StructField(n, LongType()) for n in MEASURES]])
+
+
+def update_daily(spark: SparkSession, log_path: str, schema: StructType, daily_path: str,
+                 priced: Callable[[DataFrame], DataFrame]) -> dict[str, list[str]]:
+    """Bring a stored table of daily sums up to date with a stored log, reading only files that are new to it.
+
+    New files of a day, late rows included, add rows that hold their sums alone; a day of which files are gone (purged,
+    rewritten) is summed anew, as is one whose last update was broken off. Days ``added``, ``redone``, ``dropped``
+    and ``merged``.
+    """
+    held = folders(spark, log_path, DAY)
+    # Without a ledger nothing is known of sums that are there.
+    known = _ledger(spark, daily_path, _SUMMED) or {d: {"files": [], "open": True} for d in folders(spark, daily_path, DAY)}
+    new = {d: sorted(set(files) - set(known.get(d, {}).get("files", ()))) for d, files in held.items()}
+    redone = [d for d in sorted(held) if d in known and (known[d]["open"] or set(known[d]["files"]) - set(held[d]))]
+    added = [d for d in sorted(held) if new[d] and d not in redone]
+    dropped = sorted(set(known) - set(held))
+    state = {d: {"files": list(held[d]), "open": False} for d in held}
+    # What is about to change is open until all of it is written.
+    _note(spark, daily_path, {**known, **state, **{d: {"files": [], "open": True} for d in [*redone, *added]}}, _SUMMED)
+    drop_folders(spark, daily_path, DAY, dropped)
+    if redone:
+        rows = read_log(spark, log_path, schema).filter(F.col(DAY).isin(redone))
+        replace_folders(daily_sums(priced(rows)), daily_path, DAY, redone)
+    if added:
+        paths = [f"{log_path}/{DAY}={d}/{name}" for d in added for name in new[d]]
+        files = spark.read.schema(StructType([*schema.fields, StructField(DAY, StringType())])).option("basePath", log_path)
+        rows = daily_sums(priced(files.parquet(*paths)))
+        rows.hint("rebalance", F.col(DAY)).write.mode("append").partitionBy(DAY).parquet(daily_path)
+    _note(spark, daily_path, state, _SUMMED)
+    crowded = sorted(d for d, files in folders(spark, daily_path, DAY).items() if len(files) > MOST_PARTS)
+    if crowded:
+        rows = merged_sums(_read(spark, daily_path, _SUMS, DAY, StringType()).filter(F.col(DAY).isin(crowded)))
+        replace_folders(rows, daily_path, DAY, crowded)
+    return {"added": added, "redone": redone, "dropped": dropped, "merged": crowded}
+
+
+def read_daily(spark: SparkSession, daily_path: str) -> DataFrame:
+    """``dt, user_label`` and the measures; a day and user may have several rows, whose measures add up."""
+    return _read(spark, daily_path, _SUMS, DAY, StringType())
+
+
+# --- What is known of a table, in a small file beside it ---------------------------------------------------------------
+
+def _ledger(spark: SparkSession, path: str, name: str = _LEDGER) -> dict[str, dict]:
+    fs, place = _fs(spark, f"{path}/{name}")
     if not fs.exists(place):
         return {}
     stream = fs.open(place)
@@ -180,10 +234,10 @@ def _ledger(spark: SparkSession, path: str) -> dict[str, dict]:
         stream.close()
 
 
-def _note(spark: SparkSession, path: str, ledger: dict[str, dict]) -> None:
-    """One entry for each day of the table; a broken write leaves no ledger, and the days are counted once more."""
-    fs, place = _fs(spark, f"{path}/{_LEDGER}")
-    _, fresh = _fs(spark, f"{path}/{_LEDGER}.new")
+def _note(spark: SparkSession, path: str, ledger: dict[str, dict], name: str = _LEDGER) -> None:
+    """One entry for each day of the table. The new ledger takes the place of the old one when it is whole."""
+    fs, place = _fs(spark, f"{path}/{name}")
+    _, fresh = _fs(spark, f"{path}/{name}.new")
     stream = fs.create(fresh, True)
     try:
         stream.write(bytearray(json.dumps(ledger).encode()))

@@ -42,9 +42,9 @@ def stream_stats(log: DataFrame, delay: str = "10 minutes") -> DataFrame:
                     "total_output", usd(F.col("cost")).alias("total_cost"), usd(F.col("saved")).alias("total_saved")))
 
 
-def stream_usage(chunks: DataFrame) -> DataFrame:
+def stream_usage(chunks: DataFrame, idle_seconds: int = 3600) -> DataFrame:
     """Token usage per streamed response, from its chunks; ``complete`` is 0 for one that stalled."""
-    return sse_usage(assemble_transcripts(chunks)).select("request_id", "input_tokens", "output_tokens", "complete")
+    return sse_usage(assemble_transcripts(chunks, idle_seconds)).select("request_id", "input_tokens", "output_tokens", "complete")
 
 
 def stream_metrics(chunks: DataFrame, requests: DataFrame, prices=PRICES) -> DataFrame:

@@ -119,27 +119,36 @@ def assemble_transcripts(chunks: DataFrame, idle_seconds: int = 3600, delay: str
     """Whole transcripts from a stream of ``request_id, provider, seq, chunk, is_last, created_at``.
 
     One row per response: when its last chunk has arrived, with ``complete`` 1, or with what has arrived and
-    ``complete`` 0 when it has stalled for ``idle_seconds``.
+    ``complete`` 0 when it has stalled for ``idle_seconds``. What is delivered again afterwards, as late as the watermark
+    lets it come, changes nothing: a mark stays behind for so long.
     """
     def step(key, batches, state):
         import json
 
         import pandas as pd
+        def leave_mark(event_ms: int):
+            state.update(("", ""))
+            _keep_until(state, event_ms + idle_seconds * 1000)
+
         if state.hasTimedOut:
+            if not state.get[0]:
+                state.remove()
+                return
             parts, provider = json.loads(state.get[0]), state.get[1]
-            state.remove()
+            leave_mark(state.getCurrentWatermarkMs())
             parts.pop("end", None)
             yield pd.DataFrame({"request_id": [key[0]], "provider": [provider],
                                 "raw": ["".join(parts[k] for k in sorted(parts, key=int))], "complete": [0]})
             return
+        if state.exists and not state.get[0]:
+            return
         parts = dict(json.loads(state.get[0])) if state.exists else {}
         rows = _sorted(batches, ["seq"])
         end = int(rows.loc[rows["is_last"] == 1, "seq"].max()) if (rows["is_last"] == 1).any() else None
         parts.update({str(s): c for s, c in zip(rows["seq"].tolist(), rows["chunk"].tolist())})
         end = end if end is not None else parts.get("end")
         if end is not None and len([k for k in parts if k != "end"]) == end + 1:
-            if state.exists:
-                state.remove()
+            leave_mark(int(rows["created_at"].max()) * 1000)
             yield pd.DataFrame({"request_id": [key[0]], "provider": [rows["provider"].iloc[0]],
                                 "raw": ["".join(parts[str(i)] for i in range(end + 1))], "complete": [1]})
             return
