@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,20 +14,28 @@ from trafficlens.llm.common import shared_dir
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "a  b", "a   b", "x \n y", "x\n y", "\n\n", "  lead", "trail  ", "don't we'll", "a\x1cb \x85c", "  q",
-       "é漢字 😀", "<|endoftext|> x", "1,234.5 _a_", "tab\tx", " w   w"]
+       "é漢字 😀", "<|endoftext|> x", "a <|endoftext|> b", "x<|endoftext|>", "y <|endoftext|><|endoftext|>z w", "1,234.5 _a_", "tab\tx", " w   w"]
 
 
 def plain_ids(texts):
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(BPE)  # as it is: the content of an added token is that token
     return [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab é'sS1._\n\t \x1c 漢")), min_size=1, max_size=4))
 def test_units_encode_as_whole_texts(texts):
-    made = tokenfiles.encoder(BPE)(texts)
-    assert [np.frombuffer(m, "<u4").tolist() for m in made] == plain_ids(texts)
+    made = tokenfiles.encoder(BPE)(pa.array(texts))
+    assert [m.tolist() for m in made] == plain_ids(texts)
+
+
+def test_odd_texts_encode_as_whole_texts():
+    long = ["word " * 30_000 + "<|endoftext|>", "x" * 5000, " ".join("ab" * k for k in range(300))]
+    encode = tokenfiles.encoder(BPE)
+    for texts in (ODD, ODD[::-1], [t + " " + u for t in ODD for u in ODD], long):
+        assert [m.tolist() for m in encode(pa.array(texts))] == plain_ids(texts)
+    assert [m.tolist() for m in encode(pa.array([None, "a b"], pa.string()))] == [[], *plain_ids(["a b"])]
+    assert encode(pa.array([], pa.string())) == []
 
 
 @settings(max_examples=150, deadline=None)

@@ -22,13 +22,13 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 from dataclasses import dataclass
+from itertools import repeat
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Lookup, file_system, materialise, per_process, shared_dir, table, unique_name
+from .common import TABLE_BYTES, file_system, kept_by, materialise, shared_dir, table, unique_name
 
 MAGIC = b"PFR1"
 BLOCK = 4096
@@ -61,22 +61,52 @@ def pack_block(values, percentile: float = PERCENTILE) -> bytes:
                      places.astype("<u2").tobytes(), high[places].astype("<u4").tobytes()))
 
 
+def unpack_blocks(raw, starts):
+    """The values of the blocks that start at these places, end to end; blocks of one width are unpacked together."""
+    import numpy as np
+    heads = [struct.unpack_from(_HEAD, raw, at) for at in starts]
+    out: list = [None] * len(heads)
+    alike: dict = {}
+    for k, (_, width, _, _, n) in enumerate(heads):
+        alike.setdefault((width, n % 8 and k), []).append(k)  # bytes of a block fall apart into groups of eight values
+    for (width, _), blocks in alike.items():
+        packed = [np.frombuffer(raw, np.uint8, (heads[k][4] * width + 7) // 8, starts[k] + _HEAD_SIZE) for k in blocks]
+        ends = np.cumsum([heads[k][4] for k in blocks])
+        for k, values in zip(blocks, np.split(_unpacked(np.concatenate(packed), int(ends[-1]), width), ends[:-1])):
+            out[k] = values
+    for values, at, (low, width, _, exceptions, n) in zip(out, starts, heads):
+        at += _HEAD_SIZE + (n * width + 7) // 8
+        places = np.frombuffer(raw, "<u2", exceptions, at)
+        values[places] += np.frombuffer(raw, "<u4", exceptions, at + 2 * exceptions) << np.uint32(width)
+        values += np.uint32(low)
+    return np.concatenate(out)
+
+
 def unpack_block(raw, at: int = 0):
     """The values of the block that starts at ``at``."""
+    return unpack_blocks(raw, [at])
+
+
+def _unpacked(packed, n: int, width: int):
+    """``n`` values of ``width`` bits. Eight of them fill ``width`` bytes, so each of the eight always lies at the same
+    bits of those and is put together for all groups at once."""
     import numpy as np
-    low, width, _, exceptions, n = struct.unpack_from(_HEAD, raw, at)
-    at += _HEAD_SIZE
-    size = (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=n * width).reshape(n, width)
-    lane = 8 if width <= 8 else 16 if width <= 16 else 32
-    wide = np.zeros((n, lane), np.uint8)
-    wide[:, lane - width:] = bits
-    values = np.packbits(wide, axis=1).view({8: ">u1", 16: ">u2", 32: ">u4"}[lane]).ravel().astype(np.uint32)
-    at += size
-    places = np.frombuffer(raw, "<u2", exceptions, at)
-    high = np.frombuffer(raw, "<u4", exceptions, at + 2 * exceptions)
-    values[places] += high << np.uint32(width)
-    return values + np.uint32(low)
+    groups = -(-n // 8)
+    whole = np.zeros(groups * width, np.uint8)
+    whole[:len(packed)] = packed
+    kind = np.uint32 if width <= 25 else np.uint64  # a value may lie in as many bytes
+    held = np.zeros((width + 1, groups), kind)
+    held[:width] = whole.reshape(groups, width).T
+    out = np.empty((groups, 8), np.uint32)
+    mask = kind((1 << width) - 1)
+    for k in range(8):
+        first, skip = divmod(k * width, 8)
+        used = -(-(skip + width) // 8)
+        value = held[first]
+        for j in range(1, used):
+            value = value << kind(8) | held[first + j]
+        out[:, k] = value >> kind(max(0, 8 * used - skip - width)) & mask
+    return out.ravel()[:n]
 
 
 class Writer:
@@ -161,79 +191,139 @@ def read_range(stream, index: Index, first: int, count: int):
     begin = int(index.starts[a])
     stream.seek(begin)
     raw = stream.read(end - begin)
-    values = np.concatenate([unpack_block(raw, int(s) - begin) for s in index.starts[a:b + 1]])
+    values = unpack_blocks(raw, [int(s) - begin for s in index.starts[a:b + 1]])
     return values[first - a * index.block:][:count]
 
 
-#: Fixed values of byte-level BPE: the splitting pattern, and the characters that stand for bytes in its vocabulary
-#: (a byte that prints in Latin-1 stands for itself, the others for the characters from 256 on, in order).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PRINTS = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+class Units:
+    """Ids of words after a space, numbered as they come, up to about ``limit`` bytes; number 0 is every odd word.
+
+    A full table starts anew with the words at hand, so frequent words are soon back.
+    """
+
+    def __init__(self, encode, leads, limit: int = 6 * TABLE_BYTES):
+        self.encode, self.leads, self.limit = encode, leads, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        import numpy as np
+        self.number, self.size = {}, 0
+        self.flat, self.ends, self.n = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int32), 1
+
+    def add(self, flat, ends) -> int:
+        """Append lists of ids, given end to end; returns the number of the first."""
+        import numpy as np
+        first, held = self.n, int(self.ends[self.n])
+        while held + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        while first + len(ends) >= len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        self.flat[held:held + len(flat)] = flat
+        self.ends[first + 1:first + 1 + len(ends)] = np.asarray(ends) + held
+        self.n += len(ends)
+        return first
+
+    def drop(self, first: int) -> None:
+        """Forget the lists from that number on."""
+        self.n = first
+
+    def numbers(self, words: list[str]):
+        """Number of each of the distinct words."""
+        import numpy as np
+        if self.size > self.limit:
+            self._clear()
+        found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        new = [words[k] for k in missing.tolist()]
+        good = np.array([bool(w) and not (w[0].isspace() or w[-1].isspace()) for w in new], bool)
+        found[missing] = 0
+        if good.any():
+            simple = [w for w, ok in zip(new, good.tolist()) if ok]
+            [ids] = self.encode([" " + " ".join(simple)])
+            starts = np.flatnonzero(self.leads[ids])  # one for each word
+            if len(starts) != len(simple):
+                raise ValueError("the tokenizer is not a byte-level one that cuts before a space")
+            first = self.add(ids, np.append(starts[1:], len(ids)))
+            found[missing[good]] = np.arange(first, first + len(simple))
+            self.size += 4 * len(ids) + 200 * len(simple) + sum(map(len, simple))
+        self.number.update(zip(new, found[missing].tolist()))
+        return found
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level BPE tokenizer, as little-endian 32-bit bytes.
+    """Ids of whole texts by a byte-level BPE tokenizer.
 
     Byte-level BPE works on pieces that its splitting pattern cuts off, and the pattern always cuts before a single
-    space that follows another character and is followed by a word. Such units are encoded once per worker and looked
-    up: cut by the pattern, then handed to the tokenizer's model. Texts with longer runs of white space, where the
-    pattern looks further, are handed to the tokenizer whole.
+    space that follows another character and is followed by a word. So a text is its first word and then units of a space
+    and a word. Units are numbered a slice of texts at a time; those that the worker does not know yet go to the
+    tokenizer in one text, whose ids fall apart again at those that begin with a space. The ids of the slice are gathered from
+    those of its units. Texts with longer runs of white space, where the pattern looks further, and those that hold an
+    added token are handed to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         import os
-        import re
 
-        import regex
+        import numpy as np
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.odd = re.compile(r"[\x1c-\x1f\x85]")  # white space to some libraries only
-        self.cut = regex.compile(PATTERN).findall
-        others = iter(range(256, 512))
-        self.stands_for = {b: chr(b) if b in _PRINTS else chr(next(others)) for b in range(256)}
-        self.known, self.units = Lookup(self.piece, 400_000), Lookup(self.after_space, 500_000)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        space = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]  # what stands for a space in the vocabulary
+        vocabulary = self.tokenizer.get_vocab()
+        leads = np.zeros(max(vocabulary.values()) + 1, bool)
+        leads[[i for piece, i in vocabulary.items() if piece[0] == space]] = True
+        self.units = Units(self.encode, leads)
+
+    def encode(self, texts: list[str]) -> list:
+        import numpy as np
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts) -> list:
+        """Ids of each text of a string column, as uint32 arrays."""
         import numpy as np
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def after_space(self, word: str) -> bytes | None:
-        """Ids of a space and the word after it; None if the pattern may look beyond them."""
-        if not word or word[0].isspace() or word[-1].isspace():
-            return None
-        if word.isalpha():
-            return self.piece(" " + word)
-        if self.odd.search(word):
-            return self.encode([" " + word])[0]
-        return b"".join([self.known[p] for p in self.cut(" " + word)])
-
-    def piece(self, piece: str) -> bytes:
-        marked = piece.encode("utf-8").decode("latin-1").translate(self.stands_for)
-        return array("I", [t.id for t in self.model.tokenize(marked)]).tobytes()
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            head, *words = text.split(" ")
-            try:
-                if not head or head[-1].isspace():
-                    raise TypeError
-                out.append(self.encode([head])[0] + b"".join(map(self.units.__getitem__, words)))
-            except TypeError:  # a unit without ids of its own
-                out.append(self.encode([text])[0])
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        if not len(texts):
+            return []
+        texts, units = pc.fill_null(texts, ""), self.units
+        whole = np.asarray(pc.equal(texts, ""))
+        for token in self.added:
+            whole = whole | np.asarray(pc.match_substring(texts, token))
+        words = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+        offsets = np.asarray(words.offsets)
+        starts = offsets[:-1]
+        coded = pc.dictionary_encode(words.values)
+        code = np.asarray(coded.indices)
+        # The first word of a text has no space before it: it is a unit of its own.
+        after = np.ones(len(code), bool)
+        after[starts] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[code[after]] = True
+        number = np.zeros(len(used), np.int64)
+        number[used] = units.numbers(coded.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist())
+        unit = number[code]
+        heads = words.values.take(pa.array(starts)).to_pylist()
+        unit[starts] = [-1 if h and not h[-1].isspace() else 0 for h in heads]
+        whole |= np.logical_or.reduceat(unit == 0, starts)
+        plain = np.flatnonzero(~whole)
+        first = self.encode([heads[k] for k in plain])
+        mark = units.add(np.concatenate([*first, np.empty(0, np.uint32)]), np.cumsum([len(f) for f in first], dtype=np.int64))
+        unit[starts] = 0
+        unit[starts[plain]] = mark + np.arange(len(plain))
+        lists = pa.ListArray.from_arrays(pa.array(units.ends[:units.n + 1]), pa.array(units.flat))
+        found = lists.take(pa.array(unit))
+        out = np.split(np.asarray(found.values), np.asarray(found.offsets)[offsets[1:-1]])
+        units.drop(mark)
+        odd = np.flatnonzero(whole)
+        for k, ids in zip(odd, self.encode(texts.take(pa.array(odd)).to_pylist())):
+            out[k] = ids
         return out
 
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file."""
-    return per_process(f"encoder {path}", lambda: Encoder(path))
+    return kept_by("tokens", path, lambda: Encoder(path))
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text",
@@ -249,18 +339,18 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
         import pyarrow as pa
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer), np.array([end_id], "<u4")
         writer = path = None
         for batch in batches:
             ids, column = batch.column("doc_id").to_pylist(), batch.column("text")
             for at in range(0, len(ids), 512):
-                for i, raw in zip(ids[at:at + 512], encode(column.slice(at, 512).to_pylist())):
+                for i, found in zip(ids[at:at + 512], encode(column.slice(at, 512))):
                     if writer is None:
                         fs, at_path = file_system(folder)
                         fs.create_dir(at_path, recursive=True)
                         path = unique_name(part, ".pfr")
                         writer = Writer(fs.open_output_stream(f"{at_path}/{path}"), block, percentile)
-                    writer.add(i, np.frombuffer(raw + end, "<u4"))
+                    writer.add(i, np.concatenate((found, end)))
         if writer is not None:
             size = writer.close()
             yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{path}", "part": part,
