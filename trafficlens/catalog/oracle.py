@@ -683,8 +683,10 @@ add("classifier_hook", r"""
 SELECT prompt_id, CASE WHEN n < 50 THEN 'simple' WHEN n > 70 THEN 'complex' ELSE 'standard' END AS classified
 FROM (SELECT prompt_id, len(regexp_extract_all(substr(prompt, 1, 500), '\S+')) AS n FROM prompts)""")
 add("embedder_hook", """
-SELECT prompt_id, CAST(26 AS BIGINT) AS dims, CASE WHEN regexp_matches(prompt, '[A-Za-z]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
-  AS norm FROM prompts""")
+SELECT prompt_id, CAST(k AS BIGINT) AS dim,
+  round(CAST(coalesce(n / nullif(sqrt(sum(n * n) OVER (PARTITION BY prompt_id)), 0), 0) AS DOUBLE), 3) AS val
+FROM (SELECT prompt_id, k, CAST(length(low) - length(replace(low, chr(CAST(97 + k AS INTEGER)), '')) AS DOUBLE) AS n
+  FROM (SELECT prompt_id, lower(prompt) AS low FROM prompts) p, (SELECT unnest(range(26)) AS k) letters) q""")
 
 # --- Whole gateway -----------------------------------------------------------------------------------------------------------
 

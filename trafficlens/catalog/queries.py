@@ -867,11 +867,10 @@ def classifier_hook(v):
 
 @query
 def embedder_hook(v):
-    """Norm and dimension of the vectors of a stand-in model."""
+    """The vectors of a stand-in model, a row for each of their values."""
     out = hooks.embed(v.prompts.select("prompt_id", "prompt"), "prompt", hooks.letter_embedder)
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return out.select("prompt_id", F.size("embedding").cast("bigint").alias("dims"),
-                      F.round(norm, 3).alias("norm"))
+    return out.select("prompt_id", F.posexplode("embedding").alias("dim", "val")).select(
+        "prompt_id", flag("dim").alias("dim"), F.round(F.col("val").cast("double"), 3).alias("val"))
 
 
 # --- Whole gateway ------------------------------------------------------------------------------------------------
