@@ -124,20 +124,20 @@ class Memo:
 
 
 class Lookup(dict):
-    """Value of a string by ``make(string)``, kept by a worker up to ``limit`` bytes; a full table starts anew."""
+    """Value of a string by ``make(string)``, kept by a worker up to about ``limit`` bytes; a full table starts anew."""
 
     def __init__(self, make, limit: int = TABLE_BYTES):
         super().__init__()
         self.make, self.limit, self.size = make, limit, 0
 
     def __missing__(self, key: str):
-        from sys import getsizeof
         value = self.make(key)
-        if len(key) <= LONGEST:
+        n = len(key)
+        if n <= LONGEST:
             if self.size > self.limit:
                 self.clear()
                 self.size = 0
-            self.size += _ENTRY + getsizeof(key) + getsizeof(value)
+            self.size += n + 2 * _ENTRY  # the entry, its string and a number
             self[key] = value
         return value
 

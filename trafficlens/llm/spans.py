@@ -28,15 +28,17 @@ SENTENCES = 3
 RUN_WORDS = 15
 LONG = 12  # words of a sentence above which it is cut further
 WINDOW = 8  # pairs of words among which the least hash makes a cut; a power of two
-_END = re.compile(r"[。！？｡]+[\"'”’)\]」』]*|[.!?…]+[\"'”’)\]]*\s+|\s*[\n\r  ]\s*")
-_WORD = re.compile(WORD)
+_END = re.compile(r"[.!?…]+[\"'”’)\]]*\s+|\s*[\n\r  ]\s*")
+_ANY_END = re.compile(r"[。！？｡]+[\"'”’)\]」』]*|[.!?…]+[\"'”’)\]]*\s+|\s*[\n\r  ]\s*")
+_SPACED, _ANY = re.compile(r"\S+"), re.compile(WORD)
 
 
 def sentences(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end, words, hash) of each sentence; the parts cover the text without gaps."""
     from xxhash import xxh64_intdigest
     found, start, words_of = [], 0, splitter(text)
-    for cut in [*[m.end() for m in _END.finditer(text)], len(text)]:
+    end, word = (_END, _SPACED) if words_of is str.split else (_ANY_END, _ANY)
+    for cut in [*[m.end() for m in end.finditer(text)], len(text)]:
         if cut <= start:
             continue
         words = words_of(text[start:cut].lower())
@@ -53,7 +55,7 @@ def sentences(text: str) -> list[tuple[int, int, int, int]]:
         if len(words) <= LONG:
             out.append((start, end, len(words), xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))))
             continue
-        ends, first, at = [m.end() for m in _WORD.finditer(text, start, end)], 0, start
+        ends, first, at = [m.end() for m in word.finditer(text, start, end)], 0, start
         for last in [*next(cuts), len(words)]:
             stop = ends[last - 1] if last < len(words) else end
             part = " ".join(words[first:last]).encode("utf-8", "surrogatepass")
