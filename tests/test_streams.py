@@ -125,3 +125,34 @@ def test_a_stalled_response_is_reported_once_even_if_it_goes_on(spark, tmp_path)
     src = feed(spark, str(tmp_path / "in"), rows, "request_id bigint, provider string, seq bigint, chunk string, is_last bigint, created_at bigint", 4)
     got = sorted(tuple(r) for r in streams.run_available(streams.stream_usage(src, idle_seconds=600), "t").collect())
     assert [g for g in got if g[0] == 1] == [(1, 5, 0, 0)] and len(got) == 3
+
+
+def state_rows(stream):
+    """Groups that the state store holds after a run."""
+    query = (stream.writeStream.format("noop").option("checkpointLocation", streams.shared_dir(stream.sparkSession))
+             .outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+
+
+def test_many_keys_share_few_groups_of_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 8, raising=False)
+    t = 1_700_000_000
+    rows = [(i, f"h{i}", t + i, 1) for i in range(300)]
+    src = feed(spark, str(tmp_path / "a"), rows, "request_id bigint, request_hash string, created_at bigint, can_fill bigint", 2)
+    assert state_rows(stateful.stream_cache(src, 86_400)) <= 8
+    rows = [(i, "openai", k, "data: [DONE]\n", k, t + i) for i in range(300) for k in range(2)]
+    src = feed(spark, str(tmp_path / "b"), rows, "request_id bigint, provider string, seq bigint, chunk string, is_last bigint, created_at bigint", 2)
+    assert state_rows(stateful.assemble_transcripts(src)) <= 8
+
+
+def test_null_keys_are_a_response_and_a_hash_of_their_own(spark, tmp_path):
+    t = 1_700_000_000
+    rows = [(1, None, t, 1), (2, None, t + 1, 1), (3, "h", t + 1, 1), (4, "h", None, 1)]
+    src = feed(spark, str(tmp_path / "a"), rows, "request_id bigint, request_hash string, created_at bigint, can_fill bigint", 1)
+    got = {r.request_id: r.hit for r in streams.run_available(stateful.stream_cache(src, 300), "t").collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0}
+    rows = [(None, "openai", 0, 'data: {"usage":{"prompt_tokens":5}}\n', 1, t), (2**60 + 1, "openai", 0, "data: [DONE]\n", 1, t)]
+    src = feed(spark, str(tmp_path / "b"), rows, "request_id bigint, provider string, seq bigint, chunk string, is_last bigint, created_at bigint", 1)
+    got = {r.request_id: tuple(r)[1:] for r in streams.run_available(streams.stream_usage(src), "t").collect()}
+    assert got == {None: (5, 0, 1), 2**60 + 1: (0, 0, 1)}

@@ -1,5 +1,8 @@
 """Stateful stream operators. State is a few numbers (or one bounded list) per key and expires with event time.
 
+Operators with about as many keys as rows gather their keys in ``BUCKETS`` buckets: a bucket is one group of the state
+store, so that a micro-batch calls Python once per bucket and not once per key.
+
 Rows of one micro-batch are handled in (time, id) order, so a stream that arrives in time order gives exactly the batch
 result. The size of a micro-batch is the source's ``maxFilesPerTrigger`` / ``maxBytesPerTrigger``. Rows later than the
 watermark are dropped.
@@ -12,6 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 
+BUCKETS = 2048
+
+
+def _bucket(key: str):
+    """Bucket of a key. Null is alone in its own, so that the keys of all others stay whole numbers in pandas."""
+    return F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS))).cast("int")
+
+
 def _keep_until(state, event_ms: int) -> None:
     state.setTimeoutTimestamp(max(event_ms, state.getCurrentWatermarkMs() + 1))
 
@@ -56,29 +67,38 @@ def stream_rate_limit(requests: DataFrame, window_ms: int = 60_000, delay: str =
 
 
 def stream_cache(requests: DataFrame, ttl: int, delay: str = "1 hour") -> DataFrame:
-    """Exact-cache replay over a stream of ``request_id, request_hash, created_at, can_fill``; adds ``hit``."""
+    """Exact-cache replay over a stream of ``request_id, request_hash, created_at, can_fill``; adds ``hit``.
+
+    State: the start of each hash of a bucket that may still serve. A row without a time is not served and fills nothing.
+    """
     def step(key, batches, state):
+        import json
+
         import pandas as pd
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start = state.get[0] if state.exists else None
-        rows = _sorted(batches, ["created_at", "request_id"])
-        hits = []
-        for now, fills in zip(rows["created_at"].tolist(), rows["can_fill"].tolist()):
-            served = start is not None and (ttl == 0 or start + ttl > now)
-            hits.append(int(served))
-            if not served and fills:
-                start = now
-        if start is not None:
-            state.update((start,))
+        starts = dict(json.loads(state.get[0])) if state.exists else {}
+        if not state.hasTimedOut:
+            rows = _sorted(batches, ["created_at", "request_id"])
+            hits = []
+            for name, now, fills in zip(rows["request_hash"].tolist(), rows["created_at"].tolist(), rows["can_fill"].tolist()):
+                start = starts.get(name)
+                served = start is not None and (ttl == 0 or start + ttl > now)
+                hits.append(int(served))
+                if not served and fills and now == now:
+                    starts[name] = int(now)
+            yield pd.DataFrame({"request_id": rows["request_id"], "hit": hits})
+        if ttl:  # what is over before the watermark serves no row that may still come
+            over = state.getCurrentWatermarkMs()
+            starts = {name: start for name, start in starts.items() if (start + ttl) * 1000 >= over}
+        if starts:
+            state.update((json.dumps(list(starts.items())),))
             if ttl:
-                _keep_until(state, (start + ttl) * 1000)
-        yield pd.DataFrame({"request_id": rows["request_id"], "hit": hits})
+                _keep_until(state, (min(starts.values()) + ttl) * 1000)
+        elif state.exists:
+            state.remove()
 
     timed = _with_time(requests.select("request_id", "request_hash", "created_at", "can_fill"), "created_at", delay)
-    return timed.groupBy("request_hash").applyInPandasWithState(
-        step, "request_id bigint, hit bigint", "start bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.withColumn("bucket", _bucket("request_hash")).groupBy("bucket").applyInPandasWithState(
+        step, "request_id bigint, hit bigint", "starts string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_memory(turns: DataFrame, top_k: int = 5, ttl_seconds: int = 7200, delay: str = "1 hour") -> DataFrame:
@@ -120,45 +140,71 @@ def assemble_transcripts(chunks: DataFrame, idle_seconds: int = 3600, delay: str
 
     One row per response: when its last chunk has arrived, with ``complete`` 1, or with what has arrived and
     ``complete`` 0 when it has stalled for ``idle_seconds``. What is delivered again afterwards, as late as the watermark
-    lets it come, changes nothing: a mark stays behind for so long.
+    lets it come, changes nothing: a mark stays behind for so long. State of a bucket: the marks, as pairs of id and time
+    in binary, and the parts of the responses that have not ended.
     """
+    idle = idle_seconds * 1000
+
     def step(key, batches, state):
         import json
 
+        import numpy as np
         import pandas as pd
-        def leave_mark(event_ms: int):
-            state.update(("", ""))
-            _keep_until(state, event_ms + idle_seconds * 1000)
-
-        if state.hasTimedOut:
-            if not state.get[0]:
-                state.remove()
+        watermark = state.getCurrentWatermarkMs()
+        marks, open_ = {}, {}
+        if state.exists:
+            kept = np.frombuffer(state.get[0], np.int64).reshape(-1, 2)
+            marks = dict(kept.tolist())
+            open_ = {entry["id"]: entry for entry in json.loads(state.get[1])}
+        out, seen = [], set()
+
+        def take(rid, provider, seqs, chunks, ends, at):
+            """The rows of one response, by ``seq``; what came last of a repeated one holds."""
+            until = max((at or 0) + idle, watermark + 1)
+            if rid in marks:
+                marks[rid] = max(marks[rid], until)
                 return
-            parts, provider = json.loads(state.get[0]), state.get[1]
-            leave_mark(state.getCurrentWatermarkMs())
-            parts.pop("end", None)
-            yield pd.DataFrame({"request_id": [key[0]], "provider": [provider],
-                                "raw": ["".join(parts[k] for k in sorted(parts, key=int))], "complete": [0]})
-            return
-        if state.exists and not state.get[0]:
-            return
-        parts = dict(json.loads(state.get[0])) if state.exists else {}
-        rows = _sorted(batches, ["seq"])
-        end = int(rows.loc[rows["is_last"] == 1, "seq"].max()) if (rows["is_last"] == 1).any() else None
-        parts.update({str(s): c for s, c in zip(rows["seq"].tolist(), rows["chunk"].tolist())})
-        end = end if end is not None else parts.get("end")
-        if end is not None and len([k for k in parts if k != "end"]) == end + 1:
-            leave_mark(int(rows["created_at"].max()) * 1000)
-            yield pd.DataFrame({"request_id": [key[0]], "provider": [rows["provider"].iloc[0]],
-                                "raw": ["".join(parts[str(i)] for i in range(end + 1))], "complete": [1]})
-            return
-        if end is not None:
-            parts["end"] = end
-        state.update((json.dumps(parts), rows["provider"].iloc[0]))
-        _keep_until(state, (int(rows["created_at"].max()) + idle_seconds) * 1000)
+            known = open_.get(rid)
+            parts = dict(known["parts"]) if known else {}
+            parts.update(zip(seqs, chunks))
+            end = ends[-1] if ends else known["end"] if known else None
+            if end is not None and len(parts) == end + 1 and all(k in parts for k in range(end + 1)):
+                open_.pop(rid, None)
+                marks[rid] = until
+                out.append((rid, provider, "".join([parts[k] for k in range(end + 1)]), 1))
+            else:
+                open_[rid] = {"id": rid, "until": until, "provider": provider, "end": end, "parts": list(parts.items())}
+
+        if not state.hasTimedOut:
+            rows = _sorted(batches, ["request_id", "seq"])
+            ids = rows["request_id"].fillna(0).to_numpy(np.int64)  # null ids are alone in their bucket
+            edges = [*np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]).tolist(), len(ids)]
+            at = np.fmax.reduceat(rows["created_at"].to_numpy(np.float64), edges[:-1])
+            ids, provider, seq = ids.tolist(), rows["provider"].tolist(), rows["seq"].tolist()
+            chunk, last = rows["chunk"].tolist(), (rows["is_last"] == 1).tolist()
+            for lo, hi, when in zip(edges, edges[1:], at.tolist()):
+                seen.add(ids[lo])
+                take(ids[lo], provider[lo], seq[lo:hi], chunk[lo:hi], [seq[i] for i in range(lo, hi) if last[i]],
+                     int(when) * 1000 if when == when else None)
+        for rid in [r for r, until in marks.items() if until < watermark and r not in seen]:
+            del marks[rid]
+        for rid in [r for r, entry in open_.items() if entry["until"] < watermark and r not in seen]:
+            entry = open_.pop(rid)
+            marks[rid] = max(watermark + idle, watermark + 1)
+            out.append((rid, entry["provider"], "".join(c for _, c in sorted(entry["parts"])), 0))
+        if marks or open_:
+            state.update((np.array(list(marks.items()), np.int64).tobytes(), json.dumps(list(open_.values()))))
+            _keep_until(state, min([*marks.values(), *[entry["until"] for entry in open_.values()]]))
+        elif state.exists:
+            state.remove()
+        if out:
+            found = pd.DataFrame(out, columns=["request_id", "provider", "raw", "complete"])
+            if key[0] == -1:
+                found["request_id"] = None
+            yield found
 
     timed = _with_time(chunks.select("request_id", "provider", "seq", "chunk", "is_last", "created_at"),
                        "created_at", delay)
-    return timed.groupBy("request_id").applyInPandasWithState(
-        step, "request_id bigint, provider string, raw string, complete bigint", "parts string, provider string", "append",
+    return timed.withColumn("bucket", _bucket("request_id")).groupBy("bucket").applyInPandasWithState(
+        step, "request_id bigint, provider string, raw string, complete bigint", "marks binary, open string", "append",
         GroupStateTimeout.EventTimeTimeout)
