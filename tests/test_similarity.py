@@ -90,3 +90,19 @@ def test_a_ring_is_visited_only_by_vectors_that_may_match_there(spark):
     visits = S._visits(homes, pivots, radius, radius, reach)
     held = homes.select("cell", "ring").distinct().count()
     assert visits.count() < 0.75 * 400 * held
+
+
+def test_a_vector_travels_a_bounded_number_of_times(spark):
+    """A loose threshold rules out nothing; more vectors, and so more pivots, do not send each to more places."""
+    from pyspark.sql import functions as F
+    rng = random.Random(4)
+    for n in (100, 400):
+        rows = [(i, near(rng, [0] * 64, 1), "p", "m") for i in range(n)]
+        df = spark.createDataFrame([(*r, "", "", "") for r in rows], SCHEMA)
+        v = F.transform("embedding", lambda c: c.cast("double"))
+        classes = S._classes(df.select(F.col("vec_id").alias("id"), F.lit("").alias("key"), v.alias("v")))
+        pivots = S._pivots(classes, 10)
+        radius = math.acos(0.4)
+        homes = S._homes(classes, pivots, radius)
+        reach = [tuple(r) for r in homes.groupBy("cell").agg(F.min("angle"), F.max("angle")).collect()]
+        assert S._visits(homes, pivots, radius, radius, reach).count() <= 8 * n

@@ -7,10 +7,13 @@ inequality says which vectors can be within ``arccos(threshold)`` of each other:
 * a vector whose angle to a pivot exceeds that to its own by more than twice the radius has no neighbour in that cell;
 * in the other cells its neighbours lie in rings within the radius of its own angle.
 
-Each vector is thus sent to the few rings that may hold an earlier neighbour, and each pair meets once. Rings that hold
-or receive many vectors are cut into chunks, and every pair of chunks is a task of its own; nothing is left out. Inside a
-task a matrix product finds candidates, whose cosine is then summed in a fixed order and rounded to nine decimals, so
-that the result does not depend on how the rows were dealt out.
+Rings of neighbouring pivots make up at most ``BLOCKS`` blocks. Each vector is sent once to every block with a ring that
+may hold an earlier neighbour, so even where nothing can be ruled out (a loose threshold, or unlike vectors in many
+dimensions) it travels ``BLOCKS`` times at most, however many vectors there are. The vectors that look into a block are
+dealt to at most ``ASKERS`` tasks, each of which gets the block; more only where a part would exceed ``CELL`` vectors, as
+would a block: then every pair of parts is a task of its own; nothing is left out. Inside a task a matrix product finds
+candidates, whose cosine is then summed in a fixed order and rounded to nine decimals, so that the result does not depend
+on how the rows were dealt out.
 
 Copies of one vector are reduced to the earliest before anything is compared: the best match of a later copy is that
 one, or an even earlier vector that is just as similar.
@@ -30,13 +33,18 @@ from pyspark.sql import functions as F
 from ..sources.archive import materialise
 
 THRESHOLD = 0.94
-CELL = 4096          # vectors of one chunk
+CELL = 65536         # vectors of one chunk
+SMALL = 2048         # fewer vectors are not dealt to several tasks
+ASKERS = 16          # tasks of those that look into one block
+BLOCKS = 8           # groups of pivots
 PER_PIVOT = 2048     # vectors for each pivot
 MOST_PIVOTS = 1024   # pivots travel with the tasks
 DIGITS = 9
 _SLACK = 1e-6        # radians; far above the rounding error of an angle
 _SLICE = 512
-_PLACE = ["key", "cell", "ring"]
+_WIDE = 8192         # stored vectors of one product
+_ROUGH = 2e-5        # far above the rounding error of a product of unit vectors in single precision
+_PLACE = ["key", "block"]
 
 
 def _units(column):
@@ -63,11 +71,14 @@ def _pivots(classes: DataFrame, per_pivot: int):
     wanted = min(MOST_PIVOTS, math.ceil(classes.count() / per_pivot))
     drawn = classes.select("v", F.xxhash64("v").alias("h")).distinct().orderBy("h", "v").limit(wanted).collect()
     x = np.array([r["v"] for r in drawn], np.float64)
-    return x / np.sqrt((x * x).sum(axis=1))[:, None] if len(x) else x
+    if not len(x):
+        return x
+    x = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    return x[np.argsort(-(x @ x[0]), kind="stable")]  # numbered so that blocks hold neighbours
 
 
 def _homes(classes: DataFrame, pivots, width: float) -> DataFrame:
-    """Add ``cell``, ``angle`` (to the cell's pivot) and ``ring``."""
+    """Add ``cell``, ``angle`` (to the cell's pivot), ``ring`` and ``block`` (of cells)."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -78,41 +89,49 @@ def _homes(classes: DataFrame, pivots, width: float) -> DataFrame:
                 cell = angles.argmin(axis=1)
                 angle = angles[np.arange(len(cell)), cell]
                 ring = np.floor(angle / width)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell, pa.int32()), pa.array(angle),
-                                                  pa.array(ring, pa.int32())], names=[*part.schema.names, "cell", "angle", "ring"])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(cell, pa.int32()), pa.array(angle), pa.array(ring, pa.int32()),
+                     pa.array(_block_of(cell, len(pivots)), pa.int32())],
+                    names=[*part.schema.names, "cell", "angle", "ring", "block"])
 
-    fields = "key string, v array<double>, first bigint, cls bigint, cell int, angle double, ring int"
+    fields = "key string, v array<double>, first bigint, cls bigint, cell int, angle double, ring int, block int"
     return materialise(classes.select("key", "v", "first", "cls").mapInArrow(run, fields))
 
 
-def _visits(homes: DataFrame, pivots, radius: float, width: float, reach: list[tuple[int, float, float]]) -> DataFrame:
-    """``key, cls, first, cell, ring``: the rings in which a vector may find a neighbour; ``reach`` spans each cell."""
+def _block_of(cell, pivots: int):
+    return cell * min(BLOCKS, pivots) // max(pivots, 1)
+
+
+def _visits(homes: DataFrame, pivots, radius: float, width: float, rings: list[tuple[int, float, float]]) -> DataFrame:
+    """``key, cls, first, block``: the blocks in which a vector may find a neighbour.
+
+    ``rings`` lists the cell and the least and greatest angle of all rings (of ``width``) that hold a vector.
+    """
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        cells = np.array([c for c, _, _ in reach])
-        inner, outer = (np.array([r[k] for r in reach]) for k in (1, 2))
+        cells, at = np.unique(np.array([r[0] for r in rings], np.int64), return_inverse=True)
+        inner, outer = (np.array([r[k] for r in rings]) for k in (1, 2))
+        block = _block_of(cells[at], len(pivots))
+        order = np.argsort(block, kind="stable")
+        inner, outer, at = inner[order], outer[order], at[order]
+        blocks, starts = np.unique(block[order], return_index=True)
         near = radius + _SLACK
         for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(at, _SLICE)
+            for lo in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(lo, _SLICE)
                 angles = np.arccos(np.clip(_units(part.column("v")) @ pivots[cells].T, -1, 1))
                 own = np.asarray(part.column("angle"))[:, None]
-                # a cell at hand is [inner, outer] away from its pivot
-                row, col = np.nonzero((angles - own <= 2 * near) & (angles - near <= outer) & (angles + near >= inner))
-                met = angles[row, col]
-                low = np.floor(np.maximum(met - near, inner[col]) / width).astype(np.int64)
-                high = np.floor(np.minimum(met + near, outer[col]) / width).astype(np.int64)
-                times = np.maximum(high - low + 1, 0)
-                row, cell = np.repeat(row, times), np.repeat(cells[col], times)
-                ring = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                met = np.where(angles - own <= 2 * near, angles, np.inf)[:, at]
+                meets = (met - near <= outer) & (met + near >= inner)  # a ring is [inner, outer] away from its pivot
+                row, col = np.nonzero(np.logical_or.reduceat(meets, starts, axis=1))
                 taken = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(n).take(taken) for n in ("key", "cls", "first")]
-                    + [pa.array(cell, pa.int32()), pa.array(ring, pa.int32())], names=["key", "cls", "first", "cell", "ring"])
+                    [part.column(n).take(taken) for n in ("key", "cls", "first")] + [pa.array(blocks[col], pa.int32())],
+                    names=["key", "cls", "first", "block"])
 
     return homes.select("key", "cls", "first", "v", "angle").mapInArrow(
-        run, "key string, cls bigint, first bigint, cell int, ring int")
+        run, "key string, cls bigint, first bigint, block int")
 
 
 def _compare(threshold: float):
@@ -122,14 +141,28 @@ def _compare(threshold: float):
         import numpy as np
         import pyarrow as pa
         found = [[], [], []]
+        held, asking = held.sort_by("first"), asking.sort_by("first")
         stored, ids = _units(held.column("v")), np.asarray(held.column("first"))
+        rough = stored.astype(np.float32)
         for at in range(0, asking.num_rows, _SLICE):
             part = asking.slice(at, _SLICE)
             x, own = _units(part.column("v")), np.asarray(part.column("first"))
-            scores = np.where(ids[None, :] < own[:, None], x @ stored.T, -2.0)
-            best = scores.max(axis=1)
-            # more than the rounding of a product; the exact sums decide
-            i, j = np.nonzero((scores >= best[:, None] - 1e-8) & (best >= threshold - 1e-8)[:, None] & (scores > -2))
+            best, kept = np.full(len(x), threshold), []
+            earlier = np.searchsorted(ids, own)
+            for lo in range(0, earlier.max(), _WIDE):  # only what is earlier than some row of the slice
+                hi = min(lo + _WIDE, earlier.max())
+                scores = x.astype(np.float32) @ rough[lo:hi].T
+                if earlier[0] < hi:
+                    scores[np.arange(lo, hi)[None, :] >= earlier[:, None]] = -2
+                best = np.maximum(best, scores.max(axis=1))
+                # more than the rounding of the products; the exact sums decide
+                i, j = np.nonzero(scores >= (best - 2 * _ROUGH).astype(np.float32)[:, None])
+                kept.append((i, j + lo, scores[i, j]))
+            if not kept:
+                continue
+            i, j, score = (np.concatenate(k) for k in zip(*kept))
+            near = score >= best[i] - 2 * _ROUGH
+            i, j = i[near], j[near]
             exact = np.round((x[i] * stored[j]).sum(axis=1), DIGITS)
             order = np.lexsort((ids[j], -exact, i))
             order = order[exact[order] >= threshold]
@@ -153,7 +186,8 @@ def _best(homes: DataFrame, visits: DataFrame, threshold: float, cell: int) -> D
     held = homes.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("n_held"), F.min("first").alias("earliest"))
     visits = materialise(visits.join(held, _PLACE).where(F.col("earliest") < F.col("first")).select("cls", *_PLACE))
     sizes = visits.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("n_asking")).join(held, _PLACE).select(
-        *_PLACE, _chunks("n_asking", cell).alias("askers"), _chunks("n_held", cell).alias("holders"))
+        *_PLACE, F.greatest(F.least(_chunks("n_asking", min(SMALL, cell)), F.lit(ASKERS)), _chunks("n_asking", cell)).alias("askers"),
+        _chunks("n_held", cell).alias("holders"))
     spread = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = (visits.join(homes.select("cls", "first", "v"), "cls").join(sizes, _PLACE)
@@ -184,8 +218,9 @@ def semantic_match(vectors: DataFrame, threshold: float = THRESHOLD, keys: Seque
     classes = _classes(rows)
     pivots = _pivots(classes, per_pivot)
     homes = _homes(classes, pivots, width)
-    reach = homes.groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).collect()  # a row a pivot
-    visits = _visits(homes, pivots, radius, width, [tuple(r) for r in reach])
+    # a few rows a pivot
+    rings = homes.groupBy("cell", "ring").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).collect()
+    visits = _visits(homes, pivots, radius, width, [(r["cell"], r["low"], r["high"]) for r in rings])
     best = _best(homes, visits, threshold, cell)
     placed = rows.join(classes, ["key", "v"]).select("id", "cls", "first").join(best, "cls", "left")
     copy = F.col("id") > F.col("first")
