@@ -156,3 +156,21 @@ def test_null_keys_are_a_response_and_a_hash_of_their_own(spark, tmp_path):
     src = feed(spark, str(tmp_path / "b"), rows, "request_id bigint, provider string, seq bigint, chunk string, is_last bigint, created_at bigint", 1)
     got = {r.request_id: tuple(r)[1:] for r in streams.run_available(streams.stream_usage(src), "t").collect()}
     assert got == {None: (5, 0, 1), 2**60 + 1: (0, 0, 1)}
+
+
+def test_governed_stream_carries_no_texts(spark, tmp_path):
+    """Texts stay where they are stored: the stream meets their verdicts, and gives what it gives with its own texts."""
+    rows = [(1, "b", "openai", 1, 1_700_000_000), (2, "b", "openai", 2, 1_700_000_001), (3, "b", "openai", 9, 1_700_000_002)]
+    src = feed(spark, str(tmp_path / "in"), rows, "request_id bigint, bearer string, provider string, prompt_id bigint, created_at bigint", 2)
+    prompts = spark.createDataFrame([(1, "My SSN is 123-45-6789."), (2, None)], "prompt_id bigint, prompt string")
+    tokens = spark.createDataFrame([("b", "u", 0, None, "p", 0)], "token string, label string, rpm_limit bigint, allowed_models_csv string, policy_name string, revoked int")
+    stored = spark.createDataFrame([("p", ["ssn"], "block", True, 0.5, ["groq"], None, None, False, 1)],
+                                   "name string, detect array<string>, dlp_action string, guard_enabled boolean, block_threshold double, allowed_providers array<string>, "
+                                   "system_prepend string, system_append string, redact_output boolean, retention_days bigint")
+    config = stored.limit(0)
+    out = streams.stream_govern(src, tokens, stored, config, prompts=prompts)
+    narrow = streams.run_available(out.select("request_id", "outcome", "events"), "t").collect()
+    own = streams.stream_govern(src.join(prompts, "prompt_id", "left"), tokens, stored, config)
+    assert sorted(narrow) == sorted(streams.run_available(own.select("request_id", "outcome", "events"), "t").collect())
+    assert {r.request_id: r.outcome for r in narrow} == {1: "dlp_blocked", 2: "provider_blocked", 3: "provider_blocked"}
+    assert "prompt" not in out.columns

@@ -906,8 +906,9 @@ def _stream_of(v: Views, name: str, table: str) -> DataFrame:
 
 @query
 def stream_govern(v):
-    asked = _stream_of(v, "requests", "events").join(v.prompts, "prompt_id", "left")
-    return streams.run_available(_outcomes(streams.stream_govern(asked, v.tokens, *_policies(v))), "govern")
+    asked = _stream_of(v, "requests", "events")
+    governed = streams.stream_govern(asked, v.tokens, *_policies(v), prompts=v.prompts)
+    return streams.run_available(_outcomes(governed), "govern")
 
 
 @query
