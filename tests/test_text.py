@@ -131,3 +131,16 @@ def test_redact_message_array(spark):
     df = spark.range(1).select(F.from_json(F.lit(raw), "array<struct<role: string, content: variant>>").alias("m"))
     out = df.select(F.to_json(scan.redact_message_array(F.col("m"), ["email"])).alias("j")).first().j
     assert out == '[{"role":"user","content":"[EMAIL-REDACTED]"},{"role":"user","content":[{"text":"a@b.co","type":"text"}]}]'
+
+
+def test_a_report_works_out_its_labels_once(spark):
+    from pyspark.sql import functions as F
+
+    from trafficlens.functions import dlp
+    from trafficlens.operators import scan
+    texts = spark.createDataFrame([("SSN 123-45-6789 jo@example.org",), ("none",), (None,), ("call 743-555-3824",)], "t string")
+    labelled = scan.guard_score(texts, "t").select(F.concat("labels", dlp.found_types(F.col("t"))).alias("labels"))
+    report = scan.label_report(labelled, "labels")
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RLIKE") <= labelled._jdf.queryExecution().executedPlan().toString().count("RLIKE")
+    assert {r.label: r.n for r in report.collect()} == {"ssn": 1, "email": 1, "phone": 1}

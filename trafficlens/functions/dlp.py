@@ -23,6 +23,7 @@ _SKETCHES = {
     "phone": r"[0-9]{3}\)?[-. ]?[0-9]{3}[-. ]?[0-9]{4}",
     "passport": "[0-9]{6}",
 }
+_DIGITS = "[0-9]{3}"
 _NAMES = "array<string>"
 
 
@@ -32,7 +33,8 @@ def pattern_of(name: str) -> str:
 
 def _possible(text: Column, name: str) -> Column:
     if name in _SKETCHES:
-        return text.rlike(_SKETCHES[name])
+        # Every sketch asks for three digits in a row. That test stands first in each, so Spark makes it once a text.
+        return text.rlike(_DIGITS) & text.rlike(_SKETCHES[name])
     lowered, out = F.lower(text), F.lit(False)
     for literal in _LITERALS[name]:
         out = out | F.contains(lowered, F.lit(literal))

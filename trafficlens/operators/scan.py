@@ -45,7 +45,8 @@ def guard_score(df: DataFrame, text_col: str, threshold: float = DEFAULT_BLOCK_T
 
 def label_report(df: DataFrame, labels_col: str) -> DataFrame:
     """Rows per label of an array column."""
-    return (df.select(F.explode(labels_col).alias("label")).groupBy("label")
+    # Not ``explode``: Spark puts a filter before it that works out the array, and all patterns in it, a second time.
+    return (df.select(F.posexplode_outer(labels_col).alias("_at", "label")).filter("_at IS NOT NULL").groupBy("label")
             .agg(F.count(F.lit(1)).alias("n")))
 
 
