@@ -144,3 +144,17 @@ def test_a_report_works_out_its_labels_once(spark):
     plan = report._jdf.queryExecution().executedPlan().toString()
     assert plan.count("RLIKE") <= labelled._jdf.queryExecution().executedPlan().toString().count("RLIKE")
     assert {r.label: r.n for r in report.collect()} == {"ssn": 1, "email": 1, "phone": 1}
+
+
+def test_a_listed_type_masks_only_where_it_may_be_found(spark):
+    """Every pattern stands behind its cheap test, and results are those of the patterns alone."""
+    from pyspark.sql import functions as F
+
+    from trafficlens.functions import dlp
+    rows = [("SSN 123-45-6789 jo@example.org", ["email", "ssn", "email", "other"]), ("no such thing", ["ssn", "phone"]),
+            ("call 743-555-3824", None), (None, ["ssn"]), ("call 743-555-3824", ["phone"])]
+    df = spark.createDataFrame(rows, "t string, d array<string>")
+    out = df.select(dlp.redact_by(F.col("t"), F.col("d")).alias("t"))
+    assert [r.t for r in out.collect()] == [f"SSN {dlp.DLP_LABELS['ssn']} {dlp.DLP_LABELS['email']}", "no such thing",
+                                            "call 743-555-3824", None, f"call {dlp.DLP_LABELS['phone']}"]
+    assert "RLIKE" in out._jdf.queryExecution().executedPlan().toString()

@@ -75,7 +75,7 @@ def redact(text: Column, detect: Sequence[str], custom: Sequence[CustomPattern]
     """Replace every match, one type after the other in ``detect`` order. Most texts take no replacement at all."""
     names = [n for n in detect if n in DLP_PATTERNS]
     if names:
-        text = redact_by(text, _listed([(_possible(text, n), n) for n in names]))
+        text = _masked(text, _listed([(_possible(text, n), n) for n in names]))
     for name, rx in custom:
         label = literal_replacement(f"[{name.upper()}-REDACTED]")
         text = F.regexp_replace(text, java_pattern(rx), label)
@@ -84,6 +84,12 @@ def redact(text: Column, detect: Sequence[str], custom: Sequence[CustomPattern]
 
 def redact_by(text: Column, detect: Column) -> Column:
     """As :func:`redact`, with a list of types (and so an order) per row."""
+    possible = F.array_intersect(detect, _listed([(_possible(text, n), n) for n in DLP_TYPES]))
+    # A type that is listed twice is masked twice; an intersection would name it once.
+    return _masked(text, F.when(F.size(F.array_distinct(detect)) == F.size(detect), possible).otherwise(detect))
+
+
+def _masked(text: Column, detect: Column) -> Column:
     def step(acc: Column, name: Column) -> Column:
         out = None
         for n in DLP_TYPES:
