@@ -224,3 +224,67 @@ def test_windows_across_tiny_batches(spark, batch):
             assert len(got) == len(expected) and set(got) == expected
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def summary_batches(rng, keys, times, width, span, block, sizes):
+    """Summaries of the chunks of random points as the scans get them, in batches of random sizes; and the points."""
+    import pyarrow as pa
+    from trafficlens.operators import anchored
+
+    def batches(rows, names):
+        columns = [pa.array(list(c), pa.string() if n == "key" else pa.int64()) for n, c in zip(names, zip(*rows))]
+        whole, at = pa.RecordBatch.from_arrays(columns, names), 0
+        while at < whole.num_rows:
+            size = rng.choice(sizes)
+            yield whole.slice(at, size)
+            at += size
+    points = sorted({(f"k{rng.randrange(keys)}", rng.randrange(-300, times)) for _ in range(rng.choice(sizes) * 40)})
+    by_chunk = sorted(((k, t // span, t) for k, t in points), key=lambda r: (r[0], r[1], -r[2]))
+    found = [tuple(r.values()) for b in anchored._summaries(width, span)(batches(by_chunk, ["key", "chunk", "t"]))
+             for r in b.to_pylist()]
+    rows = sorted((k, c // block, c, u, s) for k, c, u, s in found)
+    return points, rows, batches
+
+
+def test_scans_of_summaries_in_batches_of_any_size():
+    from trafficlens.operators import anchored
+    names = ["key", "block", "chunk", "upto", "last_start"]
+    for seed in range(60):
+        rng = random.Random(seed)
+        width = rng.choice([1, 10, 40, 200])
+        span, block = rng.choice([1, 2, 16]) * (width + 1), rng.choice([1, 3, 256])
+        points, rows, batches = summary_batches(rng, 5, rng.choice([300, 3000, 20_000]), width, span, block, [1, 3, 20])
+        composed = sorted(tuple(r.values()) for b in anchored._compose(width)(batches(rows, names)) for r in b.to_pylist())
+
+        def threaded(rows):
+            out = anchored._thread_state(width)(batches(rows, [*names, "before"]))
+            return {(r["key"], r["chunk"]): r["entry"] for b in out for r in b.to_pylist()}
+        before = threaded([(k, 0, c, u, s, anchored._NONE) for k, c, u, s in composed])
+        got = threaded([(*r, before.get(r[:2], anchored._NONE)) for r in rows])
+        want, opened = {}, {}
+        for k, t in points:
+            if k in opened:
+                want.setdefault((k, t // span), opened[k])
+            else:
+                want[k, t // span] = None
+            if t - opened.get(k, t - width - 1) > width:
+                opened[k] = t
+        assert got == {at: start for at, start in want.items() if start is not None}
+
+
+def test_scans_take_no_python_step_per_chunk():
+    """A month of sparse keys: nearly every point is a chunk of its own."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+    from trafficlens.operators import anchored
+    chunk = np.arange(10_000)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["a"] * 10_000), pa.array(chunk // 256), pa.array(chunk), pa.array(chunk * 976), pa.array(chunk * 976),
+         pa.array(np.full(10_000, anchored._NONE))], ["key", "block", "chunk", "upto", "last_start", "before"])
+    began = time.process_time()
+    for scan in (anchored._compose(60), anchored._thread_state(60)):
+        for _ in range(20):
+            assert sum(b.num_rows for b in scan([batch])) > 0
+    assert time.process_time() - began < 2

@@ -36,12 +36,12 @@ def _int64(column):
     return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
 
 
-def _groups(batch, before):
-    """Group number of each row of a batch sorted by (key, chunk), its chunks, and whether the batch goes on with the
+def _groups(batch, before, part="chunk"):
+    """Group number of each row of a batch sorted by (key, ``part``), its parts, and whether the batch goes on with the
     group ``before`` of the last one."""
     import numpy as np
     import pyarrow.compute as pc
-    key, chunk = batch.column("key"), _int64(batch.column("chunk"))
+    key, chunk = batch.column("key"), _int64(batch.column(part))
     new = (pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False).astype(bool)
            | (chunk[1:] != chunk[:-1]))
     return np.r_[0, np.cumsum(new)], chunk, before == (key[0].as_py(), chunk[0])
@@ -95,83 +95,127 @@ def _summaries(width: int, span: int):
     return run
 
 
-def _chunks(batches, columns):
-    """From rows sorted by (key, block, chunk): key, block, chunk and the named columns of one chunk after the other."""
+def _onward(group, upto, after):
+    """For each summary, the first one of its group whose ``upto`` lies beyond ``after``; itself where there is none.
+
+    Within a group ``upto`` ascends from chunk to chunk, so the chunks that leave a state alone are skipped by one search.
+    """
     import numpy as np
-    now, held = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        block, chunk = _int64(batch.column("block")), _int64(batch.column("chunk"))
-        group, _, _ = _groups(batch, None)  # a block is a range of chunks
-        edges = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist(), batch.num_rows]
-        values = [_int64(batch.column(c)) for c in columns]
-        for lo, hi in zip(edges, edges[1:]):
-            here = (batch.column("key")[lo].as_py(), int(block[lo]), int(chunk[lo]))
-            if here != now and held:
-                yield now, [np.concatenate(h) for h in zip(*held)]
-                held = []
-            now = here
-            held.append([v[lo:hi] for v in values])
-    if held:
-        yield now, [np.concatenate(h) for h in zip(*held)]
+    n = len(upto)
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    low = upto[first][group]
+    stride = int((upto - low).max()) + 3
+    axis = group * stride + (upto - low) + 1
+    at = np.searchsorted(axis, group * stride + np.clip(after - low, -1, stride - 3) + 1, side="right")
+    end = np.r_[first[1:], n][group]
+    return np.where(at < end, at, np.arange(n))
 
 
 def _compose(width: int):
-    """From summaries of chunks, sorted by key, block, chunk and ``upto``, those of blocks, in the same form."""
+    """From summaries of chunks, sorted by key, block, chunk and ``upto``, those of blocks, in the same form.
+
+    A state that enters the block at a summary goes on from its ``last_start`` to the next summary that this one's window
+    does not cover, and so on to the end. All summaries of a batch are followed at once, in doubling steps.
+    """
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        place, upto, last = None, None, None
+        place, begins, upto, last = None, 0, None, None
+
+        def rows(key, block, upto, last):
+            return pa.RecordBatch.from_arrays([key, pa.array(block), pa.array(upto), pa.array(last)],
+                                              ["key", "chunk", "upto", "last_start"])
 
-        def told():
+        def told(upto, last):
             n = len(upto)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([place[0]] * n, pa.string()), pa.array(np.full(n, place[1])), pa.array(upto), pa.array(last)],
-                ["key", "chunk", "upto", "last_start"])
-
-        for (key, block, _), (ends, starts) in _chunks(batches, ["upto", "last_start"]):
-            if (key, block) != place:
-                if place is not None:
-                    yield told()
-                place, upto, last = (key, block), ends, starts
+            return rows(pa.array([place[0]] * n, pa.string()), np.full(n, place[1]), upto, last)
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            # What the chunks so far make of a state goes through this one; a state that they leave alone meets it as it is.
-            at = np.searchsorted(ends, last + width, side="right")
-            through = np.where(at < len(ends), starts[np.minimum(at, len(ends) - 1)], last)
-            beyond = ends > upto[-1]
-            upto, last = np.r_[upto, ends[beyond]], np.r_[through, starts[beyond]]
-            keep = np.r_[last[1:] != last[:-1], True]
-            upto, last = upto[keep], last[keep]
+            block = _int64(batch.column("block"))
+            group, _, goes_on = _groups(batch, place, "block")
+            if place is not None and not goes_on:
+                yield told(upto, last)
+            held = len(upto) if goes_on else 0
+            ends, starts = _int64(batch.column("upto")), _int64(batch.column("last_start"))
+            if held:
+                ends, starts = np.r_[upto, ends], np.r_[last, starts]
+                group = np.r_[np.zeros(held, np.int64), group]
+            to = _onward(group, ends, starts + width)
+            while not np.array_equal(further := to[to], to):
+                to = further
+            final = starts[to]
+            # Only states from before the block enter it: they run out below its first time plus the width.
+            first = np.r_[True, group[1:] != group[:-1]]
+            low = ends[first]
+            if goes_on:
+                low[0] = begins
+            low = low[group]
+            entry = np.flatnonzero(first | np.r_[False, ends[:-1] - low[:-1] < width])
+            keep = entry[np.r_[(group[entry][1:] != group[entry][:-1]) | (final[entry][1:] != final[entry][:-1]), True]]
+            done = keep[group[keep] < group[-1]]
+            if len(done):
+                here = done[done >= held] - held
+                if held:
+                    yield told(ends[done[done < held]], final[done[done < held]])
+                yield rows(batch.column("key").take(pa.array(here)), block[here], ends[here + held], final[here + held])
+            rest = keep[group[keep] == group[-1]]
+            if not (goes_on and group[-1] == 0):
+                begins = int(low[-1])
+            place, upto, last = (batch.column("key")[n - 1].as_py(), int(block[-1])), ends[rest].copy(), final[rest].copy()
         if place is not None:
-            yield told()
+            yield told(upto, last)
     return run
 
 
 def _thread_state(width: int):
     """From summaries sorted by key, block, chunk and ``upto``, each with the state ``before`` its block: the start of
-    the window that each chunk is entered in."""
+    the window that each chunk is entered in.
+
+    The summaries that the state of a block meets are marked all at once, in doubling steps from the first.
+    """
     def run(batches):
+        import numpy as np
         import pyarrow as pa
-        place, start, out = None, None, ([], [], [])
-
-        def told():
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()),
-                                               pa.array(out[2], pa.int64())], ["key", "chunk", "entry"])
-
-        for (key, block, chunk), (ends, starts, before) in _chunks(batches, ["upto", "last_start", "before"]):
-            if (key, block) != place:
-                place, start = (key, block), None if before[0] == _NONE else int(before[0])
-            if start is not None:
-                for column, value in zip(out, (key, chunk, start)):
-                    column.append(value)
-            at = 0 if start is None else int(ends.searchsorted(start + width, side="right"))
-            if at < len(ends):
-                start = int(starts[at])
-            if len(out[0]) >= 4096:
-                yield told()
-                out = ([], [], [])
-        yield told()
+        place, at_chunk, state = None, None, _NONE
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            chunk = _int64(batch.column("chunk"))
+            ends, starts = _int64(batch.column("upto")), _int64(batch.column("last_start"))
+            group, block, goes_on = _groups(batch, place, "block")
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            enters = _int64(batch.column("before"))[first]
+            if goes_on:
+                enters[0] = state
+            to = _onward(group, ends, starts + width)
+            # Where the state that a block is entered in runs out: its first summary, when there is none.
+            after = np.where(enters == _NONE, ends[first] - 1, enters + width)
+            met = np.zeros(n, bool)
+            head = first.copy()
+            late = np.flatnonzero(ends[first] <= after)
+            if len(late):
+                head[late] = _onward(group, ends, after[group])[first[late]]
+                late = late[head[late] == first[late]]  # the state outlasts all summaries here
+            met[np.delete(head, late)] = True
+            while True:
+                met[to[met]] = True
+                if np.array_equal(further := to[to], to):
+                    break
+                to = further
+            latest = np.maximum.accumulate(np.where(met, np.arange(n), -1))
+            latest = np.where(latest >= first[group], latest, -1)
+            left = np.where(latest >= 0, starts[latest], enters[group])  # the state after each summary
+            opens = np.r_[not (goes_on and chunk[0] == at_chunk), (group[1:] != group[:-1]) | (chunk[1:] != chunk[:-1])]
+            into = np.r_[_NONE, left[:-1]]
+            into[first] = enters
+            told = np.flatnonzero(opens & (into != _NONE))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(told)), pa.array(chunk[told]),
+                                              pa.array(into[told])], ["key", "chunk", "entry"])
+            place, at_chunk, state = (batch.column("key")[n - 1].as_py(), int(block[-1])), int(chunk[-1]), int(left[-1])
     return run
 
 
