@@ -24,3 +24,20 @@ def test_cuts_are_the_least_pairs_of_windows():
             want.update(k + c for c in spans._cuts([words[k:k + 9]])[0])
         assert sorted(want) == whole
         assert [p[2] for p in spans.sentences(text)] == [b - a for a, b in zip([0, *whole], [*whole, len(words)])]
+
+
+def test_runs_that_stand_alone_are_left_out_in_one_shuffle(spark):
+    rng = random.Random(14)
+    rows = [(k, k % 7, 0, 3, rng.choice((5, rng.randrange(-800, 800)))) for k in range(3000)]
+    want = [h for *_, h in rows]
+    want = sorted(r for r in rows if want.count(r[-1]) > 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        every = spark.createDataFrame(rows, "doc_id bigint, k_text bigint, first int, count int, h bigint")
+        shared = spans._shared(every)
+        assert sorted(map(tuple, shared.collect())) == want
+        assert spans._shared(every.where("false")).count() == 0
+        plan = shared._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Repartition") == 1 and "Join" not in plan and "Aggregate" not in plan
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
