@@ -73,3 +73,34 @@ def test_odd_documents(odd_docs, no_docs):
     kept = shingles.drop_similar(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() == len({r.component_id for r in got})
     assert shingles.similar_groups(no_docs).count() == 0
+
+
+def test_fingerprints_are_simhash_of_the_shingles():
+    rng = random.Random(15)
+    for n in (0, 1, 4, 5, 6, 30, 5000):
+        found = shingles.shingles(prose(rng, n)) if n else shingles.shingles(None)
+        votes = [sum(int(h) >> k & 1 for h in found) for k in range(64)]
+        assert shingles.fingerprint(found) == sum(1 << k for k, v in enumerate(votes) if 2 * v > len(found))
+
+
+def test_the_stage_searches_by_simhash_first(spark, monkeypatch):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    prints = shingles.shingle_prints(df).cache()
+    sim = {r.fp: r.sim % 2**64 for r in prints.collect()}
+    root = {fp: fp for fp in sim}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+    for a, b in shingles.close_pairs(prints).collect():
+        root[find(a)] = find(b)
+    names = sorted(sim)
+    near = [(a, b) for a in names for b in names if a < b and (sim[a] ^ sim[b]).bit_count() <= shingles.BITS]
+    assert len(near) > 50 and all(find(a) == find(b) for a, b in near)
+    # What SimHash joins is not compared again; MinHash alone no longer carries the stage.
+    seen, verified = [], shingles._verified
+    monkeypatch.setattr(shingles, "_verified", lambda pairs, sets: seen.append(pairs.count()) or verified(pairs, sets))
+    assert shingles.drop_similar(df).count() == len(set(plain_groups(rows)))
+    assert len(seen) == 2 and seen[0] > 0

@@ -3,14 +3,18 @@
 A text is the set of its runs of ``WORDS`` words (lower-cased, parted by white space; a shorter text is one run). Two
 texts are linked when their sets share at least ``ALIKE`` of their union. Texts of equal sets travel as one.
 
-Candidates come from MinHash: ``BANDS`` bands of ``ROWS`` minima each, and sets that agree in a band meet in its cell.
-A pair of similarity 0.8 misses all cells with probability (1 - 0.8**5)**40, about one in eight million, and a more
-similar pair more rarely. A 64-bit SimHash cannot serve here: at 0.8 it differs in ten bits on average and in 17 at
-times, a radius at which unrelated texts meet as well.
-
-Every member of a cell is first compared with the cell's least member. What is linked then needs no more comparing; a
-cell whose members still lie in several components gets the sets of its members, and all pairs across components are
-compared until they are joined or found unlike. A cell of more than ``CHUNK`` members is cut into chunks, whose pairs
+The search is by SimHash first: each set has the 64-bit fingerprint of its hashes, and ``simhash.similar_links`` finds
+the fingerprints within ``BITS`` bits (segment popcounts, grid range join, exact distance). The sets behind them are
+compared, and those that are alike form the first components.
+
+At similarity 0.8 fingerprints differ in ten bits on average and in 17 at times, a radius at which unrelated texts meet
+as well. Pairs beyond ``BITS`` are reached by MinHash: ``BANDS`` bands of ``ROWS`` minima each, and sets that agree in a
+band meet in its cell. A pair of similarity 0.8 misses all cells with probability (1 - 0.8**5)**40, about one in eight
+million, and a more similar pair more rarely.
+
+Every member of a cell is compared with the cell's least member, unless SimHash has joined the two already. What is
+linked then needs no more comparing; a cell whose members still lie in several components gets the sets of its members,
+and all pairs across components are compared until they are joined or found unlike. A cell of more than ``CHUNK`` members is cut into chunks, whose pairs
 are tasks of their own. No pair that meets is left out, and no pair is linked without comparing its sets.
 
 Defined results: null and empty texts and texts without words have the same, empty set; a null id takes part and is
@@ -24,9 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise, row_key, word_hashes
 from .components import components
-from .simhash import keep_first
+from .simhash import keep_first, similar_links
 
 WORDS = 5
+BITS = 4  # radius of the SimHash search
 ALIKE = (4, 5)  # 0.8, in whole numbers
 BANDS = 40
 ROWS = 5
@@ -51,6 +56,16 @@ def shingles(text: str | None, words: int = WORDS):
     return np.unique(rolled.view(np.int64))
 
 
+def fingerprint(found) -> int:
+    """Unsigned SimHash of a set of hashes: bits set in more than half of them; zero for an empty set."""
+    import numpy as np
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(found), _STEP):
+        bits = np.unpackbits(found[at:at + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += bits.sum(axis=0, dtype=np.int32)
+    return int(np.packbits(total * 2 > len(found), bitorder="little").view("<u8")[0])
+
+
 def _multipliers():
     import numpy as np
     return np.random.default_rng(20).integers(0, 2**63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,7 +85,10 @@ def cells(found, multipliers):
 
 
 def shingle_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, k_text, fp, cells) per row; ``fp`` names the set, ``cells`` is empty for an empty set."""
+    """(doc_id, k_text, fp, sim, cells) per row.
+
+    ``fp`` names the set, ``sim`` is its SimHash fingerprint, ``cells`` is empty for an empty set.
+    """
     text = docs[f"`{text_col}`"]
     rows = docs.select(docs[f"`{id_col}`"].alias("doc_id"), row_key(text).alias("k_text"), text.alias("text"))
 
@@ -80,16 +98,17 @@ def shingle_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         from xxhash import xxh64_intdigest
         multipliers = _multipliers()
         for batch in batches:
-            fp, found = np.empty(batch.num_rows, np.uint64), []
+            fp, sim, found = np.empty(batch.num_rows, np.uint64), np.empty(batch.num_rows, np.uint64), []
             for k, t in enumerate(batch.column("text").to_pylist()):
                 one = shingles(t)
-                fp[k] = xxh64_intdigest(one.tobytes())
+                fp[k], sim[k] = xxh64_intdigest(one.tobytes()), fingerprint(one)
                 found.append(cells(one.view(np.uint64), multipliers) if len(one) else one)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k_text"), pa.array(fp.view(np.int64)),
-                                              pa.array(found, pa.list_(pa.int64()))], ["doc_id", "k_text", "fp", "cells"])
+                                              pa.array(sim.view(np.int64)), pa.array(found, pa.list_(pa.int64()))],
+                                             ["doc_id", "k_text", "fp", "sim", "cells"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, k_text bigint, fp bigint, cells array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, k_text bigint, fp bigint, sim bigint, cells array<bigint>")
 
 
 def _sets(docs: DataFrame, prints: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -191,6 +210,20 @@ def _cell_links(members: DataFrame, two_sides: bool) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(run, "a bigint, b bigint")
 
 
+def close_pairs(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints connect within ``bits`` bits; they are not compared yet.
+
+    Of the sets with one fingerprint, the least stands for it in links to other fingerprints.
+    """
+    named = prints.select("fp", "sim").distinct()
+    least = materialise(named.groupBy("sim").agg(F.min("fp").alias("a")))
+    links = similar_links(least.select(F.col("sim").alias("fp")), bits)
+    one = least.select(F.col("sim").alias("x"), "a")
+    other = least.select(F.col("sim").alias("y"), F.col("a").alias("b"))
+    across = links.toDF("x", "y").join(one, "x").join(other, "y").select("a", "b")
+    return across.unionByName(named.join(least, "sim").where("fp != a").select("a", F.col("fp").alias("b")))
+
+
 def alike_links(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) that connect all sets of ``prints`` that are alike; every listed pair is alike."""
     cell = materialise(prints.groupBy("fp").agg(F.first("cells").alias("cells")).select(
@@ -200,8 +233,16 @@ def alike_links(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str,
     # Bands in which the same sets meet give the same pairs.
     known = materialise(known.groupBy("a", "n", "who").agg(F.min("cell").alias("cell")))
     met = materialise(cell.join(known.select("cell", "a", "n"), "cell"))
-    sets = materialise(_sets(docs, prints, met.select("fp").distinct(), id_col, text_col))
-    links = materialise(_verified(met.where("fp != a").select("a", F.col("fp").alias("b")).distinct(), sets))
+    close = materialise(close_pairs(prints))
+    needed = met.select("fp").unionByName(close.select(F.col("a").alias("fp"))).unionByName(
+        close.select(F.col("b").alias("fp"))).distinct()
+    sets = materialise(_sets(docs, prints, needed, id_col, text_col))
+    near = materialise(_verified(close, sets))
+    joined = components(near)
+    one, other = joined.toDF("a", "one"), joined.toDF("b", "other")
+    far = (met.where("fp != a").select("a", F.col("fp").alias("b")).distinct().join(one, "a", "left")
+           .join(other, "b", "left").where(F.coalesce("one", "a") != F.coalesce("other", "b")).select("a", "b"))
+    links = near.unionByName(materialise(_verified(far, sets)))
     roots = components(links)
     placed = met.where("n > 2").join(roots, met["fp"] == roots["node"], "left").select(
         "cell", "fp", "n", F.coalesce("root", "fp").alias("label"))
