@@ -104,3 +104,19 @@ def test_the_stage_searches_by_simhash_first(spark, monkeypatch):
     monkeypatch.setattr(shingles, "_verified", lambda pairs, sets: seen.append(pairs.count()) or verified(pairs, sets))
     assert shingles.drop_similar(df).count() == len(set(plain_groups(rows)))
     assert len(seen) == 2 and seen[0] > 0
+
+
+def test_cells_are_not_written_as_a_table_of_their_own(spark, monkeypatch):
+    """40 cells of every set are read from the prints; only those in which sets meet are written."""
+    written, write = [], shingles.materialise
+
+    def noted(df):
+        out = write(df)
+        written.append((set(df.columns), out.count()))
+        return out
+    monkeypatch.setattr(shingles, "materialise", noted)
+    rng = random.Random(8)
+    texts = [prose(rng, 60) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts + texts[:1])), "doc_id bigint, text string")
+    assert shingles.drop_similar(df).count() == 30
+    assert [n for columns, n in written if "cell" in columns and n > 0] == []

@@ -226,12 +226,12 @@ def close_pairs(prints: DataFrame, bits: int = BITS) -> DataFrame:
 
 def alike_links(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) that connect all sets of ``prints`` that are alike; every listed pair is alike."""
-    cell = materialise(prints.groupBy("fp").agg(F.first("cells").alias("cells")).select(
-        "fp", F.explode("cells").alias("cell")))
+    # Cells are read from the prints each time: as a table of their own they would be 40 times as many rows and files.
+    cell = prints.groupBy("fp").agg(F.first("cells").alias("cells")).select("fp", F.explode("cells").alias("cell"))
     known = cell.groupBy("cell").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n"),
                                      F.bit_xor(F.xxhash64("fp")).alias("who")).where("n > 1")
     # Bands in which the same sets meet give the same pairs.
-    known = materialise(known.groupBy("a", "n", "who").agg(F.min("cell").alias("cell")))
+    known = known.groupBy("a", "n", "who").agg(F.min("cell").alias("cell"))
     met = materialise(cell.join(known.select("cell", "a", "n"), "cell"))
     close = materialise(close_pairs(prints))
     needed = met.select("fp").unionByName(close.select(F.col("a").alias("fp"))).unionByName(
@@ -266,7 +266,7 @@ def alike_links(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str,
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, k_text, fp, component_id) per row. Writes cells, sets that meet and links to the shared folder when called."""
+    """(doc_id, k_text, fp, component_id) per row. Writes prints, sets that meet and links to the shared folder when called."""
     prints = materialise(shingle_prints(docs, id_col, text_col))
     roots = components(alike_links(docs, prints, id_col, text_col, chunk)).withColumnRenamed("node", "fp")
     low = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
